@@ -70,5 +70,17 @@ WITH s AS (
 SELECT doc_id, size, source_size, target, CAST(times * size + greatest(0, least(size, extra - gone)) AS BIGINT) AS taken FROM laid"""
 
 
+OP8 = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op5_quality_rules": _op5(), "op10_source_mixing": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import bpe, chat, mixing, quality
 from .common import documents
 
 
@@ -17,6 +17,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer_json: str | None = None) -> DataFrame:
+    if tokenizer_json is None:
+        import public_tokenizers
+
+        tokenizer_json = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_json, keep_ids=False)
+
+
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(rows.unionByName(own)))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(mixing.sized(documents(spark, sf_dir)))
     return out.select("doc_id", "size", "source_size", "target", "taken")
