@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,7 +82,7 @@ def mapped(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
 def chunks(column: pa.Array):
     """Slices (start, stop) of a binary column of about CHUNK_BYTES each; a longer value stands alone."""
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
         n = n or 0
         if size and size + n > CHUNK_BYTES:
             yield start, i

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality
+from . import bpe, chat, mixing, quality, simhash
 from .common import documents
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(simhash.fingerprinted(documents(spark, sf_dir).select("doc_id", "text")))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.ledger(documents(spark, sf_dir).select("doc_id", "text"))
     out = led.withColumn("base_failed", ~quality.verdict("base")).withColumn("kept", quality.verdict("v1"))
