@@ -70,6 +70,27 @@ WITH s AS (
 SELECT doc_id, size, source_size, target, CAST(times * size + greatest(0, least(size, extra - gone)) AS BIGINT) AS taken FROM laid"""
 
 
+OP2 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), later AS (
+  SELECT doc_id, k FROM (
+    SELECT doc_id, k, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id NULLS FIRST, k) AS rn FROM w WHERE nxt IS NOT NULL
+  ) x WHERE rn > 1
+), gone AS (
+  SELECT DISTINCT w.doc_id, w.pos FROM w JOIN later ON w.doc_id = later.doc_id AND w.k IN (later.k, later.k + 1)
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS text, count(gone.pos) AS n_removed_lines
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id
+), n AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed_lines, 0) AS BIGINT) AS n_removed_lines,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
+
+
 OP8 = """
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -83,4 +104,4 @@ FROM c GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _op5(), "op10_source_mixing": OP10}
+    return {"op2_line_dedup": OP2, "op5_quality_rules": _op5(), "op10_source_mixing": OP10}

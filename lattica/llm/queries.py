@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, quality, simhash, substring_index
+from . import bpe, chat, langid, line_dedup, mixing, quality, simhash, substring_index
 from .common import documents, remainder
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "kept_sha256")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.without_repeats(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
 

@@ -93,13 +93,13 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def anchors(hashes: np.ndarray, window: int):
+def anchors(hashes: np.ndarray, window: int, gram: int = GRAM):
     """Winnowed fingerprints: (fp, span, first, count) of each stretch of windows whose least gram is the same one.
 
     ``fp`` is that gram's hash, ``span`` a hash of all words of the stretch and of the gram's place in it, ``first`` the
     first window's start and ``count`` the number of windows. Equal windows have equal fingerprints.
     """
-    gram = min(GRAM, window)
+    gram = min(gram, window)
     for start in range(0, max(0, len(hashes) - window + 1), BLOCK):
         own = hashes[start : start + BLOCK + window - 1]
         rolled = Rolled(own)
