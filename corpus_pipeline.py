@@ -3,21 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import mixing
+from lattica.llm import bpe, langid, line_dedup, mixing, simhash
 from lattica.llm.common import documents, stored
 
+#: Language ID rejects a document whose language is undetermined or holds less than this share of the evidence.
+LEAST_SHARE = 0.26
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; columns unchanged."""
+    named = docs.select(*docs.columns, F.struct(*docs.columns).alias("_row"))
+    out = langid.predicted(named.select("text", "_row"), langid.fit(docs))
+    return out.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("_row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less their later repeated runs of lines; those of which no line is left go. n_chars follows the text."""
+    out = line_dedup.deduplicated(docs)
+    out = out.filter((F.col("n_lines") == 0) | (F.col("n_removed_lines") < F.col("n_lines")))
+    changed = F.when(F.col("n_removed_lines") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return simhash.deduplicated(docs)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixing.repeated(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_json: str | None = None) -> DataFrame:
+    """Token ids of each document, checked by decoding them."""
+    if tokenizer_json is None:
+        import public_tokenizers
+
+        tokenizer_json = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encoded(docs.select("doc_id", "source", "text"), tokenizer_json)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("bpe_encoding", encode),
+]
+
+#: Language ID and the encoder have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
