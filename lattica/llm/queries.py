@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, mixing, quality, simhash, substring_index
+from . import bpe, chat, langid, line_dedup, mixing, quality, simhash, substring_index, suffix_tree
 from .common import documents, remainder
 
 
@@ -36,6 +36,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix_tree.marked(documents(spark, sf_dir))
+    return suffix_tree.scored(docs, docs.filter("NOT held_out"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer_json: str | None = None) -> DataFrame:
     if tokenizer_json is None:
         import public_tokenizers
