@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, mixing, quality, simhash, substring_index, suffix_tree
+from . import bpe, chat, itq, langid, line_dedup, mixing, quality, simhash, substring_index, suffix_tree
 from .common import documents, remainder
 
 
@@ -58,6 +58,10 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(rows.unionByName(own)))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(mixing.sized(documents(spark, sf_dir)))
     return out.select("doc_id", "size", "source_size", "target", "taken")
