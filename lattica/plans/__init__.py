@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trade",)
+FAMILIES = ("trade", "graph", "walks")
 
 
 def load() -> None:
