@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,16 +41,20 @@ def _shaped(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in fields], *rest)
 
 
-def stored(df: DataFrame, what: str = "step") -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir (a temporary one in local sessions) and read back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir (a temporary one in local sessions without it)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(spark, "_lattica_scratch", None) or tempfile.mkdtemp(prefix="lattica-")
         spark._lattica_scratch = path
-    path = f"{path}/{what}-{uuid.uuid4().hex}"
+    return f"{path}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ends(edges: DataFrame, *more: str) -> DataFrame:
