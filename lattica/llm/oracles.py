@@ -91,6 +91,37 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
 
 
+OP3 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS ws FROM documents
+), starts AS (
+  SELECT rid, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM d, unnest(generate_series(1, len(ws) - 34)) AS g(i)
+), again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM starts) x WHERE n > 1
+), gone AS (
+  SELECT DISTINCT rid, i + k AS p FROM again, unnest(generate_series(0, 34)) AS g(k)
+), words AS (
+  SELECT rid, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS p FROM d
+), kept AS (
+  SELECT rid, string_agg(w, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
+
+
+OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), walk(u, v) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT walk.u, links.v FROM walk JOIN links ON walk.v = links.u
+), part AS (SELECT u AS vec_id, min(v) AS component_id FROM walk GROUP BY u),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM part LEFT JOIN n USING (vec_id)"""
+
+
 OP8 = """
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -104,4 +135,4 @@ FROM c GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op5_quality_rules": _op5(), "op10_source_mixing": OP10}
+    return {"op2_line_dedup": OP2, "op3_substring_dedup": OP3, "op9_embedding_near_dedup": OP9, "op5_quality_rules": _op5(), "op10_source_mixing": OP10}
