@@ -97,7 +97,7 @@ def links(prints: DataFrame, radius: int = 2, seed: int = 1) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """Rows of ``prints`` (doc_id, fp and others) with component_id, the smallest doc_id reachable by links.
+    """Rows of ``prints`` (doc_id, fp and others) with component_id, the smallest doc_id reachable by links, and component, a fingerprint of it.
 
     Equal fingerprints are linked, also those of documents without words. Null ids count after all others: a
     component of null ids only has component_id null. Copies are handled once: links and components are
@@ -108,7 +108,7 @@ def near_duplicates(prints: DataFrame, radius: int = 2) -> DataFrame:
     found = components(links(prints, radius)).select(F.col("node").alias("fp"), "component")
     joined = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = joined.select("fp", "component").join(ids, "component").select("fp", "component_id")
+    ids = joined.select("fp", "component").join(ids, "component")
     return prints.join(ids, "fp")
 
 
@@ -116,6 +116,7 @@ def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
     """One document of each component: the one with the smallest id (of equal ids, the least text digest; of equal rows, one)."""
     mark = F.xxhash64("text")
     prints = near_duplicates(fingerprinted(docs.select("doc_id", "text", mark.alias("mark"))), radius)
-    heads = prints.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("mark").alias("kept_mark"))
+    heads = prints.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = heads.groupBy("component").agg(F.min("mark").alias("kept_mark"), F.first("component_id").alias("component_id"))
     kept = docs.withColumn("_mark", mark).join(heads, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_mark") == F.col("kept_mark")))
     return kept.select(*docs.columns, "_mark").dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
