@@ -9,18 +9,29 @@ from pyspark.sql import functions as F
 
 from lattica.model import EDGE_TYPES, NODE_TYPES
 
-#: Language by file extension.
+#: Language by file extension, and the classes of other extensions.
 LANGUAGES = {
-    ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
-    ".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp",
-    ".rb": "ruby", ".cs": "csharp", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".php": "php", ".swift": "swift", ".lua": "lua",
-    ".sh": "bash", ".bash": "bash", ".zig": "zig", ".ex": "elixir", ".exs": "elixir",
+    ".ts": "TypeScript", ".tsx": "TypeScript",
+    ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript",
+    ".py": "Python", ".pyi": "Python",
+    ".go": "Go",
+    ".rs": "Rust",
+    ".java": "Java", ".kt": "Kotlin", ".kts": "Kotlin", ".scala": "Scala",
+    ".c": "C", ".h": "C",
+    ".cpp": "C++", ".cc": "C++", ".cxx": "C++", ".hpp": "C++", ".hxx": "C++",
+    ".cs": "C#",
+    ".rb": "Ruby",
+    ".php": "PHP",
+    ".swift": "Swift",
+    ".lua": "Lua",
+    ".ex": "Elixir", ".exs": "Elixir",
+    ".sh": "Bash", ".bash": "Bash", ".zsh": "Bash", ".fish": "Bash",
 }
-
-IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg")
-PLAIN = (".txt", ".json", ".html", ".css", ".yaml", ".yml", ".toml", ".xml", ".csv")
-MEDIA = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".mp3", ".mp4", ".wav", ".m4a", ".webm", ".mov")
-DOCS = (".md", ".mdx", ".markdown", ".txt", ".pdf", ".docx", ".pptx", ".rst", ".rtf")
+IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp", ".svg")
+PLAIN = (".txt", ".text", ".log", ".json", ".jsonl", ".yaml", ".yml", ".toml", ".xml", ".html", ".css")
+MODEL_NATIVE = (".pdf", ".docx", ".pptx", ".rtf", ".png", ".jpg", ".jpeg", ".gif", ".webp")
+DOCS = (".md", ".pdf", ".txt", ".rst", ".adoc")
+MEDIA = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".mp3", ".wav", ".m4a", ".ogg", ".flac")
 
 
 def extension(path: Column) -> Column:
@@ -39,8 +50,9 @@ def file_type(path: Column) -> Column:
 
 
 def extractor(path: Column) -> Column:
-    kind = file_type(path)
-    return F.when(kind == "markdown", "frontmatter").when(kind == "code", "ast").when(kind == "unsupported", None).otherwise("model_native")
+    """How a file is read: ast, frontmatter or model_native; null for any other."""
+    e = extension(path)
+    return F.when(e.isin(*LANGUAGES), "ast").when(e.isin(".md", ".mdx", ".markdown"), "frontmatter").when(e.isin(*MODEL_NATIVE), "model_native")
 
 
 def watch_class(path: Column) -> Column:
@@ -49,11 +61,10 @@ def watch_class(path: Column) -> Column:
 
 
 def url_kind(url: Column) -> Column:
-    """What an address holds, by its form alone: tweet, pdf, video, audio or html."""
-    low = F.lower(url)
-    out = F.when(low.rlike(r"^https?://(www\.|mobile\.)?(twitter|x)\.com/[^/]+/status/\d+"), "tweet").when(low.rlike(r"\.pdf([?#]|$)"), "pdf")
-    out = out.when(low.rlike(r"youtube\.com/watch|youtu\.be/|vimeo\.com/\d|\.(mp4|webm|mov|avi|mkv)([?#]|$)"), "video")
-    return out.when(low.rlike(r"\.(mp3|wav|m4a|ogg|flac)([?#]|$)"), "audio").otherwise("html")
+    """What an address holds, by its form alone: tweet, pdf, media or html."""
+    out = F.when(url.rlike(r"(?i)^https?://(www\.)?(twitter\.com|x\.com)/"), "tweet").when(url.rlike(r"(?i)\.pdf(\?.*)?$|/pdf/"), "pdf")
+    media = url.rlike(r"(?i)^https?://(www\.)?(youtube\.com/watch|youtu\.be/|vimeo\.com/)") | url.rlike(r"(?i)\.(mp3|m4a|ogg|flac|wav|aac|opus)(\?.*)?$")
+    return out.when(media, "media-unsupported").otherwise("html")
 
 
 def url_problem(url: Column) -> Column:

@@ -64,18 +64,24 @@ def tokens(text: Column) -> Column:
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("bigint")
 
 
+#: Where a text is cut into tokens, and what classes of tokens hold.
+TOKEN_CUTS = r"(?<=\s)(?=\S)|(?<=\S)(?=\s)|(?<=[.,!?;:])(?=\S)|(?<=\S)(?=[.,!?;:])"
+ASCII_WORD = r"""^[a-zA-Z0-9\s.,!?;:'"-]+$"""
+CJK = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]"
+SYMBOLS = r"^[\[\]{}()<>@#$%^&*+=~/\\|]+$"
+
+
 def class_tokens(text: Column) -> Column:
-    """Estimate by class of each run between white space and punctuation: ASCII letters and digits / 4, CJK one each, other letters / 2,
-    symbols one each (quotients rounded up); 3 more if there is any and no CJK."""
-    parts = F.filter(F.split(text, r"\s+|(?<=[^\w\s])|(?=[^\w\s])"), lambda p: p != "")
-    cjk = r"^[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]+$"
+    """Estimate by class of each token: plain ASCII / 4, with CJK its characters, other Unicode / 2, symbols one each, else / 4
+    (quotients rounded up, white space nothing); 3 more if there is any and no CJK in the text."""
+    parts = F.filter(F.split(F.regexp_replace(text, r"\s+", " "), TOKEN_CUTS), lambda p: F.trim(p) != "")
 
     def each(p: Column) -> Column:
         n = F.length(p)
-        return F.when(p.rlike(r"^[A-Za-z0-9_]+$"), F.ceil(n / 4)).when(p.rlike(cjk), n.cast("bigint")).when(p.rlike(r"^[^\w\s]+$") & p.rlike(r"^[\x00-\x7F]+$"), n.cast("bigint")).when(p.rlike(r"^[^\x00-\x7F]+$"), F.ceil(n / 2)).otherwise(F.ceil(n / 4))
+        return F.when(p.rlike(ASCII_WORD), F.ceil(n / 4)).when(p.rlike(CJK), n.cast("bigint")).when(p.rlike(r"[^\x00-\x7F]"), F.ceil(n / 2)).when(p.rlike(SYMBOLS), n.cast("bigint")).otherwise(F.ceil(n / 4))
 
     total = F.aggregate(F.transform(parts, each), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.when(total > 0, total + F.when(F.exists(parts, lambda p: p.rlike(cjk)), 0).otherwise(3)).otherwise(total)
+    return F.when((total > 0) & ~text.rlike(CJK), total + 3).otherwise(total)
 
 
 def sanitized_label(label: Column) -> Column:
@@ -127,12 +133,13 @@ def section_header(kind: Column) -> Column:
     return F.concat(F.upper(F.substring(kind, 1, 1)), F.substr(kind, F.lit(2)), F.when(kind.endswith("s"), "").otherwise("s"))
 
 
-#: Colours of communities.
-PALETTE = ("#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac")
+#: Colours of communities, and of nodes without one.
+PALETTE = ("#6366f1", "#22c55e", "#f59e0b", "#ef4444", "#8b5cf6", "#06b6d4", "#ec4899", "#14b8a6", "#f97316", "#84cc16")
+NO_COLOUR = "#6b7280"
 
 
 def community_colour(community: Column) -> Column:
-    return F.when(community.isNull(), "#888888").otherwise(F.element_at(F.array(*map(F.lit, PALETTE)), (F.pmod(community, F.lit(10)) + 1).cast("int")))
+    return F.when(community.isNull(), NO_COLOUR).otherwise(F.element_at(F.array(*map(F.lit, PALETTE)), (F.pmod(community, F.lit(10)) + 1).cast("int")))
 
 
 def substring_difference(a: Column, b: Column) -> Column:
@@ -163,6 +170,13 @@ def rate_limited(message: Column) -> Column:
     return message.rlike("(?i)rate.?limit|429|too many requests")
 
 
+def cost_per_million(provider: Column, model: Column, prices: dict[str, dict[str, float]], default: float = 5.0) -> Column:
+    """Price of a million tokens from a table of providers and models."""
+    known = [x for p, models in prices.items() for m, cost in models.items() for x in (F.lit(f"{p}/{m}"), F.lit(float(cost)))]
+    table = F.create_map(*known) if known else F.create_map().cast("map<string,double>")
+    return F.coalesce(F.try_element_at(table, F.concat_ws("/", provider, model)), F.lit(default))
+
+
 def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'")
 

@@ -78,7 +78,7 @@ def parsed_code(path: str, text: str, lang: str | None) -> list[tuple]:
     doc = re.sub("[^A-Za-z0-9]", "_", path)
     module = lambda content: ("node", f"{doc}-n0", path.rsplit("/", 1)[-1], "module", None, None, None, None, content)
     visitor = _Visitor(doc)
-    if lang == "python":
+    if lang == "Python":
         try:
             visitor.visit(ast.parse(text))
         except (SyntaxError, ValueError, RecursionError):

@@ -117,7 +117,7 @@ def backoff(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tf.backoff_ms(F.col("p_size") % 10).alias("delay"))
 
 
-@query("community_colour", "SELECT n_nationkey, ['#4e79a7', '#f28e2b', '#e15759', '#76b7b2', '#59a14f', '#edc948', '#b07aa1', '#ff9da7', '#9c755f', '#bab0ac'][n_nationkey % 10 + 1] AS colour FROM nation")
+@query("community_colour", "SELECT n_nationkey, ['#6366f1', '#22c55e', '#f59e0b', '#ef4444', '#8b5cf6', '#06b6d4', '#ec4899', '#14b8a6', '#f97316', '#84cc16'][n_nationkey % 10 + 1] AS colour FROM nation")
 def community_colour(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", tf.community_colour(F.col("n_nationkey")).alias("colour"))
 
@@ -136,7 +136,7 @@ def missing_sources(spark, sf_dir):
 @query("change_routes", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'removed' WHEN event_id % 3 = 0 THEN 'notify' WHEN event_id % 3 = 1 THEN 'modified' ELSE 'added' END AS route FROM events")
 def change_routes(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    name = F.concat("event_id", F.when(F.col("event_id") % 3 == 0, ".png").otherwise(".py"))
+    name = F.concat("event_id", F.when(F.col("event_id") % 3 == 0, ".mp3").otherwise(".py"))
     rows = e.select("event_id", name.alias("file"), F.when(F.col("event_type") == "error", "unlink").otherwise("change").alias("event"))
     return ev.routed(rows, rows.filter("event_id % 3 = 1").select("file")).select("event_id", "route")
 

@@ -51,7 +51,7 @@ def url_safety(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", verdict.alias("verdict"))
 
 
-@query("url_kind", r"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\.pdf([?#]|$)') THEN 'pdf' WHEN regexp_matches(lower(url), '\.(mp4|webm|mov|avi|mkv)([?#]|$)') THEN 'video' WHEN regexp_matches(lower(url), '\.(mp3|wav|m4a|ogg|flac)([?#]|$)') THEN 'audio' ELSE 'html' END AS kind FROM pages""")
+@query("url_kind", r"""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://(www\.)?(twitter\.com|x\.com)/') THEN 'tweet' WHEN regexp_matches(url, '(?i)\.pdf(\?.*)?$|/pdf/') THEN 'pdf' WHEN regexp_matches(url, '(?i)\.(mp3|m4a|ogg|flac|wav|aac|opus)(\?.*)?$') THEN 'media-unsupported' ELSE 'html' END AS kind FROM pages""")
 def url_kind(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ff.url_kind(F.col("url")).alias("kind"))
 
