@@ -56,22 +56,17 @@ def _encode(vectors: np.ndarray, model: list) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits.reshape(len(x), -1), axis=1), keys_of(bits)
 
 
-def _close(codes: np.ndarray, others: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    bits = codes.shape[1] * 8
-    pad = -codes.shape[1] % 8
-    a, b = (np.pad(c, ((0, 0), (0, pad))).view(np.uint64) for c in (codes, others))
-    apart = sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int32) for k in range(a.shape[1]))
-    return np.nonzero(apart <= share * bits)
-
-
 def candidates(classes: DataFrame, sample: list[list[float]], share: float = 0.27) -> DataFrame:
     """Distinct pairs (u, v) of classes (cid, label, x) that share a table's key and differ in at most ``share`` of all bits.
 
     Two unit vectors of cosine 0.93 differ in about 12 % of the bits, so ``share`` is far above what a link needs. A pair is
-    given by the first table it meets in only. A bucket of more than BLOCK rows is dealt out in blocks, and
-    every two of its blocks meet in a task of their own; nothing is left out.
+    given by the first table it meets in only. The buckets are an equi-join that compares codes as it goes, so pairs that are too far
+    apart are never rows. A bucket of more than BLOCK rows is salted: each part of its left side meets the whole right side on
+    its own; nothing is left out.
     """
-    model = classes.sparkSession.sparkContext.broadcast(models(sample))
+    learned_ = models(sample)
+    words = max([-(-len(m) * size // 64) for size, m in learned_.items()], default=1)
+    model = classes.sparkSession.sparkContext.broadcast(learned_)
 
     def encode(batches):
         for batch in batches:
@@ -83,39 +78,25 @@ def candidates(classes: DataFrame, sample: list[list[float]], share: float = 0.2
                 codes, keys = _encode(np.array(part.column("x").to_pylist(), float), own)
                 at = pa.array(np.repeat(np.arange(len(rows)), keys.shape[1]))
                 tables = pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(rows)))
-                packed = pa.array([c.tobytes() for c in codes], pa.binary()).take(at)
-                all_keys = pa.array([k.tobytes() for k in keys], pa.binary()).take(at)
+                wide = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.int64)
+                packed, all_keys = (pa.array(list(x), pa.list_(kind)).take(at) for x, kind in ((wide, pa.int64()), (keys, pa.int32())))
                 columns = [part.column("cid").take(at), part.column("label").take(at), pa.array(np.full(len(at), size, np.int32)), tables, pa.array(keys.reshape(-1)), packed, all_keys]
                 yield pa.RecordBatch.from_arrays(columns, names=["cid", "label", "size", "t", "key", "code", "keys"])
 
     label = classes.schema["label"].dataType.simpleString()
-    rows = classes.select("cid", "label", "x").mapInArrow(encode, f"cid long, label {label}, size int, t int, key int, code binary, keys binary")
+    rows = classes.select("cid", "label", "x").mapInArrow(encode, f"cid long, label {label}, size int, t int, key int, code array<bigint>, keys array<int>")
     rows = stored(rows, "codes")
     bucket = ["label", "size", "t", "key"]
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    met = rows.join(counts, bucket).withColumn("own", F.pmod(F.xxhash64("cid", "t"), F.col("blocks")).cast("int"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-
-    def pairs(table: pa.Table) -> pa.Table:
-        cid, own = table.column("cid").to_numpy(), table.column("own").to_numpy()
-        codes = np.array([np.frombuffer(c, np.uint8) for c in table.column("code").to_pylist()])
-        keys = np.array([np.frombuffer(c, np.int32) for c in table.column("keys").to_pylist()])
-        t, lo, hi = (table.column(c)[0].as_py() for c in ("t", "lo", "hi"))
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        us, vs = [], []
-        for k in range(0, len(left), BLOCK):
-            some = left[k : k + BLOCK]
-            i, j = _close(codes[some], codes[right], share)
-            i, j = some[i], right[j]
-            use = (cid[i] < cid[j]) if lo == hi else np.ones(len(i), bool)
-            i, j = i[use], j[use]
-            fresh = ~(keys[i, :t] == keys[j, :t]).any(axis=1) if t else np.ones(len(i), bool)
-            us.append(cid[i[fresh]])
-            vs.append(cid[j[fresh]])
-        return pa.table({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
-
-    return dealt.select(*bucket, "lo", "hi", "own", "cid", "code", "keys").groupBy(*bucket, "lo", "hi").applyInArrow(pairs, "u long, v long")
+    met = rows.join(counts, bucket).select(*bucket, "cid", "code", "keys", "blocks")
+    left = met.withColumn("salt", F.pmod(F.xxhash64("cid", "t"), F.col("blocks")).cast("int")).drop("blocks").withColumnsRenamed({"cid": "u", "code": "cu", "keys": "ku"})
+    right = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumnsRenamed({"cid": "v", "code": "cv", "keys": "kv"})
+    apart = F.lit(0)
+    for k in range(words):
+        apart = apart + F.coalesce(F.bit_count(F.get("cu", F.lit(k)).bitwiseXOR(F.get("cv", F.lit(k)))), F.lit(0))
+    near = left.join(right, [*bucket, "salt"]).filter((F.col("u") < F.col("v")) & (apart <= share * 64 * F.size("cu")))
+    before = F.zip_with(F.slice("ku", 1, F.col("t")), F.slice("kv", 1, F.col("t")), lambda x, y: x == y)
+    return near.filter(~F.exists(before, lambda x: x)).select("u", "v")
 
 
 def linked(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
