@@ -14,9 +14,9 @@ LEAST_SHARE = 0.26
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; columns unchanged."""
-    named = docs.select(*docs.columns, F.struct(*docs.columns).alias("_row"))
-    out = langid.predicted(named.select("text", "_row"), langid.fit(docs))
-    return out.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("_row.*")
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    out = langid.predicted(plain, langid.fit(docs)).filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

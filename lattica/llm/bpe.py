@@ -29,8 +29,9 @@ YOUNG = (
     r"\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
 )
 
-#: Pieces whose ids a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+#: Pieces of a generation of a worker's memory (it keeps two), and pairs it knows the compatibility of.
+CACHE_PIECES = 100_000
+CACHE_PAIRS = 200_000
 
 NEVER = 1 << 60
 
@@ -117,7 +118,7 @@ class Encoder:
     def compatible(self, a: int, b: int) -> bool:
         known = self.table.get((a, b))
         if known is None:
-            if len(self.table) >= 1_000_000:
+            if len(self.table) >= CACHE_PAIRS:
                 self.table.clear()
             known = self.table[a, b] = not self._crossed(a, b)
         return known
@@ -178,16 +179,20 @@ class Encoder:
 
 
 class Pieces(dict):
-    """Encoded pieces, filled on demand; emptied when it holds CACHE_PIECES."""
+    """Encoded pieces, filled on demand. When it holds CACHE_PIECES they become the old generation, from which pieces that come up
+    again return; the rest is forgotten with the next."""
 
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        out = np.array(self.encoder.merged(piece.encode()), "<u4").tobytes()
+        out = self.old.get(piece)
+        if out is None:
+            out = np.array(self.encoder.merged(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
+                self.clear()
             self[piece] = out
         return out
 

@@ -134,17 +134,17 @@ def fit(docs: DataFrame, sample_rows: int = 12_000, grams_kept: int = 200_000, s
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, from the text alone. Columns of those names give way."""
-    kept = with_columns_last(docs, ["lang_pred", "score", "_text"])
+    kept = with_columns_last(docs, ["lang_pred", "score"])
     columns, schema = kept.columns, kept.schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            for a, b in chunks(batch.column("_text")):
+            for a, b in chunks(batch.column(text)):
                 part = batch.slice(a, b - a)
-                done = [own.predict(x.as_py()) for x in part.column("_text")]
+                done = [own.predict(x.as_py().encode() if x.is_valid else None) for x in part.column(text)]
                 new = [pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.float64())]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in columns] + new, names=[*columns, "lang_pred", "score"])
 
-    return docs.select(*columns, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
