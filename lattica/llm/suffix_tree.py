@@ -17,6 +17,7 @@ from .common import CHUNK_BYTES, dropped, remainder, stored
 DEPTH = 6
 END = b"\n"
 SCALE = 1 / math.log(10)
+_ODD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def streams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,9 +32,11 @@ def streams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts += [END * DEPTH, line]
         sizes.append(len(line))
     whole = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    keys = np.zeros(max(0, len(whole) - DEPTH), np.uint64)
-    for k in range(DEPTH + 1):
-        keys = keys << np.uint64(8) | whole[k : len(whole) - DEPTH + k]
+    keys, size = whole, 1
+    while size <= DEPTH:  # grams of twice the size, as long as that fits
+        step = min(size, DEPTH + 1 - size)
+        keys = keys[:-step] << np.uint64(8 * step) | keys[step:] & np.uint64((1 << 8 * step) - 1)
+        size += step
     n = np.array(sizes, np.int64)
     at = np.cumsum(n + DEPTH) - n - DEPTH  # keys[i] ends at symbol i + DEPTH of the padded stream
     own = np.ones(len(keys), bool)
@@ -100,19 +103,49 @@ class Tree:
     column: np.ndarray = field(default_factory=lambda: np.zeros(256, np.int64))
     logs: np.ndarray = field(default_factory=lambda: np.full((1, 1), -math.log(256), np.float32))
 
+    def _found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(short, slots, ids): the longest known suffix of each two bytes, and a table of the longer contexts by open addressing,
+        an eighth full at most."""
+        if not hasattr(self, "_tables"):
+            short = np.zeros(1 << 16, np.int32)
+            for k in range(min(2, len(self.contexts))):
+                for c, s in zip(self.contexts[k].tolist(), self.states[k].tolist(), strict=True):
+                    short[np.arange(c, 1 << 16, 1 << 8 * (k + 1))] = s
+            long_ = [(k, c, s) for k in range(2, len(self.contexts)) for c, s in zip(self.contexts[k].tolist(), self.states[k].tolist(), strict=True)]
+            bits = max(10, (8 * len(long_)).bit_length())
+            slots, ids = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+            for k, c, s in long_:
+                key = c | (k + 1) << 56
+                at = ((key * _ODD) & _ALL) >> (64 - bits)
+                while slots[at]:
+                    at = (at + 1) & ((1 << bits) - 1)
+                slots[at], ids[at] = key, s
+            self._tables = short, slots, ids
+        return self._tables
+
     def score(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of the last symbol of each packed gram under its longest retained suffix."""
-        state = np.zeros(len(keys), np.int32)
-        left = np.arange(len(keys))
+        short, slots, ids = self._found()
         before = keys >> np.uint64(8)
-        for k, (known, ids) in enumerate(zip(self.contexts, self.states, strict=True), 1):
-            if not len(known) or not len(left):
+        state = short[(before & np.uint64(0xFFFF)).astype(np.int64)]
+        shift, last = np.uint64(65 - len(slots).bit_length()), len(slots) - 1
+        left = None
+        for k in range(3, len(self.contexts) + 1):
+            wanted = (before if left is None else before[left]) & np.uint64((1 << 8 * k) - 1) | np.uint64(k << 56)
+            at = (wanted * np.uint64(_ODD) >> shift).astype(np.int64)
+            there = slots[at]
+            hit = there == wanted
+            open_ = np.flatnonzero(~hit & (there != 0))
+            while len(open_):
+                at[open_] = (at[open_] + 1) & last
+                there = slots[at[open_]]
+                same = there == wanted[open_]
+                hit[open_[same]] = True
+                open_ = open_[~same & (there != 0)]
+            left = np.flatnonzero(hit) if left is None else left[hit]
+            state[left] = ids[at[hit]]
+            if not len(left):
                 break
-            wanted = before[left] & np.uint64((1 << 8 * k) - 1)
-            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            found = known[at] == wanted
-            left = left[found]
-            state[left] = ids[at[found]]
         return self.logs[state, self.column[(keys & np.uint64(255)).astype(np.int64)]]
 
 
