@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, langid, line_dedup, mixing, simhash
+from lattica.llm import bpe, langid, line_dedup, mixing, near_copies
 from lattica.llm.common import documents, stored
 
 #: Language ID rejects a document whose language is undetermined or holds less than this share of the evidence.
@@ -28,8 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.deduplicated(docs)
+    """One document of each component of pairs with a five-word Jaccard similarity of 0.8 or more."""
+    return near_copies.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_json: st
 STAGES = [
     ("language_id", language_id),
     ("line_dedup", drop_repeated_lines),
-    ("simhash_near_dedup", drop_near_copies),
+    ("near_dedup", drop_near_copies),
     ("source_mixing", mix_sources),
     ("bpe_encoding", encode),
 ]

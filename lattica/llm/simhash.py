@@ -104,8 +104,13 @@ def near_duplicates(prints: DataFrame, radius: int = 2) -> DataFrame:
     those of distinct fingerprints, each standing for its smallest id.
     """
     prints = stored(prints, "prints")
+    return with_components(prints, components(links(prints, radius)))
+
+
+def with_components(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """``prints`` with component_id and component, from the (node, component) ``found`` of its linked values of ``fp``."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(prints, radius)).select(F.col("node").alias("fp"), "component")
+    found = found.select(F.col("node").alias("fp"), "component")
     joined = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = joined.select("fp", "component").join(ids, "component")
