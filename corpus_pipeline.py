@@ -11,6 +11,9 @@ from lattica.llm.common import documents, stored
 #: Language ID rejects a document whose language is undetermined or holds less than this share of the evidence.
 LEAST_SHARE = 0.26
 
+#: A line of so many words is a passage that line dedup takes alone; shorter ones only in runs of two lines or more.
+PASSAGE = 5
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; columns unchanged."""
@@ -20,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their later repeated runs of lines; those of which no line is left go. n_chars follows the text."""
-    out = line_dedup.deduplicated(docs)
+    """Documents less their later repeated runs of lines and single lines of PASSAGE words or more; those of which no line is left go. n_chars follows the text."""
+    out = line_dedup.deduplicated(docs, passage=PASSAGE)
     out = out.filter((F.col("n_lines") == 0) | (F.col("n_removed_lines") < F.col("n_lines")))
     changed = F.when(F.col("n_removed_lines") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*docs.columns)

@@ -21,66 +21,74 @@ def line_hashes(text: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
     return lines, places, np.fromiter((xxhash.xxh64_intdigest(lines[i], 2) for i in places), np.uint64, len(places))
 
 
-def fingerprints(docs: DataFrame, window: int, text: str = "text") -> DataFrame:
-    """(doc_id, mark, fp, first, windows): the winnowed lines of each text.
+def fingerprints(docs: DataFrame, window: int, text: str = "text", passage: int | None = None) -> DataFrame:
+    """(doc_id, mark, size, fp, first, windows): the winnowed lines of each text.
 
     In each window of ``window`` lines the one with the least hash is chosen. ``fp`` is its hash, ``first`` the first window
     that chose it, ``windows`` the 128-bit hashes of the (at most ``window``) windows that did: how far the line's surroundings
-    are to be compared both ways.
+    are to be compared both ways. Each line of ``passage`` words or more also stands as a window of its own (``size`` 1).
     """
 
     def run(batches):
         for batch in batches:
             for a, b in chunks(batch.column("_text")):
-                which, fps, firsts, lefts, rights, sizes = [], [], [], [], [], []
+                which, spans, fps, firsts, lefts, rights, sizes = [], [], [], [], [], [], []
                 for i in range(a, b):
-                    _, _, hashes = line_hashes(batch.column("_text")[i].as_py() or b"")
+                    lines, places, hashes = line_hashes(batch.column("_text")[i].as_py() or b"")
                     for fp, _, first, count in anchors(hashes, window, gram=1):
                         start = int(first[0])
                         rolled = Rolled(hashes[start : start + int(count.sum()) + window - 1])
                         at = np.arange(int(count.sum()))
                         which += [i] * len(fp)
+                        spans += [window] * len(fp)
                         fps.append(fp), firsts.append(first), sizes.append(count)
                         lefts.append(rolled.of(0, at, at + window)), rights.append(rolled.of(1, at, at + window))
+                    alone = [] if passage is None or window == 1 else [k for k, p in enumerate(places) if len(lines[p].split(None, passage)) >= passage]
+                    if alone:
+                        at, rolled = np.array(alone), Rolled(hashes)
+                        which += [i] * len(alone)
+                        spans += [1] * len(alone)
+                        fps.append(hashes[at]), firsts.append(at), sizes.append(np.ones(len(at), np.int64))
+                        lefts.append(rolled.of(0, at, at + 1)), rights.append(rolled.of(1, at, at + 1))
                 if not which:
                     continue
                 at = pa.array(which)
                 pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (lefts, rights)], names=["a", "b"])
                 offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
-                columns = [batch.column("doc_id").take(at), batch.column("mark").take(at), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(firsts).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pairs)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "first", "windows"])
+                columns = [batch.column("doc_id").take(at), batch.column("mark").take(at), pa.array(spans, pa.int32()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(firsts).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pairs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "size", "fp", "first", "windows"])
 
     source = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(run, "doc_id long, mark long, fp long, first long, windows array<struct<a:long,b:long>>")
+    return source.mapInArrow(run, "doc_id long, mark long, size int, fp long, first long, windows array<struct<a:long,b:long>>")
 
 
-def repeated_runs(docs: DataFrame, window: int = 2, text: str = "text") -> DataFrame:
-    """(doc_id, mark, first): windows of ``window`` lines that also start earlier.
+def repeated_runs(docs: DataFrame, window: int = 2, text: str = "text", passage: int | None = None) -> DataFrame:
+    """(doc_id, mark, first, size): windows of ``window`` lines, and lines of ``passage`` words or more, that also start earlier.
 
     Positions are ordered by doc_id (null first), text digest and line. Only windows around a fingerprint that occurs again are
     compared; each distinct window has one earliest place, found by a minimum that is combined before the shuffle.
     """
-    prints = stored(fingerprints(docs, window, text), "lines")
-    again = prints.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    spots = prints.join(again, "fp").select("doc_id", "mark", "first", F.posexplode("windows").alias("k", "w")).select("doc_id", "mark", (F.col("first") + F.col("k")).alias("first"), "w.a", "w.b")
+    prints = stored(fingerprints(docs, window, text, passage), "lines")
+    again = prints.groupBy("fp", "size").agg(F.count("*").alias("n")).filter("n > 1").select("fp", "size")
+    spots = prints.join(again, ["fp", "size"]).select("doc_id", "mark", "size", "first", F.posexplode("windows").alias("k", "w")).select("doc_id", "mark", "size", (F.col("first") + F.col("k")).alias("first"), "w.a", "w.b")
     spots = stored(spots, "spots")
     dropped(prints)
     place = F.struct("doc_id", "mark", "first")
-    heads = spots.groupBy("a", "b").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "head")
-    return spots.join(heads, ["a", "b"]).filter(~place.eqNullSafe(F.col("head"))).select("doc_id", "mark", "first")
+    heads = spots.groupBy("a", "b", "size").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "size", "head")
+    return spots.join(heads, ["a", "b", "size"]).filter(~place.eqNullSafe(F.col("head"))).select("doc_id", "mark", "first", "size")
 
 
-def deduplicated(docs: DataFrame, window: int = 2, text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = 2, text: str = "text", passage: int | None = None) -> DataFrame:
     """``docs`` with ``text`` less its later repeated runs, and n_lines, n_removed_lines (lines with a word), kept_sha256.
 
     A run is ``window`` or more lines in a row that also stand in a row earlier, in another document or the same one; the
-    earliest copy stays, and a line of any later one goes. Lines are compared whole; lines without a word take no part and
+    earliest copy stays, and a line of any later one goes. With ``passage``, a line of so many words or more is a run by itself. Lines are compared whole; lines without a word take no part and
     stay. Rows of one id and text count as one: they lose the same lines. A null text stays null, with
     no lines. Kept lines are joined by line ends, so a text that loses nothing is unchanged. Documents are joined to
     their runs by id and digest: one shuffle of the texts.
     """
-    runs = repeated_runs(docs, window, text)
-    runs = runs.groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set("first").alias("_runs"))
+    runs = repeated_runs(docs, window, text, passage)
+    runs = runs.groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set(F.struct("first", "size")).alias("_runs"))
     names = ["n_lines", "n_removed_lines", "kept_sha256"]
     kept = with_columns_last(docs, [*names, "_text", "_runs", "_d", "_m", "_mark"])
     columns, schema = kept.columns, kept.schema.add("n_lines", "long").add("n_removed_lines", "long").add("kept_sha256", "string")
@@ -92,7 +100,7 @@ def deduplicated(docs: DataFrame, window: int = 2, text: str = "text") -> DataFr
                 for i in range(a, b):
                     value, starts = batch.column("_text")[i].as_py(), batch.column("_runs")[i].as_py()
                     lines, places, _ = line_hashes(value or b"") if starts else ((value or b"").split(b"\n"), None, None)
-                    gone = {places[p] for s in starts or () for p in range(s, s + window)}
+                    gone = {places[p] for r in starts or () for p in range(r["first"], r["first"] + r["size"])}
                     out = b"\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else value or b""
                     n = sum(1 for x in lines if x.split(None, 1))
                     rows.append((None if value is None else out.decode("utf-8", "replace"), n, len(gone), hashlib.sha256(out).hexdigest()))
