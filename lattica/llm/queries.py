@@ -37,8 +37,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = suffix_tree.marked(documents(spark, sf_dir))
-    return suffix_tree.scored(docs, docs.filter("NOT held_out"))
+    return suffix_tree.scored(suffix_tree.marked(documents(spark, sf_dir)))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer_json: str | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,267 +17,377 @@ from .common import CHUNK_BYTES, dropped, remainder, stored
 #: Bytes of the longest context, and the symbol that ends a text (no word holds it).
 DEPTH = 6
 END = b"\n"
-SCALE = 1 / math.log(10)
-_ODD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
+#: Text of a block: its distinct grams are looked up together.
+BLOCK_BYTES = 16 << 20
 
-def streams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed (DEPTH + 1)-grams of all symbols of the texts, where each text starts, and each text's symbols.
+#: Taken off each count for smoothing; nats that a context must gain over its suffix, over all its places, to be retained.
+DISCOUNT, GAIN = 0.75, 4.0
 
-    A text's symbols are its lower-cased words, each followed by a space, then END. The context before its first symbol is END.
-    """
-    parts, sizes = [], []
-    for t in texts:
-        words = t.split()
-        line = b" ".join(words) + (b" " if words else b"") + END
-        parts += [END * DEPTH, line]
-        sizes.append(len(line))
-    whole = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    keys, size = whole, 1
-    while size <= DEPTH:  # grams of twice the size, as long as that fits
-        step = min(size, DEPTH + 1 - size)
-        keys = keys[:-step] << np.uint64(8 * step) | keys[step:] & np.uint64((1 << 8 * step) - 1)
-        size += step
-    n = np.array(sizes, np.int64)
-    at = np.cumsum(n + DEPTH) - n - DEPTH  # keys[i] ends at symbol i + DEPTH of the padded stream
-    own = np.ones(len(keys), bool)
-    for a, size in zip(at.tolist(), sizes, strict=True):
-        own[a + size : a + size + DEPTH] = False
-    starts = np.cumsum(n) - n
-    return keys[own], starts, n
-
-
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, gram, n) over whole texts: how often each lower-cased word, and each (DEPTH + 1)-gram, occurs."""
-    schema = "word binary, gram long, n long"
-
-    def flush(words: Counter, held: list) -> list[pa.RecordBatch]:
-        out = []
-        names = ["word", "gram", "n"]
-        if words:
-            out.append(pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=names))
-            words.clear()
-        if held:
-            keys, sums = _summed(held)
-            out.append(pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(sums)], names=names))
-            held.clear()
-        return out
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_TEXT = 256
+_DOCS = pa.list_(pa.struct([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int64())]))
+_BLOCKS = "block long, shard int, n int, data binary, docs array<struct<rid:bigint,doc_id:bigint,held_out:boolean,size:bigint>>, word binary, pair int, times long"
 
-    def run(batches):
-        words, held = Counter(), []
-        for batch in batches:
-            column = batch.column("_text")
-            some, size = [], 0
-            for i in range(batch.num_rows):
-                value = (column[i].as_py() or b"").lower()
-                words.update(value.split())
-                some.append(value)
-                size += len(value)
-                if size >= CHUNK_BYTES or i == batch.num_rows - 1:
-                    keys = np.sort(streams(some)[0])
-                    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                    held.append((keys[first], np.diff(np.concatenate((first, [len(keys)])))))
-                    some, size = [], 0
-                    if len(held) >= 8:
-                        held[:] = [_summed(held)]
-                    if len(words) > 400_000 or len(held[0][0]) > 2_000_000:
-                        yield from flush(words, held)
-        yield from flush(words, held)
-
-    return docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+
+def segments(text: bytes):
+    """The symbols of a text in pieces: its lower-cased words, each followed by a space, then END. Each piece follows the DEPTH symbols
+    before it (END where there are none). A piece ends at a word's end, as soon as it has CHUNK_BYTES."""
+    words = text.lower().split()
+    line, before, at = b" ".join(words) + (b" " if words else b"") + END, END * DEPTH, 0
+    while at < len(line):
+        stop = line.find(b" ", at + CHUNK_BYTES) + 1 if len(line) - at > CHUNK_BYTES else 0
+        piece = before + line[at : stop or len(line)]
+        yield piece
+        before, at = piece[-DEPTH:], stop or len(line)
+
+
+def packed(whole: bytes, sizes: list[int]) -> np.ndarray:
+    """A number for each symbol of pieces that stand one after another (``sizes`` without the DEPTH symbols before each).
+
+    From the highest byte: a digest of the last three symbols before it (its shard), the DEPTH symbols before it, the last one first,
+    and the symbol. So numbers in order are grams in order of their reversed contexts, and all that follow one suffix stand together.
+    """
+    x = np.frombuffer(whole, np.uint8).astype(np.uint64)
+    n = len(x)
+    keys = x[DEPTH:].copy()
+    for j in range(1, DEPTH + 1):
+        keys |= x[DEPTH - j : n - j] << np.uint64(8 * (DEPTH + 1 - j))
+    keys |= (keys >> np.uint64(32)) * _ODD >> np.uint64(56) << np.uint64(56)
+    if len(sizes) > 1:
+        own = np.ones(len(keys), bool)
+        stops = np.cumsum(np.array(sizes) + DEPTH) - DEPTH
+        own[(stops[:-1, None] + np.arange(DEPTH)).reshape(-1)] = False
+        keys = keys[own]
+    return keys
 
 
 def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of (keys, counts) and the sums of their counts."""
     keys, sums = (np.concatenate(c) for c in zip(*held, strict=True))
+    if not len(keys):
+        return keys, sums
     order = np.argsort(keys, kind="stable")
     keys, sums = keys[order], sums[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(sums, first) if len(keys) else sums
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(sums, first)
+
+
+def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, byte by byte, compressed."""
+    whole = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _unplaned(data: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    whole, at, out = np.frombuffer(pa.decompress(data, decompressed_size=n * sum(sizes), codec="zstd"), np.uint8), 0, []
+    for size, kind in zip(sizes, kinds, strict=True):
+        out.append(np.ascontiguousarray(whole[at : at + n * size].reshape(size, n).T).view(kind).reshape(-1))
+        at += n * size
+    return out
+
+
+def _grams(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = _unplaned(data, n, (np.uint64, np.int64))
+    return np.cumsum(steps, dtype=np.uint64), counts
+
+
+def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The texts of ``docs`` (doc_id, text, held_out, rid) in blocks of BLOCK_BYTES, as rows of four kinds: (block, shard, n, data), the
+    block's n distinct grams of a shard and how often each occurs in rows that are not held out; (block, 256, n, data, docs), pieces
+    of texts; (word, times) and (pair, times), counts of words and of a symbol after two, in rows that are not held out."""
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        kinds = {"block": pa.int64(), "shard": pa.int32(), "n": pa.int32(), "data": pa.binary(), "docs": _DOCS, "word": pa.binary(), "pair": pa.int32(), "times": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        words, grams, pieces, who, size, total = Counter(), [], [], [], 0, 0
+
+        def chunk():
+            whole = b"".join(pieces)
+            for held in (False, True):
+                some = [i for i, d in enumerate(who) if d["held_out"] is held]
+                if some:
+                    keys, n = _unique(packed(b"".join(pieces[i] for i in some), [who[i]["size"] for i in some]))
+                    grams.append((keys, n * (not held)))
+            if len(grams) > 2:
+                grams[:] = [_summed(grams)]
+            return rows(block=[block], shard=[_TEXT], n=[len(whole)], data=[pa.compress(whole, codec="zstd", asbytes=True)], docs=[list(who)])
+
+        def closed():
+            keys, n = _summed(grams)
+            bounds = np.searchsorted(keys >> np.uint64(56), np.arange(257, dtype=np.uint64))
+            some = [(s, a, b) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
+            data = [_planes(np.diff(keys[a:b], prepend=np.uint64(0)), n[a:b]) for _, a, b in some]
+            yield rows(block=[block] * len(some), shard=[s for s, _, _ in some], n=[b - a for _, a, b in some], data=data)
+            taught = n > 0
+            pairs, sums = _summed([((keys[taught] >> np.uint64(32) & np.uint64(0xFFFF00)) | (keys[taught] & np.uint64(255)), n[taught])])
+            yield rows(pair=pairs.astype(np.int32), times=sums)
+            yield rows(word=list(words), times=list(words.values()))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rid, doc_id, held = (batch.column(c)[i].as_py() for c in ("rid", "doc_id", "held_out"))
+                for piece in segments(batch.column("_text")[i].as_py() or b""):
+                    if not held:
+                        words.update(piece[DEPTH:].split())
+                    pieces.append(piece)
+                    who.append({"rid": rid, "doc_id": doc_id, "held_out": held, "size": len(piece) - DEPTH})
+                    size += len(piece)
+                    if size >= CHUNK_BYTES:
+                        yield chunk()
+                        total += size
+                        pieces, who, size = [], [], 0
+                    if total >= BLOCK_BYTES:
+                        yield from closed()
+                        block += 1
+                        words, grams, total = Counter(), [], 0
+        if pieces:
+            yield chunk()
+            pieces.clear()
+        if grams:
+            yield from closed()
+
+    return docs.select("rid", "doc_id", "held_out", F.col(text).cast("binary").alias("_text")).mapInArrow(run, _BLOCKS)
 
 
 @dataclass
-class Tree:
-    """States are retained contexts; ``logs[state, column[symbol]]`` is the natural log of the smoothed probability of the next symbol."""
-
-    contexts: list[np.ndarray] = field(default_factory=list)
-    states: list[np.ndarray] = field(default_factory=list)
-    column: np.ndarray = field(default_factory=lambda: np.zeros(256, np.int64))
-    logs: np.ndarray = field(default_factory=lambda: np.full((1, 1), -math.log(256), np.float32))
-
-    def _found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(short, slots, ids): the longest known suffix of each two bytes, and a table of the longer contexts by open addressing,
-        an eighth full at most."""
-        if not hasattr(self, "_tables"):
-            short = np.zeros(1 << 16, np.int32)
-            for k in range(min(2, len(self.contexts))):
-                for c, s in zip(self.contexts[k].tolist(), self.states[k].tolist(), strict=True):
-                    short[np.arange(c, 1 << 16, 1 << 8 * (k + 1))] = s
-            long_ = [(k, c, s) for k in range(2, len(self.contexts)) for c, s in zip(self.contexts[k].tolist(), self.states[k].tolist(), strict=True)]
-            bits = max(10, (8 * len(long_)).bit_length())
-            slots, ids = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-            for k, c, s in long_:
-                key = c | (k + 1) << 56
-                at = ((key * _ODD) & _ALL) >> (64 - bits)
-                while slots[at]:
-                    at = (at + 1) & ((1 << bits) - 1)
-                slots[at], ids[at] = key, s
-            self._tables = short, slots, ids
-        return self._tables
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the last symbol of each packed gram under its longest retained suffix."""
-        short, slots, ids = self._found()
-        before = keys >> np.uint64(8)
-        state = short[(before & np.uint64(0xFFFF)).astype(np.int64)]
-        shift, last = np.uint64(65 - len(slots).bit_length()), len(slots) - 1
-        left = None
-        for k in range(3, len(self.contexts) + 1):
-            wanted = (before if left is None else before[left]) & np.uint64((1 << 8 * k) - 1) | np.uint64(k << 56)
-            at = (wanted * np.uint64(_ODD) >> shift).astype(np.int64)
-            there = slots[at]
-            hit = there == wanted
-            open_ = np.flatnonzero(~hit & (there != 0))
-            while len(open_):
-                at[open_] = (at[open_] + 1) & last
-                there = slots[at[open_]]
-                same = there == wanted[open_]
-                hit[open_[same]] = True
-                open_ = open_[~same & (there != 0)]
-            left = np.flatnonzero(hit) if left is None else left[hit]
-            state[left] = ids[at[hit]]
-            if not len(left):
-                break
-        return self.logs[state, self.column[(keys & np.uint64(255)).astype(np.int64)]]
-
-
-def grown(grams: DataFrame, least_context: float = 4e-6, least_pair: float = 1e-7, divergence: float = 0.002, gain: float = 6.0) -> Tree:
-    """Tree over the table of gram counts (gram, n), all of which count.
-
-    A context is a candidate if at least ``least_context`` of all symbols follow it, so there are at most 1 / least_context of
-    each length; symbols seen after it in less than ``least_pair`` of all places are left to smoothing. Both bounds hold whatever
-    the corpus, so what reaches the driver, a level at a time, is bounded. A candidate is retained if its next-symbol
-    distribution diverges from its suffix's by ``divergence`` nats or more and by ``gain`` nats over all its places, or if a longer
-    retained context needs it. With t different symbols kept after s, of c(s) places:
-    P(x | s) = (c(sx) + (c(s) - kept + t + 1) P(x | suffix)) / (c(s) + t + 1); at the root every byte has 0.1 added.
+class Root:
+    """The states of contexts of at most two symbols, whose number the alphabet bounds: probabilities of each symbol after none,
+    one and two (rows of ``p2``, found by ``row``), and which of the contexts are retained."""
+
+    p0: np.ndarray
+    p1: np.ndarray
+    kept1: np.ndarray
+    row: np.ndarray
+    p2: np.ndarray
+    kept2: np.ndarray
+
+    @classmethod
+    def grown(cls, pairs: np.ndarray, times: np.ndarray) -> Root:
+        contexts, place = np.unique(pairs >> 8, return_inverse=True)
+        c2 = np.zeros((len(contexts), 256))
+        c2[place, pairs & 255] = times
+        c1 = np.zeros((256, 256))
+        np.add.at(c1, contexts >> 8, c2)
+        c0 = c1.sum(axis=0)
+        p0 = (c0 + 0.1) / (c0.sum() + 25.6)
+        p1, kept1 = cls._below(c1, np.broadcast_to(p0, c1.shape))
+        p2, kept2 = cls._below(c2, p1[contexts >> 8])
+        row = np.full(1 << 16, -1, np.int32)
+        row[contexts] = np.arange(len(contexts))
+        return cls(p0, p1, kept1, row, p2.astype(np.float32), kept2)
+
+    @staticmethod
+    def _below(counts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        places, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+        p = np.where(places > 0, (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds * base) / np.maximum(places, 1), base)
+        return p, (p * np.log(p / base)).sum(axis=1) * places[:, 0] >= GAIN
+
+    def after(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each symbol after two others, and under the longest retained suffix of these."""
+        one, row = context >> 8, self.row[context]
+        first = self.p1[one, symbol]
+        best = np.where(self.kept1[one], first, self.p0[symbol])
+        if not len(self.p2):
+            return first, best
+        two = self.p2[row, symbol].astype(float)
+        return np.where(row >= 0, two, first), np.where((row >= 0) & self.kept2[row], two, best)
+
+
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, root: Root) -> np.ndarray:
+    """Log10 probability of the last symbol of each packed gram under the longest retained suffix of its context.
+
+    ``keys`` are in order and hold every counted gram of their shards; a count of 0 is a gram to be scored only. A context s
+    of c(s) places with t(s) different symbols after it gives
+    P(x | s) = (max(c(sx) - DISCOUNT, 0) + DISCOUNT t(s) P(x | suffix)) / c(s), and is retained if this distribution diverges from its
+    suffix's by GAIN nats over all its places, or if a longer retained context needs it. No count is too small to be seen by the test.
     """
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return Tree()
-    masks = [(1 << 8 * (k + 1)) - 1 for k in range(DEPTH + 1)]
-    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(m)).alias("pair")) for k, m in enumerate(masks)])
-    pairs = stored(grams.select(F.explode(levels).alias("e"), "n").groupBy("e.k", "e.pair").agg(F.sum("n").alias("n")), "pairs")
-    context = F.shiftright("pair", 8)
-    often = pairs.groupBy("k", context.alias("context")).agg(F.sum("n").alias("places")).filter(F.col("places") >= least_context * total)
-    seen = pairs.filter(F.col("n") >= least_pair * total).withColumn("context", context).join(often, ["k", "context"])
-    seen = stored(seen.select("k", "context", F.col("pair").bitwiseAND(F.lit(255)).cast("short").alias("symbol"), "n", "places"), "seen")
-    dropped(pairs)
-
-    first = {r["symbol"]: r["n"] for r in seen.filter("k = 0").collect()}
-    used = sorted(first)
-    column = np.full(256, len(used), np.int64)
-    column[used] = np.arange(len(used))
-    mass = np.array([first[x] + 0.1 for x in used] + [0.1 * max(1, 256 - len(used))])
-    root = mass / mass.sum()
-    dists: list[dict[int, np.ndarray]] = [{0: root.astype(np.float32)}]
-    kept: list[set[int]] = [set() for _ in range(DEPTH + 1)]
-    for d in range(1, DEPTH + 1):
-        table = seen.filter(F.col("k") == d).drop("k").toArrow()
-        ctx, symbol, n, places = (table.column(c).to_numpy() for c in table.column_names)
-        order = np.argsort(ctx, kind="stable")
-        bounds = np.flatnonzero(np.concatenate(([True], np.diff(ctx[order]) != 0, [True]))) if len(order) else np.zeros(1, int)
-        mask, own = (1 << 8 * (d - 1)) - 1, {}
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            rows = order[a:b]
-            c = int(ctx[rows[0]])
-            base = dists[d - 1].get(c & mask)
-            if base is None:
-                continue
-            base, ns, every = base.astype(np.float64), n[rows].astype(float), float(places[rows[0]])
-            p = (every - ns.sum() + len(ns) + 1) * base
-            p[column[symbol[rows]]] += ns
-            p /= every + len(ns) + 1
-            own[c] = p.astype(np.float32)
-            diverges = float((p * np.log(p / base)).sum())
-            if diverges >= divergence and diverges * every >= gain:
-                kept[d].add(c)
-        dists.append(own)
-    dropped(seen)
-    for d in range(DEPTH, 1, -1):
-        kept[d - 1] |= {c & ((1 << 8 * (d - 1)) - 1) for c in kept[d]}
-    tree, rows = Tree(column=column), [dists[0][0]]
-    for d in range(1, DEPTH + 1):
-        known = np.array(sorted(kept[d]), np.uint64)
-        tree.contexts.append(known)
-        tree.states.append(np.arange(len(rows), len(rows) + len(known), dtype=np.int32))
-        rows += [dists[d][int(c)] for c in known]
-    tree.logs = np.log(np.array(rows, np.float32))
-    tree.logs[:, -1] -= np.float32(math.log(max(1, 256 - len(used))))
-    return tree
-
-
-def scored(docs: DataFrame, train: DataFrame, head_share: float = 2e-6, text: str = "text") -> DataFrame:
+    symbol = (keys & np.uint64(255)).astype(np.int64)
+    p, best = root.after((keys >> np.uint64(40) & np.uint64(0xFFFF)).astype(np.int64), symbol)
+    for d in range(3, DEPTH + 1):
+        code = keys >> np.uint64(8 * (DEPTH - d) + 8) << np.uint64(8) | keys & np.uint64(255)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        n = np.add.reduceat(counts[order], first).astype(float)
+        context = code[first] >> np.uint64(8)
+        begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        state = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(first))))
+        places, kinds = np.add.reduceat(n, begin), np.add.reduceat((n > 0).astype(float), begin)
+        left = np.where(places > 0, DISCOUNT * kinds / np.maximum(places, 1), 1)  # the weight of the suffix
+        base = p[order][first]
+        own = np.maximum(n - DISCOUNT, 0) / np.maximum(places, 1)[state] + left[state] * base
+        seen = n > 0
+        divergence = np.add.reduceat(np.where(seen, own * np.log(own / base), 0), begin)
+        unseen = np.maximum(0, 1 - np.add.reduceat(np.where(seen, base, 0), begin))
+        divergence += unseen * left * np.log(left)
+        spread = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
+        new, kept = np.empty(len(p)), np.empty(len(p), bool)
+        new[order], kept[order] = own[spread], (divergence * places >= GAIN)[state][spread]
+        p, best = new, np.where(kept, new, best)
+    return np.log10(best)
+
+
+def grown(parts: DataFrame, root: Root) -> DataFrame:
+    """(shard, n, data, logs): the grams of each shard with their log probabilities, from the rows (shard, n, data) of all blocks.
+
+    A shard holds all grams whose contexts end in the same three symbols, so it has whole branches of the tree, and grows by itself.
+    """
+    shared = parts.sparkSession.sparkContext.broadcast(root)
+
+    def run(batches):
+        own, held = None, []
+
+        def closed():
+            keys, counts = _summed(held)
+            logs = log_probabilities(keys, counts, shared.value).astype(np.float32)
+            data = _planes(np.diff(keys, prepend=np.uint64(0)), counts)
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([data], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=["shard", "n", "data", "logs"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, n, data = (batch.column(c)[i].as_py() for c in ("shard", "n", "data"))
+                if shard != own:
+                    if held:
+                        yield closed()
+                    own, held = shard, []
+                held.append(_grams(data, n))
+                if sum(len(k) for k, _ in held[1:]) > max(1 << 16, len(held[0][0])):
+                    held[:] = [_summed(held)]
+        if held:
+            yield closed()
+
+    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, n int, data binary, logs binary")
+
+
+def answered(parts: DataFrame, tree: DataFrame) -> DataFrame:
+    """The rows (block, shard, n, data) with ``logs``, the log probabilities of their grams: each shard of the tree meets its rows."""
+    rows = parts.select("block", "shard", "n", "data", F.lit(None).cast("binary").alias("logs"))
+    both = rows.unionByName(tree.select(F.lit(-1).cast("long").alias("block"), "shard", "n", "data", "logs"))
+
+    def run(batches):
+        keys = logs = None
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                block, n = batch.column("block")[i].as_py(), batch.column("n")[i].as_py()
+                mine, _ = _grams(batch.column("data")[i].as_py(), n)
+                if block < 0:
+                    keys, logs = mine, np.frombuffer(batch.column("logs")[i].as_py(), np.float32)
+                else:
+                    out.append((i, logs[np.searchsorted(keys, mine)].tobytes()))
+            if out:
+                some = batch.take(pa.array([i for i, _ in out]))
+                yield pa.RecordBatch.from_arrays([some.column(c) for c in ("block", "shard", "n", "data")] + [pa.array([x for _, x in out], pa.binary())], names=["block", "shard", "n", "data", "logs"])
+
+    return both.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, "block long, shard int, n int, data binary, logs binary")
+
+
+def _sums(whole: bytes, sizes: list[int], keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The log probability of each piece, from those of all grams."""
+    own = packed(whole, sizes)
+    order = np.argsort(own)
+    own = own[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    each = np.empty(len(own))
+    each[order] = np.repeat(logs[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own))))
+    return np.add.reduceat(each, np.cumsum(sizes) - sizes)
+
+
+def scored(docs: DataFrame, head_share: float = 5e-6, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text, held_out).
 
-    ``score`` is the log10 probability of a text's words and its end under a tree grown on ``train``; ``base_score``
-    that under smoothed counts of its words. Words that make up ``head_share`` or more of all tokens (1 / head_share at most) are
-    broadcast with their counts; all others meet theirs in a join. Null texts are empty: one token, the end.
-    An empty ``train`` gives a uniform tree and base_score null.
+    ``score`` is the log10 probability of a text's words and its end under a tree grown on the rows that are not held out;
+    ``base_score`` that under smoothed counts of their words. The texts are laid in blocks, whose distinct grams meet the tree by
+    shards, so neither the tree nor the counts ever stand in one place; only words that make up ``head_share`` or more of all
+    tokens (1 / head_share at most) are broadcast with their counts, and contexts of at most two symbols.
+
+    Null texts are empty: one token, the end. Null ids and repeated rows are rows like any other. A text of any length is scored
+    in pieces; a word is never cut. No rows, or none that are not held out, give a uniform tree and base_score null; an empty table an empty table.
+    Other columns take no part.
     """
-    counts = stored(counted(train, text).groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
-    words = counts.filter("word IS NOT NULL").select("word", "n")
-    ends = train.count()
+    source = docs.select("doc_id", F.col(text), F.coalesce("held_out", F.lit(False)).alias("held_out"), F.monotonically_increasing_id().alias("rid"))
+    laid = stored(blocks(source, text), "blocks")
+    words = stored(laid.filter("word IS NOT NULL").groupBy("word").agg(F.sum("times").alias("n")), "words")
+    ends = laid.filter(F.col("shard") == _TEXT).select(F.explode("docs").alias("d")).filter("NOT d.held_out").agg(F.countDistinct("d.rid")).first()[0]
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, vocabulary = n_words + ends, distinct + (ends > 0)
-    tree = grown(counts.filter("gram IS NOT NULL").select("gram", "n"))
+    pairs = laid.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("times").alias("n")).toArrow()
+    root = Root.grown(pairs.column("pair").to_numpy().astype(np.int64), pairs.column("n").to_numpy())
+    parts = laid.filter(F.col("shard") < _TEXT).select("block", "shard", "n", "data")
+    tree = stored(grown(parts.drop("block"), root), "tree")
     frequent = words.filter(F.col("n") >= max(1, head_share * tokens)).toArrow()
-    head = dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), strict=True))
-    shared = docs.sparkSession.sparkContext.broadcast((tree, {w: math.log10(n + 0.1) for w, n in head.items()}))
-    del head
+    head = dict(zip(frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 0.1).tolist(), strict=True))
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+    del head, frequent
 
     def run(batches):
-        own, logs = shared.value
+        logs = shared.value
+        block, held, keys, values = None, [], None, None
         for batch in batches:
-            column, a = batch.column("_text"), 0
-            some, size = [], 0
             for i in range(batch.num_rows):
-                some.append((column[i].as_py() or b"").lower())
-                size += len(some[-1])
-                if size < CHUNK_BYTES and i < batch.num_rows - 1:
+                shard, n, data = (batch.column(c)[i].as_py() for c in ("shard", "n", "data"))
+                if batch.column("block")[i].as_py() != block:
+                    block, held, keys = batch.column("block")[i].as_py(), [], None
+                if shard < _TEXT:
+                    held.append((_grams(data, n)[0], np.frombuffer(batch.column("logs")[i].as_py(), np.float32)))
                     continue
-                keys, starts, _ = streams(some)
-                sums = np.add.reduceat(np.concatenate([own.score(keys[k : k + (1 << 20)]) for k in range(0, len(keys), 1 << 20)]).astype(np.float64), starts) * SCALE
-                n, n_head, s_head, rest = [], [], [], []
-                for value in some:
-                    each = value.split()
+                if keys is None:
+                    keys, values = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held = []
+                whole, who = pa.decompress(data, decompressed_size=n, codec="zstd", asbytes=True), batch.column("docs")[i].as_py()
+                sizes = [d["size"] for d in who]
+                sums, at = _sums(whole, sizes, keys, values), 0
+                n_tokens, n_head, s_head, tail, times, ends = [], [], [], [], [], [0]
+                for size in sizes:
+                    body = whole[at + DEPTH : at + DEPTH + size]
+                    at += DEPTH + size
+                    each = body.split()
                     found = np.fromiter((logs.get(w, np.nan) for w in each), float, len(each))
-                    missing = np.flatnonzero(np.isnan(found))
-                    n.append(len(each) + 1)
-                    n_head.append(len(each) - len(missing))
+                    missing = np.isnan(found)
+                    rest = Counter(w for w, m in zip(each, missing.tolist(), strict=True) if m)
+                    n_tokens.append(len(each) + body.endswith(END))
+                    n_head.append(len(each) - int(missing.sum()))
                     s_head.append(float(np.nansum(found)))
-                    rest.append(list(Counter(each[j] for j in missing.tolist()).items()))
-                part = batch.slice(a, i + 1 - a)
-                tail = pa.array([[{"word": w, "times": c} for w, c in r] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
+                    tail += rest.keys()
+                    times += rest.values()
+                    ends.append(len(tail))
+                pairs = pa.StructArray.from_arrays([pa.array(tail, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), part.column("rid"), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), pa.array(s_head, pa.float64()), pa.array(sums), tail],
-                    names=["doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "score", "tail"],
+                    [pa.array([d[c] for d in who], k) for c, k in (("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+                    + [pa.array(n_tokens, pa.int64()), pa.array(n_head, pa.int64()), pa.array(s_head, pa.float64()), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                    names=["rid", "doc_id", "held_out", "n_tokens", "n_head", "s_head", "score", "tail"],
                 )
-                some, size, a = [], 0, i + 1
 
-    schema = "doc_id long, held_out boolean, rid long, n_tokens long, n_head long, s_head double, score double, tail array<struct<word:binary,times:bigint>>"
-    source = docs.select("doc_id", "held_out", F.monotonically_increasing_id().alias("rid"), F.col(text).cast("binary").alias("_text"))
-    rows = stored(source.mapInArrow(run, schema), "scored")
+    texts = laid.filter(F.col("shard") == _TEXT).select("block", "shard", "n", "data", F.lit(None).cast("binary").alias("logs"), "docs")
+    met = answered(parts, tree).withColumn("docs", F.lit(None).cast(texts.schema["docs"].dataType)).unionByName(texts)
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, s_head double, score double, tail array<struct<word:binary,times:bigint>>"
+    rows = stored(met.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(run, schema), "scored")
     tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.times").join(words.filter(F.col("n") < max(1, head_share * tokens)), "word")
-    known = tail.groupBy("rid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("logs"))
-    joined = rows.drop("tail").join(known, "rid", "left")
-    missed = F.col("n_tokens") - 1 - F.col("n_head") - F.coalesce("known", F.lit(0))
-    end = math.log10(ends + 0.1)
+    known = tail.groupBy("rid").agg(F.sum("times").alias("n_head"), F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("s_head"))
+    whole = rows.drop("tail").unionByName(known, allowMissingColumns=True).groupBy("rid")
+    whole = whole.agg(F.max("doc_id").alias("doc_id"), F.bool_or("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_head", "s_head", "score")])
+    for t in (laid, tree):
+        dropped(t)
+    missed = F.col("n_tokens") - 1 - F.col("n_head")
     per_token = math.log10(tokens + 0.1 * (vocabulary + 1)) if tokens else None
-    base = F.col("s_head") + F.coalesce("logs", F.lit(0.0)) + missed * F.lit(math.log10(0.1)) + F.lit(end) - F.col("n_tokens") * F.lit(per_token)
-    return joined.select(
+    base = F.col("s_head") + missed * F.lit(math.log10(0.1)) + F.lit(math.log10(ends + 0.1)) - F.col("n_tokens") * F.lit(per_token)
+    return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).cast("bigint").alias("n_known"),
+        (F.col("n_head") + F.lit(int(ends > 0))).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         base.cast("double").alias("base_score"),
         "score",

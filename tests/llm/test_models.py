@@ -49,7 +49,7 @@ def test_filters_return_every_language_of_a_gram():
 def test_scores_against_brute_force(spark, docs):
     rows = corpus(120) + [(500, None, None, None), (501, "", None, None), (None, "lor em", None, None), (502, "lor em", None, None), (502, "lor em", None, None)]
     df = suffix_tree.marked(docs(rows))
-    got = suffix_tree.scored(df, df.filter("NOT held_out")).collect()
+    got = suffix_tree.scored(df).collect()
     count = Counter()
     for k, t, *_ in rows:
         if k is None or zlib.crc32(str(k).encode()) % 10:
@@ -62,24 +62,68 @@ def test_scores_against_brute_force(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_tree_is_a_distribution_and_takes_the_longest_suffix(spark):
-    texts = [t.encode() for _, t, *_ in corpus(60)]
-    keys, n = np.unique(suffix_tree.streams(texts)[0], return_counts=True)
-    tree = suffix_tree.grown(spark.createDataFrame(list(zip(keys.astype(np.int64).tolist(), n.tolist(), strict=True)), "gram long, n long"))
-    per_symbol = np.exp(tree.logs.astype(float))[:, tree.column]
-    assert np.allclose(per_symbol.sum(axis=1), 1, atol=1e-4)
-    known = {(d, int(c)): int(s) for d, (cs, ss) in enumerate(zip(tree.contexts, tree.states, strict=True), 1) for c, s in zip(cs, ss, strict=True)}
-    for key in keys[:200].tolist():
-        state = 0
-        for d in range(1, suffix_tree.DEPTH + 1):
-            state = known.get((d, (key >> 8) & ((1 << 8 * d) - 1)), state)
-        assert tree.score(np.array([key], np.uint64))[0] == tree.logs[state, tree.column[key & 255]]
+def brute_scores(rows):
+    """(score of each text) by a tree of dictionaries: every context that is retained, its distribution, and the longest suffix of each place."""
+    lines = [(k, b" ".join((t or "").encode().lower().split()) + (b" " if (t or "").split() else b"") + b"\n") for k, t, *_ in rows]
+    seen = [Counter() for _ in range(suffix_tree.DEPTH + 1)]
+    for k, line in lines:
+        if k is None or zlib.crc32(str(k).encode()) % 10:
+            line = b"\n" * suffix_tree.DEPTH + line
+            for i in range(suffix_tree.DEPTH, len(line)):
+                for d in range(suffix_tree.DEPTH + 1):
+                    seen[d][line[i - d : i + 1]] += 1
+    dists, kept = {}, set()
+    for d in range(suffix_tree.DEPTH + 1):
+        after = {}
+        for gram, n in seen[d].items():
+            after.setdefault(gram[:-1], {})[gram[-1]] = n
+        for s, ns in after.items():
+            c = sum(ns.values())
+            if d == 0:
+                dists[s] = [(ns.get(x, 0) + 0.1) / (c + 25.6) for x in range(256)]
+                continue
+            base = dists[s[1:]]
+            p = [(max(ns.get(x, 0) - suffix_tree.DISCOUNT, 0) + suffix_tree.DISCOUNT * len(ns) * base[x]) / c for x in range(256)]
+            dists[s] = p
+            assert abs(sum(p) - 1) < 1e-9
+            if sum(a * math.log(a / b) for a, b in zip(p, base, strict=True)) * c >= suffix_tree.GAIN:
+                kept.add(s)
+    out = []
+    for k, line in lines:
+        line, total = b"\n" * suffix_tree.DEPTH + line, 0.0
+        for i in range(suffix_tree.DEPTH, len(line)):
+            d = next((d for d in range(suffix_tree.DEPTH, 0, -1) if line[i - d : i] in kept), 0)
+            total += math.log10(dists[line[i - d : i]][line[i]])
+        out.append((str(k), total))
+    return sorted(out)
+
+
+def test_text_scores_against_a_tree_of_dictionaries(spark, docs):
+    rows = corpus(40) + [(500, None, None, None), (501, "", None, None), (None, "lor em", None, None), (502, "LOR em\n\tzz", None, None), (502, "LOR em\n\tzz", None, None), (503, "é 中文 " * 30, None, None), (504, "ipsum" * 400, None, None)]
+    got = suffix_tree.scored(suffix_tree.marked(docs(rows))).collect()
+    pairs = zip(sorted((str(r.doc_id), r.score) for r in got), brute_scores(rows), strict=True)
+    assert all(a == c and abs(b - d) <= 0.01 for (a, b), (c, d) in pairs)
+
+
+def test_pieces_and_blocks_do_not_change_scores():
+    text = b" ".join(t.encode() for _, t, *_ in corpus(30))
+    whole = list(suffix_tree.segments(text))
+    old = suffix_tree.CHUNK_BYTES
+    suffix_tree.CHUNK_BYTES = 100
+    try:
+        parts = list(suffix_tree.segments(text))
+    finally:
+        suffix_tree.CHUNK_BYTES = old
+    assert len(whole) == 1 and len(parts) > 10
+    both = [suffix_tree.packed(b"".join(p), [len(x) - suffix_tree.DEPTH for x in p]) for p in (whole, parts)]
+    assert (both[0] == both[1]).all()
 
 
 def test_empty_training(spark, docs):
-    df = suffix_tree.marked(docs([(1, "a b")]))
-    (r,) = suffix_tree.scored(df, df.limit(0)).collect()
+    df = suffix_tree.marked(docs([(1, "a b")])).selectExpr("doc_id", "text", "true AS held_out")
+    (r,) = suffix_tree.scored(df).collect()
     assert r.train_tokens == 0 and r.n_known == 0 and r.base_score is None and r.score < 0
+    assert suffix_tree.scored(df.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("block", [4, 512])
