@@ -27,7 +27,7 @@ DISCOUNT, GAIN = 0.75, 4.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TEXT = 256
 _DOCS = pa.list_(pa.struct([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int64())]))
-_BLOCKS = "block long, shard int, n int, data binary, docs array<struct<rid:bigint,doc_id:bigint,held_out:boolean,size:bigint>>, word binary, pair int, times long"
+_BLOCKS = "block long, shard int, n int, data binary, counts binary, docs array<struct<rid:bigint,doc_id:bigint,held_out:boolean,size:bigint>>, word binary, pair int, times long"
 
 
 def segments(text: bytes):
@@ -79,34 +79,34 @@ def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _planes(*columns: np.ndarray) -> bytes:
-    """Columns of numbers, byte by byte, compressed."""
-    whole = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
-    return pa.compress(whole, codec="zstd", asbytes=True)
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers, their first bytes first, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unplaned(data: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    whole, at, out = np.frombuffer(pa.decompress(data, decompressed_size=n * sum(sizes), codec="zstd"), np.uint8), 0, []
-    for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.ascontiguousarray(whole[at : at + n * size].reshape(size, n).T).view(kind).reshape(-1))
-        at += n * size
-    return out
+def _unplaned(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    whole = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(whole.reshape(size, n).T).view(kind).reshape(-1)
 
 
-def _grams(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    steps, counts = _unplaned(data, n, (np.uint64, np.int64))
-    return np.cumsum(steps, dtype=np.uint64), counts
+def _grams(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unplaned(data, n, np.uint64), dtype=np.uint64)
+
+
+def _rounded(logs: np.ndarray) -> np.ndarray:
+    """In 32 bits, of which 16 of the mantissa's are kept: to 1 part in 100,000."""
+    return (logs.astype(np.float32).view(np.uint32) + np.uint32(64) & np.uint32(0xFFFFFF80)).view(np.float32)
 
 
 def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The texts of ``docs`` (doc_id, text, held_out, rid) in blocks of BLOCK_BYTES, as rows of four kinds: (block, shard, n, data), the
+    """The texts of ``docs`` (doc_id, text, held_out, rid) in blocks of BLOCK_BYTES, as rows of four kinds: (block, shard, n, data, counts), the
     block's n distinct grams of a shard and how often each occurs in rows that are not held out; (block, 256, n, data, docs), pieces
     of texts; (word, times) and (pair, times), counts of words and of a symbol after two, in rows that are not held out."""
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        kinds = {"block": pa.int64(), "shard": pa.int32(), "n": pa.int32(), "data": pa.binary(), "docs": _DOCS, "word": pa.binary(), "pair": pa.int32(), "times": pa.int64()}
+        kinds = {"block": pa.int64(), "shard": pa.int32(), "n": pa.int32(), "data": pa.binary(), "counts": pa.binary(), "docs": _DOCS, "word": pa.binary(), "pair": pa.int32(), "times": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
 
     def run(batches):
@@ -128,8 +128,8 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
             keys, n = _summed(grams)
             bounds = np.searchsorted(keys >> np.uint64(56), np.arange(257, dtype=np.uint64))
             some = [(s, a, b) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
-            data = [_planes(np.diff(keys[a:b], prepend=np.uint64(0)), n[a:b]) for _, a, b in some]
-            yield rows(block=[block] * len(some), shard=[s for s, _, _ in some], n=[b - a for _, a, b in some], data=data)
+            data = [_planes(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in some]
+            yield rows(block=[block] * len(some), shard=[s for s, _, _ in some], n=[b - a for _, a, b in some], data=data, counts=[_planes(n[a:b]) for _, a, b in some])
             taught = n > 0
             pairs, sums = _summed([((keys[taught] >> np.uint64(32) & np.uint64(0xFFFF00)) | (keys[taught] & np.uint64(255)), n[taught])])
             yield rows(pair=pairs.astype(np.int32), times=sums)
@@ -240,7 +240,7 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, root: Root) -> np.nd
 
 
 def grown(parts: DataFrame, root: Root) -> DataFrame:
-    """(shard, n, data, logs): the grams of each shard with their log probabilities, from the rows (shard, n, data) of all blocks.
+    """(shard, n, data, logs): the grams of each shard with their log probabilities, from the rows (shard, n, data, counts) of all blocks.
 
     A shard holds all grams whose contexts end in the same three symbols, so it has whole branches of the tree, and grows by itself.
     """
@@ -251,18 +251,17 @@ def grown(parts: DataFrame, root: Root) -> DataFrame:
 
         def closed():
             keys, counts = _summed(held)
-            logs = log_probabilities(keys, counts, shared.value).astype(np.float32)
-            data = _planes(np.diff(keys, prepend=np.uint64(0)), counts)
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([data], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=["shard", "n", "data", "logs"])
+            columns = [pa.array([_planes(x)], pa.binary()) for x in (np.diff(keys, prepend=np.uint64(0)), _rounded(log_probabilities(keys, counts, shared.value)))]
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(keys)], pa.int32()), *columns], names=["shard", "n", "data", "logs"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, n, data = (batch.column(c)[i].as_py() for c in ("shard", "n", "data"))
+                shard, n, data, counts = (batch.column(c)[i].as_py() for c in ("shard", "n", "data", "counts"))
                 if shard != own:
                     if held:
                         yield closed()
                     own, held = shard, []
-                held.append(_grams(data, n))
+                held.append((_grams(data, n), _unplaned(counts, n, np.int64)))
                 if sum(len(k) for k, _ in held[1:]) > max(1 << 16, len(held[0][0])):
                     held[:] = [_summed(held)]
         if held:
@@ -282,11 +281,11 @@ def answered(parts: DataFrame, tree: DataFrame) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 block, n = batch.column("block")[i].as_py(), batch.column("n")[i].as_py()
-                mine, _ = _grams(batch.column("data")[i].as_py(), n)
+                mine = _grams(batch.column("data")[i].as_py(), n)
                 if block < 0:
-                    keys, logs = mine, np.frombuffer(batch.column("logs")[i].as_py(), np.float32)
+                    keys, logs = mine, _unplaned(batch.column("logs")[i].as_py(), n, np.float32)
                 else:
-                    out.append((i, logs[np.searchsorted(keys, mine)].tobytes()))
+                    out.append((i, _planes(logs[np.searchsorted(keys, mine)])))
             if out:
                 some = batch.take(pa.array([i for i, _ in out]))
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in ("block", "shard", "n", "data")] + [pa.array([x for _, x in out], pa.binary())], names=["block", "shard", "n", "data", "logs"])
@@ -305,7 +304,7 @@ def _sums(whole: bytes, sizes: list[int], keys: np.ndarray, logs: np.ndarray) ->
     return np.add.reduceat(each, np.cumsum(sizes) - sizes)
 
 
-def scored(docs: DataFrame, head_share: float = 5e-6, text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, head_share: float = 2e-6, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text, held_out).
 
     ``score`` is the log10 probability of a text's words and its end under a tree grown on the rows that are not held out;
@@ -325,7 +324,7 @@ def scored(docs: DataFrame, head_share: float = 5e-6, text: str = "text") -> Dat
     tokens, vocabulary = n_words + ends, distinct + (ends > 0)
     pairs = laid.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("times").alias("n")).toArrow()
     root = Root.grown(pairs.column("pair").to_numpy().astype(np.int64), pairs.column("n").to_numpy())
-    parts = laid.filter(F.col("shard") < _TEXT).select("block", "shard", "n", "data")
+    parts = laid.filter(F.col("shard") < _TEXT).select("block", "shard", "n", "data", "counts")
     tree = stored(grown(parts.drop("block"), root), "tree")
     frequent = words.filter(F.col("n") >= max(1, head_share * tokens)).toArrow()
     head = dict(zip(frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 0.1).tolist(), strict=True))
@@ -341,7 +340,7 @@ def scored(docs: DataFrame, head_share: float = 5e-6, text: str = "text") -> Dat
                 if batch.column("block")[i].as_py() != block:
                     block, held, keys = batch.column("block")[i].as_py(), [], None
                 if shard < _TEXT:
-                    held.append((_grams(data, n)[0], np.frombuffer(batch.column("logs")[i].as_py(), np.float32)))
+                    held.append((_grams(data, n), _unplaned(batch.column("logs")[i].as_py(), n, np.float32)))
                     continue
                 if keys is None:
                     keys, values = (np.concatenate(c) for c in zip(*held, strict=True))
