@@ -55,45 +55,64 @@ def formatted(conversations: DataFrame, budget: int = 1024, history: int = 256)
     """Windows of the conversations (conv_id, turn, role, text): conv_id, window, n_tokens, formatted, new_from, loss.
 
     A turn counts (characters of role and text) / 4, rounded up, plus 4 tokens. Prefix sums of these
-    counts lay a conversation's turns (by turn, then role, then text; nulls first) on a line. The line is cut
-    every ``room`` tokens, room being the budget less the history and the system turn (a quarter of the budget at
-    least): turns that lie within one stretch are the new turns of a window, and a turn across a cut is
-    a window of its own. So every turn is new in exactly one window, all windows follow from the sums without
-    a scan in order, and a window keeps the budget unless a single turn exceeds it. Each window begins with the
-    system turn (the first turn, if its role is system), then repeats the turns that start within ``history``
-    tokens before its first new one.
-
-    Null roles and texts are empty; a null conv_id is a conversation like any other. Repeated rows
-    are turns of their own. ``loss`` holds spans of ``formatted`` in characters. A window's turns meet in one
+    counts lay a conversation's turns (by turn, then role, then text; nulls first) on a line, which is cut
+    every ``room`` tokens, room being what the budget leaves beside the system turn and the history (half of what it leaves beside
+    the system turn, at least). Turns within one stretch are the new turns of a window. A turn across a cut goes with the stretch before it
+    if both have room, else with the one after it if that has, else it is a window of its own, as is a turn
+    longer than the room. Whether it fits follows from the sums at the two nearest cuts, so every turn is new in exactly one window
+    and no conversation is scanned in order.
+
+    Each window begins with the system turn (the first turn, if its role is system), then repeats as many of the turns before
+    its first new one as start within ``history`` tokens and fit. A window never exceeds the budget unless
+    its only new turn, with the system turn, does.
+
+    Null roles and texts are empty; a null conv_id is a conversation like any other, null turns come first. Repeated rows
+    are turns of their own; turns equal in turn, role and text are interchangeable. A text of any length is one turn, never cut. Other
+    columns take no part, whatever their names; an empty table has no windows. ``loss`` holds spans of ``formatted`` in characters. A window's turns meet in one
     task; the budget bounds them. Prefix sums never meet in one: blocks of turns are summed first.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS))
     rows = rows.withColumn("tokens", (F.ceil((F.length("role") + F.length("text")) / 4) + 4).cast("bigint"))
     sums = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("s"), F.count("*").alias("n"))
-    over_blocks = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    by_block = Window.partitionBy("conv_id").orderBy("block")
+    over_blocks = by_block.rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.select(
         F.col("conv_id").alias("c"),
         F.col("block").alias("b"),
         F.coalesce(F.sum("s").over(over_blocks), F.lit(0)).alias("tokens_ahead"),
         F.coalesce(F.sum("n").over(over_blocks), F.lit(0)).alias("turns_ahead"),
+        F.sum("s").over(by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_tokens"),
     )
     inner = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     placed = rows.withColumn("own", F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, -1))).withColumn("nth", F.row_number().over(inner) - 1)
     placed = placed.join(ahead, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select(
-        "conv_id", "role", "text", "tokens", (F.col("turns_ahead") + F.col("nth")).alias("pos"), (F.col("tokens_ahead") + F.coalesce("own", F.lit(0))).alias("start")
+        "conv_id", "role", "text", "tokens", "all_tokens", (F.col("turns_ahead") + F.col("nth")).alias("pos"), (F.col("tokens_ahead") + F.coalesce("own", F.lit(0))).alias("start")
     )
     system = placed.filter((F.col("pos") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("c"), F.col("tokens").alias("system_tokens"))
-    laid = placed.select("conv_id", "pos", "start", "tokens").join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    laid = placed.select("conv_id", "pos", "start", "tokens", "all_tokens").join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
     laid = laid.withColumn("system_tokens", F.coalesce("system_tokens", F.lit(0)))
-    laid = laid.withColumn("room", F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(budget // 4)))
-    laid = laid.withColumn("stretch", F.floor(F.col("start") / F.col("room")))
-    crossing = F.floor((F.col("start") + F.col("tokens") - 1) / F.col("room")) != F.col("stretch")
-    laid = laid.withColumn("window", F.col("stretch") * 2 + crossing.cast("bigint"))
-    windows = laid.groupBy("conv_id", "window").agg(F.min("start").alias("first"), F.min("pos").alias("first_pos"), F.max("system_tokens").alias("has_system"))
+    left = F.lit(budget) - F.col("system_tokens")
+    laid = laid.withColumn("room", F.greatest(left - history, F.floor(left / 2), F.lit(1)).cast("bigint"))
+    laid = laid.withColumn("stretch", F.floor(F.col("start") / F.col("room"))).withColumn("last", F.floor((F.col("start") + F.col("tokens") - 1) / F.col("room")))
+    across = laid.filter("last > stretch").withColumn("before", (F.col("stretch") + 1) * F.col("room") - F.col("start")).withColumn("beyond", F.col("start") + F.col("tokens") - F.col("last") * F.col("room"))
+    earlier = across.select(F.col("conv_id").alias("c"), F.col("last").alias("t"), F.col("beyond").alias("beyond_earlier"))
+    later = across.select(F.col("conv_id").alias("c"), (F.col("stretch") - 1).alias("t"), F.col("before").alias("before_later"), (F.col("tokens") <= F.col("room")).alias("fits_later"), F.col("beyond").alias("beyond_later"))
+    there = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("t"))
+    met = across.join(earlier, there, "left").drop("c", "t").join(later, there, "left").drop("c", "t")
+    with_last = F.col("beyond") <= F.coalesce("beyond_earlier", F.lit(0))
+    taken = F.coalesce(F.col("fits_later") & (F.col("beyond_later") <= F.col("beyond")), F.lit(False))
+    spare = F.coalesce("before_later", F.greatest(F.lit(0), (F.col("stretch") + 2) * F.col("room") - F.col("all_tokens")))
+    side = F.when(F.col("tokens") > F.col("room"), 1).when(with_last, 0).when(~taken & (F.col("before") <= spare), 2).otherwise(1)
+    columns = ["conv_id", "pos", "start", "tokens", "system_tokens", "room", "stretch"]
+    laid = laid.filter("last = stretch").select(*columns, (F.col("stretch") * 2).alias("window")).unionByName(met.select(*columns, (F.col("stretch") * 2 + side).alias("window")))
+    windows = laid.groupBy("conv_id", "window").agg(
+        F.min("start").alias("first"), F.min("pos").alias("first_pos"), F.sum("tokens").alias("own"), F.max("system_tokens").alias("has_system"), F.max("room").alias("most")
+    )
+    windows = windows.withColumn("reach", F.least(F.lit(history), F.col("most"), F.lit(budget) - F.col("has_system") - F.col("own")))
     new = laid.select("conv_id", "window", "pos", F.lit(True).alias("new"))
-    before = laid.filter((F.col("pos") > 0) | (F.col("system_tokens") == 0)).select(F.col("conv_id").alias("c"), "pos", "start", F.explode(F.array(*[F.col("stretch") * 2 + k for k in (1, 2, 3)])).alias("w"))
-    near = (F.col("start") < F.col("first")) & (F.col("start") >= F.col("first") - min(history, budget // 4))
+    before = laid.filter((F.col("pos") > 0) | (F.col("system_tokens") == 0)).select(F.col("conv_id").alias("c"), "pos", "start", F.explode(F.array(*[F.col("stretch") * 2 + k for k in (1, 2, 3, 4)])).alias("w"))
+    near = (F.col("start") < F.col("first")) & (F.col("start") >= F.col("first") - F.col("reach"))
     repeated = windows.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")) & near).select("conv_id", "window", "pos", F.lit(False).alias("new"))
     kept = windows.filter((F.col("first_pos") > 0) & (F.col("has_system") > 0)).select("conv_id", "window", F.lit(0).cast("bigint").alias("pos"), F.lit(False).alias("new"))
     members = new.unionByName(repeated).unionByName(kept).withColumnRenamed("conv_id", "c").withColumnRenamed("pos", "p")
