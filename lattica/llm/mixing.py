@@ -47,56 +47,57 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), epochs: int =
 
 
 def mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), epochs: int = 3, seed: int = 7) -> DataFrame:
-    """How often each document of ``sized`` (doc_id, source, size) is taken.
+    """How often each document of ``sized`` (doc_id, source, size, key) is taken.
 
     Every document is taken ``whole`` times, the whole part of target / source_size. The rest of the
     target is a fractional repetition: the source's documents lie on a line in an order drawn by the seed
-    (md5 of seed and id, then size), and the first words of that line are taken once more, so that
+    (md5 of seed and key, then size, then id), and the first words of that line are taken once more, so that
     at most one document of a source is taken in part and the source's sum is its target, rounded.
 
-    Returns doc_id, source, size, source_size, target, whole, extra, taken (words). Null ids and sources
+    Returns doc_id, source, key, size, source_size, target, whole, extra, taken (words). Null ids and sources
     are ids and a source like any other; repeated rows are rows of their own, and which of two equal rows
-    is cut makes no difference. No text is shuffled. The order needs no global sort: sums by the hash's
+    is cut makes no difference. Documents of size 0 are taken with 0 words; an empty table gives an empty table. Other columns take no
+    part. No text is shuffled. The order needs no global sort: sums by the hash's
     first digits find the one stretch of each source where the line is cut, and only that stretch
-    (1/4096 of a source) is ordered.
+    (1/4096 of a source) is ordered. Rows meet their source's figures by source and stretch, so a large source is dealt over many tasks.
     """
-    spot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = stored(sized.select("doc_id", "source", "size", spot.alias("spot")).withColumn("coarse", F.substring("spot", 1, COARSE_DIGITS)), "mix")
+    spot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key")))
+    rows = stored(sized.select("doc_id", "source", "key", "size", spot.alias("spot")).withColumn("coarse", F.substring("spot", 1, COARSE_DIGITS)), "mix")
     stretches = rows.groupBy("source", "coarse").agg(F.sum("size").alias("stretch"))
     aims = targets(stretches.groupBy("source").agg(F.sum("stretch").alias("source_size")), weights, epochs)
     goal = F.round("target").cast("bigint")
     aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("bigint"))
     aims = aims.withColumn("rest", goal - F.col("whole") * F.col("source_size"))
     along = Window.partitionBy("source").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
-    laid = stretches.withColumn("ahead", F.coalesce(F.sum("stretch").over(along), F.lit(0)))
-    laid = laid.withColumnRenamed("source", "s").join(aims, F.col("s").eqNullSafe(F.col("source")))
-    cuts = laid.filter((F.col("ahead") < F.col("rest")) & (F.col("rest") <= F.col("ahead") + F.col("stretch")))
-    cuts = cuts.select(F.col("s").alias("cut_source"), F.col("coarse").alias("cut"), "ahead")
-    plan = aims.withColumnRenamed("source", "s").join(cuts, F.col("cut_source").eqNullSafe(F.col("s")), "left").drop("cut_source")
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    inside = F.col("cut").isNotNull() & (F.col("coarse") == F.col("cut"))
-    clear = joined.filter(~inside).withColumn("extra", F.when(F.col("coarse") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("source").orderBy("spot", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    laid = stretches.withColumn("ahead", F.coalesce(F.sum("stretch").over(along), F.lit(0))).withColumnRenamed("source", "s")
+    plan = laid.join(aims, F.col("s").eqNullSafe(F.col("source"))).select("s", F.col("coarse").alias("c"), "stretch", "ahead", "source_size", "target", "whole", "rest")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("coarse") == F.col("c")))
+    inside = (F.col("ahead") < F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("stretch"))
+    clear = joined.filter(~inside).withColumn("extra", F.when(F.col("ahead") + F.col("stretch") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
+    order = Window.partitionBy("source", "coarse").orderBy("spot", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     gone = F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))
     cut = joined.filter(inside).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - gone)))
     out = clear.unionByName(cut)
-    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    return out.select("doc_id", "source", "key", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source and size (number of words, 0 for a null text)."""
-    return docs.select("doc_id", "source", F.size(words_of(F.col(text))).cast("bigint").alias("size"))
+    """doc_id, source, size (number of words, 0 for a null text) and key, by which the seed draws: the id, or for a null id the text's md5."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(text), F.lit(""))
+    return docs.select("doc_id", "source", F.size(words_of(F.col(text))).cast("bigint").alias("size"), key.alias("key"))
 
 
 def repeated(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), epochs: int = 3, seed: int = 7) -> DataFrame:
-    """The mix as documents: each row as often as it is taken, columns unchanged.
+    """The mix as documents: each row as often as it is taken, columns unchanged, whatever their names.
 
-    The one document of a source that is taken in part stays whole if at least half of it is taken.
+    The one document of a source that is taken in part stays whole if at least half of it is taken. Rows equal in key, source and size
+    are taken equally often, the most of them.
     """
     plan = mix(sized(docs), weights, epochs, seed)
-    times = F.max(F.col("whole") + (2 * F.col("extra") >= F.greatest(F.col("size"), F.lit(1))).cast("bigint")).alias("mix_times")
-    plan = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(times)
-    own = F.size(words_of(F.col("text"))).cast("bigint")
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("own_size") == F.col("mix_size"))
-    joined = docs.withColumn("own_size", own).join(plan.filter("mix_times > 0"), same)
-    return joined.withColumn("mix_times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_times")))).select(*docs.columns)
+    times = F.max(F.col("whole") + (2 * F.col("extra") >= F.greatest(F.col("size"), F.lit(1))).cast("bigint")).alias("times")
+    plan = plan.groupBy(F.col("key").alias("k"), F.col("source").alias("s"), F.col("size").alias("n")).agg(times).filter("times > 0")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    size, key = F.size(words_of(F.col("d.text"))).cast("bigint"), F.coalesce(F.col("d.doc_id").cast("string"), F.md5("d.text"), F.lit(""))
+    own = own.select("d", size.alias("size"), key.alias("key"))
+    same = (F.col("key") == F.col("k")) & F.col("d.source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n"))
+    return own.join(plan, same).select("d", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("d.*")
