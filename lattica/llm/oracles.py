@@ -47,7 +47,7 @@ FROM f"""
 
 OP10 = rf"""
 WITH s AS (
-  SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS spot FROM documents
+  SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS spot FROM documents
 ), by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source
 ), ranked AS (
@@ -76,12 +76,18 @@ WITH l AS (
 ), w AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), later AS (
-  SELECT doc_id, k FROM (
-    SELECT doc_id, k, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id NULLS FIRST, k) AS rn FROM w WHERE nxt IS NOT NULL
-  ) x WHERE rn > 1
+), runs AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id NULLS FIRST, k) > 1 AS later, count(*) OVER (PARTITION BY line, nxt) AS n
+  FROM w WHERE nxt IS NOT NULL
+), passages AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS FIRST, k) > 1 AS later
+  FROM w WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5
+), covers AS (
+  SELECT doc_id, k + j AS k, later FROM runs, (VALUES (0), (1)) AS o(j) WHERE n > 1
+), outside AS (
+  SELECT doc_id, k FROM covers GROUP BY doc_id, k HAVING bool_and(later)
 ), gone AS (
-  SELECT DISTINCT w.doc_id, w.pos FROM w JOIN later ON w.doc_id = later.doc_id AND w.k IN (later.k, later.k + 1)
+  SELECT doc_id, k, pos FROM w JOIN (SELECT * FROM outside UNION SELECT doc_id, k FROM passages WHERE later) x USING (doc_id, k)
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS text, count(gone.pos) AS n_removed_lines
   FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id

@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
-from lattica.llm import line_dedup, substring_index
+from lattica.llm import substring_index
 
 
 def words_corpus(seed):
@@ -50,43 +50,3 @@ def test_index_meets_history_and_compacts(spark, docs):
     index.add(substring_index.fingerprints(docs([(3, "other " * 50)]), 10))
     assert len(index.runs) == 1
     assert index.repeated().count() > 0
-
-
-def brute_lines(rows, window):
-    seen, lose = {}, {}
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    for k, t in order:
-        lines = [x for x in (t or "").encode().split(b"\n") if x.split()]
-        for i in range(len(lines) - window + 1):
-            key = tuple(lines[i : i + window])
-            if key in seen:
-                lose.setdefault(k, set()).update(range(i, i + window))
-            seen.setdefault(key, (k, i))
-    out = []
-    for k, t in rows:
-        n, kept, at = 0, [], -1
-        for line in (t or "").encode().split(b"\n"):
-            if line.split():
-                at += 1
-                n += 1
-                if at in lose.get(k, ()):
-                    continue
-            kept.append(line)
-        out.append((k, n, len(lose.get(k, ())), hashlib.sha256(b"\n".join(kept)).hexdigest()))
-    return sorted(out, key=str)
-
-
-def test_lines_match_brute_force(spark, docs):
-    rnd = random.Random(4)
-    for window in (1, 2, 3):
-        rows = [(k, "\n".join(rnd.choice(["a a", "b", "c c", "d", "", "e", "f", "g h", " "]) for _ in range(rnd.randint(0, 12)))) for k in range(60)] + [(99, None)]
-        got = line_dedup.deduplicated(docs(rows), window).select("doc_id", "n_lines", "n_removed_lines", "kept_sha256").collect()
-        assert sorted(map(tuple, got), key=str) == brute_lines(rows, window)
-
-
-def test_lines_of_odd_rows(spark, docs, odd):
-    out = line_dedup.deduplicated(docs(odd))
-    assert out.count() == len(odd) and out.filter("text IS NULL").count() == 2
-    same = out.filter("text = 'same words here'").count()
-    assert same == 2
-    assert line_dedup.deduplicated(docs([])).count() == 0

@@ -39,7 +39,7 @@ def test_no_labels_no_language(spark, docs):
 
 
 def test_filters_return_every_language_of_a_gram():
-    table = np.zeros(1 << 12, np.uint64)
+    table = np.zeros((1 << 12, 1), np.uint64)
     grams = langid.grams(b"some words of text")
     for s in langid.slots(grams, 12):
         table[s] |= np.uint64(3)
@@ -62,6 +62,30 @@ def test_scores_against_brute_force(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_more_languages_than_bits_and_rare_ones(spark, docs):
+    rnd = random.Random(5)
+    parts = {f"l{k}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(9)] for k in range(70)}
+    rows, k = [], 0
+    for lang in parts:
+        for _ in range(120 if lang == "l0" else 12):
+            rows.append((k, " ".join("".join(rnd.choice(parts[lang]) for _ in range(2)) for _ in range(40)), lang, "s"))
+            k += 1
+    rows += [(None, rows[0][1], "l0", "s")] * 50 + [(7, rows[0][1], "l0", "s")] * 50
+    df = docs(rows)
+    model = langid.fit(df, sample_rows=20)
+    assert len(model.languages) == 70 and model.table.shape[1] == 2
+    got = langid.predicted(df, model).select("doc_id", "lang", "lang_pred", "known", "n_words").collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred and r.n_words == "z" for r in got)
+    assert all(r.known > 0.1 for r in got)
+
+
+def test_long_texts_and_repeated_rows_of_language(spark, docs):
+    rows = corpus(60) + [(700, "lor em ips um " * 200_000, None, None)] + [(3, "schung keitver", "bb", "s")] * 3
+    df = docs(rows)
+    got = langid.predicted(df, langid.fit(df)).filter("doc_id = 700 OR text = 'schung keitver'").collect()
+    assert sorted(r.lang_pred for r in got) == ["aa", "bb", "bb", "bb"]
+
+
 def brute_scores(rows):
     """(score of each text) by a tree of dictionaries: every context that is retained, its distribution, and the longest suffix of each place."""
     lines = [(k, b" ".join((t or "").encode().lower().split()) + (b" " if (t or "").split() else b"") + b"\n") for k, t, *_ in rows]
