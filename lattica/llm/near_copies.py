@@ -1,7 +1,8 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A SimHash of 64 bits is no filter for this: a pair at 0.8 differs in about 10 bits, and the masks that cover so many are too many
-or too coarse. Candidates come from banded minima of the shingle hashes instead, and each is compared by its exact similarity.
+Candidates are texts whose SimHashes differ in RADIUS bits or fewer; a covering of masks makes every such pair meet, and each candidate is
+verified by the exact similarity. The candidates' SimHash is one of two-word shingles: a changed word spoils two of them instead of five, so that
+texts at a similarity of 0.8 differ in 5 bits of 64 on average instead of 10, and RADIUS reaches them.
 """
 
 from __future__ import annotations
@@ -9,60 +10,144 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, stored
+from .common import chunks, dropped, mapped, stored
 from .components import components
-from .simhash import with_components
+from .simhash import covering_masks, with_components
+from .substring_index import _mixed, word_hashes
 
-#: A pair at similarity s meets in no band with probability (1 - s^ROWS)^BANDS: 5e-5 at 0.8, 6e-10 at 0.9.
-BANDS, ROWS = 25, 5
-WIDTH = 5
-#: Pairs for each row of the open buckets up to which all of them are compared, and rounds of heads tried before.
-PAIRED, ROUNDS = 24, 6
+#: Words of a shingle for the similarity and for the SimHash; bits within which pairs are sure to meet, and parts of the SimHash.
+WIDTH, SKETCH = 5, 2
+RADIUS, PARTS = 11, 2
 
-_RNG = np.random.default_rng(5)
-_ODDS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows of a bucket up to which its pairs are compared one by one at once, and rounds of heads for larger ones.
+PAIRED, ROUNDS = 256, 2
 
+#: Of RADIUS bits, one of the PARTS has its share or fewer, and is left whole by one of its masks.
+_BITS = 64 // PARTS
+MASKS = [(part, mask) for part in range(PARTS) for mask in covering_masks((RADIUS + 1) // PARTS - 1, bits=_BITS)]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
-def shingles(text: bytes, seed: int = 42) -> np.ndarray:
-    """Sorted distinct XXH64 of the shingles of WIDTH words (A-Z lower-cased, space-joined; the whole sequence where there are fewer)."""
-    words = text.lower().split()
-    n = max(1, len(words) - WIDTH + 1) if words else 0
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + WIDTH]), seed) for i in range(n)), np.uint64, n))
 
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``width`` words, from the words' hashes; the whole sequence where there are fewer."""
+    width = min(width, len(words))
+    if not width:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for j in range(width):
+        out = _mixed(out * _BASE + words[j : len(words) - width + 1 + j])
+    return np.unique(out)
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band of a set of hashes; none for the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(len(_ODDS), (1 << 64) - 1, np.uint64)
-    for a in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[a : a + 1024, None] * _ODDS).min(axis=0), out=least)
-    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is set if it is in more than half of the hashes; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _words(value: bytes | None) -> np.ndarray:
+    return word_hashes((value or b"").lower())
+
+
+def _text(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("_text"))
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, fp, keys): the digest of each text's shingle set and its band keys. A null text has no words."""
+    """(doc_id, mark, fp, n, sim): the digest and size of each text's shingle set, and its SimHash. A null text has no words."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("_text")
             for a, b in chunks(texts):
-                fps, keys = [], []
+                rows = []
                 for x in texts.slice(a, b - a):
-                    s = shingles(x.as_py() or b"")
-                    fps.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
-                    keys.append(band_keys(s))
-                part = batch.slice(a, b - a)
-                fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), fp, _lists(keys)], names=["doc_id", "mark", "fp", "keys"])
+                    words = _words(x.as_py())
+                    own = shingles(words, WIDTH)
+                    rows.append((xxhash.xxh64_intdigest(own.tobytes(), 42), len(own), simhash(shingles(words, SKETCH))))
+                fp, n, sim = zip(*rows, strict=True)
+                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(sim, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("doc_id", "mark")] + columns, names=["doc_id", "mark", "fp", "n", "sim"])
+            del texts, batch
 
-    source = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("_text"))
-    return source.mapInArrow(run, "doc_id long, mark long, fp long, keys array<long>")
+    return mapped(_text(docs), run, "doc_id long, mark long, fp long, n long, sim long")
+
+
+def keyed(classes: DataFrame) -> DataFrame:
+    """(key, fp, sim): a row for each of MASKS, with the masked part of the SimHash and the mask's number as key."""
+
+    def run(batches):
+        masks = np.array([m for _, m in MASKS], np.uint64)
+        parts = np.array([p * _BITS for p, _ in MASKS], np.uint64)
+        tables = np.arange(len(MASKS), dtype=np.uint64) << np.uint64(_BITS)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                fp, sim = (batch.column(c).slice(a, 2048).to_numpy() for c in ("fp", "sim"))
+                keys = (sim.view(np.uint64)[:, None] >> parts & masks | tables).reshape(-1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(x, len(MASKS))) for x in (fp, sim)]], names=["key", "fp", "sim"])
+
+    return mapped(classes.select("fp", "sim"), run, "key long, fp long, sim long")
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Of rows (key, fp, sim) in buckets by key: (u, v) for each pair within RADIUS bits of a bucket of PAIRED rows or fewer, and the
+    rows (key, fp, sim) of the larger ones. Buckets stream by in order; none is held whole."""
+
+    def run(batches):
+        names = ["u", "v", "key", "fp", "sim"]
+        held, large = [np.zeros(0, np.int64)] * 3, None  # rows of the last bucket so far; the key of a bucket known to be large
+
+        def paired(key, fp, sim):
+            us, vs = [], []
+            at = np.arange(len(key))
+            for step in range(1, PAIRED):
+                at = at[at + step < len(key)]
+                at = at[key[at] == key[at + step]]
+                if not len(at):
+                    break
+                near = at[np.bitwise_count((sim[at] ^ sim[at + step]).view(np.uint64)) <= RADIUS]
+                us.append(fp[near]), vs.append(fp[near + step])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])] + [pa.nulls(len(pairs), pa.int64())] * 3, names=names)
+
+        def passed(key, fp, sim):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64())] * 2 + [pa.array(x) for x in (key, fp, sim)], names=names)
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("key", "fp", "sim")]
+            if large is not None:
+                n = int(np.searchsorted(columns[0], large, side="right"))
+                if n:
+                    yield from passed(*[c[:n] for c in columns])
+                    columns = [c[n:] for c in columns]
+                if len(columns[0]):
+                    large = None
+            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            key = columns[0]
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.append(first, len(key)))
+            many = np.repeat(sizes > PAIRED, sizes)
+            if many.any():
+                yield from passed(*[c[many] for c in columns])
+                if sizes[-1] > PAIRED:
+                    large = key[-1]
+            open_ = np.zeros(len(key), bool)
+            if sizes[-1] <= PAIRED:
+                open_[first[-1] :] = True
+            yield from paired(*[c[~many & ~open_] for c in columns])
+            held = [c[open_] for c in columns]
+        yield from paired(*held)
+
+    return mapped(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long, key long, fp long, sim long")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -77,14 +162,14 @@ def shingle_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("_text")
             for a, b in chunks(texts):
-                sets = [shingles(x.as_py() or b"").view(np.int64) for x in texts.slice(a, b - a)]
+                sets = [shingles(_words(x.as_py()), WIDTH).view(np.int64) for x in texts.slice(a, b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column("fp").slice(a, b - a), _lists(sets)], names=["fp", "hashes"])
 
-    source = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("_text"))
-    return source.join(places, _same(source, places)).select("fp", "_text").mapInArrow(run, "fp long, hashes array<long>")
+    source = _text(docs)
+    return mapped(source.join(places, _same(source, places)).select("fp", "_text"), run, "fp long, hashes array<long>")
 
 
-def _same(a: DataFrame, b: DataFrame):
+def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
 
 
@@ -97,41 +182,51 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (n + m)).select("u", "v")
 
 
+def _tried(part: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs of rows (key, fp, sim, c) and (key, v, s, d) of a bucket, of different components and within RADIUS bits."""
+    met = part.join(other, "key").filter((F.col("c") != F.col("d")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("s"))) <= RADIUS))
+    return met.select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
+
+
 def linked(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(node, component) of the distinct ``fp`` that are similar to another one, among those that share a band.
+    """(node, component) of the distinct ``fp`` that are similar to another one, among those within RADIUS bits.
 
-    All pairs of a bucket are compared but those already in one component. Where that would be many pairs for each row, every
-    row is first compared with one of its bucket, another one each round, which joins most of a large group of near copies.
+    All pairs of small buckets are compared. In a large one every row is first compared with one of them, another one in the next
+    round, which joins most of a large group of near copies; then all rows outside the bucket's largest component are compared with all
+    rows, so pairs within that component, which can add nothing, are the only ones left out.
     """
-    rows = prints.select("fp", F.posexplode("keys").alias("t", "key")).distinct()
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key")
-    met = stored(rows.join(sizes, ["t", "key"]), "bands")
-    places = prints.join(met.select("fp").distinct(), "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("p"))
-    sets = stored(shingle_sets(docs, stored(places.select("p.doc_id", "p.mark", "fp"), "places")), "sets")
-    links, part = None, met.withColumn("c", F.col("fp"))
-    for k in range(ROUNDS + 1):
-        per = part.groupBy("t", "key", "c").agg(F.count("*").alias("n")).groupBy("t", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        n, pairs = per.filter("n * n > s").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0))).first()
-        last = k == ROUNDS or pairs <= PAIRED * n
-        if last:
-            other = part.select("t", "key", F.col("fp").alias("v"), F.col("c").alias("d"))
-        else:
-            other = part.groupBy("t", "key").agg(F.min_by(F.struct("fp", "c"), F.xxhash64("fp", F.lit(k))).alias("h")).select("t", "key", F.col("h.fp").alias("v"), F.col("h.c").alias("d"))
-        tried = part.join(other, ["t", "key"]).filter("c <> d").select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
-        new = stored(similar(tried, sets), "similar")
-        links = new if links is None else links.unionByName(new)
-        found = stored(components(links), "found")
-        if last:
-            break
-        part = met.join(found, met.fp == found.node, "left").select("t", "key", "fp", F.coalesce("component", "fp").alias("c"))
-    dropped(sets)
+    classes = prints.filter("n >= 4").groupBy("fp").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "mark")).alias("p"))
+    classes = stored(classes, "classes")
+    seen = stored(bucketed(keyed(classes)), "seen")
+    pairs = stored(seen.filter("key IS NULL").select("u", "v").distinct(), "pairs")
+    large = seen.filter("key IS NOT NULL").select("key", "fp", "sim")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("f")).unionByName(large.select(F.col("fp").alias("f"))).distinct()
+    places = stored(classes.join(wanted, F.col("fp") == F.col("f")).select("p.doc_id", "p.mark", "fp"), "places")
+    sets = stored(shingle_sets(docs, places), "sets")
+    links = stored(similar(pairs, sets), "similar")
+    found = components(links)
+    if large.head(1):
+        for k in range(ROUNDS + 1):
+            found = stored(found, "found")
+            part = large.join(found, large.fp == found.node, "left").select("key", "fp", "sim", F.coalesce("component", "fp").alias("c"))
+            if k < ROUNDS:
+                other = part.groupBy("key").agg(F.min_by(F.struct("fp", "sim", "c"), F.xxhash64("fp", F.lit(k))).alias("h")).select("key", F.col("h.fp").alias("v"), F.col("h.sim").alias("s"), F.col("h.c").alias("d"))
+            else:
+                part = stored(part, "part")
+                main = part.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"))
+                other = part.join(main, "key").filter("c <> main").select("key", F.col("fp").alias("v"), F.col("sim").alias("s"), F.col("c").alias("d"))
+            links = links.unionByName(stored(similar(_tried(part, other), sets), "similar"))
+            found = components(links)
+    for t in (classes, seen, pairs, places):
+        dropped(t)
     return found
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component of near copies: the one with the smallest id (of equal ids, the least text digest; of equal rows, one).
 
-    Documents without a word are copies of one another. The texts meet the list of those that go, which is short enough to broadcast
+    Documents without a word (null, empty or blank texts) are copies of one another. Null ids come after all others. Columns of any name pass; an
+    empty table gives an empty table. A text of any length is sketched in one task. The texts meet the list of those that go, which is short enough to broadcast
     where few do; they are shuffled once at most, but for equal rows.
     """
     prints = stored(sketched(docs), "sketches")
@@ -140,7 +235,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     marks = part.filter(first).groupBy("component").agg(F.min("mark").alias("kept_mark"))
     gone = stored(part.join(marks, "component").filter(~(first & (F.col("mark") == F.col("kept_mark")))).select("doc_id", "mark").distinct(), "gone")
     again = stored(part.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "mark"), "again")
-    own = docs.select(F.struct(*docs.columns).alias("d"), "doc_id", F.xxhash64("text").alias("mark"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), "doc_id", F.xxhash64("text").alias("mark"))
     kept = own.join(gone, _same(own, gone), "left_anti")
     if again.head(1):
         once = kept.join(again, _same(kept, again), "left_anti")
