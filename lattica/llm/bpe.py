@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns_last
+from .common import mapped, with_columns_last
 
 #: Fixed value: the pre-tokenizer's pattern, with its white space as the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -239,4 +239,4 @@ def encoded(docs: DataFrame, tokenizer_json: str, text: str = "text", keep_ids:
                     yield pa.RecordBatch.from_arrays(old + (new if keep_ids else [new[0], *new[2:]]), names=[*columns, *names])
                     rows, held, start = [], 0, i + 1
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)

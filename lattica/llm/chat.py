@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Control strings of the templates that a formatted text may meet. Only "<s>" and "</s>" are used here.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
@@ -126,7 +128,7 @@ def formatted(conversations: DataFrame, budget: int = 1024, history: int = 256)
             new = [pa.array(text, pa.string()), pa.array(begin, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("conv_id", "window", "n_tokens")] + new, names=["conv_id", "window", "n_tokens", "formatted", "new_from", "loss"])
 
-    return each.mapInArrow(run, "conv_id long, window long, n_tokens long, formatted string, new_from long, loss array<struct<start:long,end:long>>")
+    return mapped(each, run, "conv_id long, window long, n_tokens long, formatted string, new_from long, loss array<struct<start:long,end:long>>")
 
 
 def digests(windows: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def digests(windows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([close()], schema=_DIGEST)
 
     ordered = windows.select("conv_id", "window", "formatted", "new_from", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return ordered.mapInArrow(run, schema)
+    return mapped(ordered, run, schema)
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

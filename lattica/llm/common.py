@@ -19,6 +19,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Text handled at once inside a Python worker, in bytes. Bounds its memory whatever a batch holds.
 CHUNK_BYTES = 2 << 20
 
+#: Rows that Spark hands to a Python worker at once, in bytes.
+BATCH_BYTES = 8 << 20
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -75,7 +78,10 @@ def with_columns_last(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def mapped(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a plain-function signature: ``fn`` takes and gives iterators of record batches."""
+    """mapInArrow, with batches of BATCH_BYTES where the session leaves Spark's limit (64 MB, of which each worker holds several) as it is."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "64MB") in ("64MB", "67108864b"):
+        conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

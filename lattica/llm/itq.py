@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mapped, stored
 from .components import components
 
 #: Bits of a table's key, tables, and rows of a bucket that meet in one task.
@@ -84,7 +84,7 @@ def candidates(classes: DataFrame, sample: list[list[float]], share: float = 0.2
                 yield pa.RecordBatch.from_arrays(columns, names=["cid", "label", "size", "t", "key", "code", "keys"])
 
     label = classes.schema["label"].dataType.simpleString()
-    rows = classes.select("cid", "label", "x").mapInArrow(encode, f"cid long, label {label}, size int, t int, key int, code array<bigint>, keys array<int>")
+    rows = mapped(classes.select("cid", "label", "x"), encode, f"cid long, label {label}, size int, t int, key int, code array<bigint>, keys array<int>")
     rows = stored(rows, "codes")
     bucket = ["label", "size", "t", "key"]
     counts = rows.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -113,7 +113,7 @@ def linked(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                 yield batch.slice(k, 4096).filter(pa.array(cos >= least)).select(["u", "v"])
 
     same = F.size("xu") == F.size("xv")
-    return pairs.join(left, "u").join(right, "v").filter(same).select("u", "v", "xu", "xv").mapInArrow(rerank, "u long, v long")
+    return mapped(pairs.join(left, "u").join(right, "v").filter(same).select("u", "v", "xu", "xv"), rerank, "u long, v long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, sample_rows: int = 4096) -> DataFrame:

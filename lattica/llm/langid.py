@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, dropped, remainder, stored, with_columns_last
+from .common import chunks, dropped, mapped, remainder, stored, with_columns_last
 
 GRAM = 4
 HASHES = 3
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, sample_rows: int = 4_000, share: float = 0.25, least: i
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(packed), pa.int32()), pa.array(packed.astype(np.int64)), pa.array(n)], names=["k", "gram", "n"])
 
     texts = drawn.dropDuplicates(["k", "h"]).select("k", F.col("text").cast("binary").alias("text"))
-    by_gram = texts.mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    by_gram = mapped(texts, count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     by_gram = stored(by_gram, "grams")
     totals = by_gram.groupBy("k").agg(F.sum("n").alias("total"))
     often = by_gram.join(F.broadcast(totals), "k").withColumn("f", F.col("n") / F.col("total"))
@@ -161,4 +161,4 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 new = [pa.array([x[0] for x in done], pa.string()), *[pa.array([x[i] for x in done], pa.float64()) for i in (1, 2)]]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in columns] + new, names=[*columns, *names])
 
-    return plain.mapInArrow(run, schema).toDF(*kept.columns, *names)
+    return mapped(plain, run, schema).toDF(*kept.columns, *names)

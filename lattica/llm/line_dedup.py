@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, stored, with_columns_last
+from .common import chunks, dropped, mapped, stored, with_columns_last
 from .substring_index import _leftmost_least, _mixed
 
 #: Lines of a run that is a passage, and words of a line that is one by itself.
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, text: str = "text", pass
             del texts, batch
 
     source = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(run, "doc_id long, mark long, size int, fp long, first long, windows array<struct<a:long,b:long>>")
+    return mapped(source, run, "doc_id long, mark long, size int, fp long, first long, windows array<struct<a:long,b:long>>")
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, text: str = "text", passage: int | None = PASSAGE) -> DataFrame:
@@ -156,5 +156,5 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, text: str = "text", pass
     source = kept.select(*[F.col(f"`{c}`").alias(p) for c, p in texts.items()])
     source = source.select(*columns, F.col(texts["doc_id"]).alias("_id"), F.xxhash64(texts[text]).alias("_mark"), F.col(texts[text]).cast("binary").alias("_text"))
     joined = source.join(runs, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
-    out = joined.select(*columns, "_text", "_runs").mapInArrow(run, schema)
+    out = mapped(joined.select(*columns, "_text", "_runs"), run, schema)
     return out.select(*[F.col("_text").cast("string").alias(c) if c == text else F.col(p).alias(c) for c, p in texts.items()], *names)

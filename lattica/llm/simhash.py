@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, with_columns_last
+from .common import chunks, mapped, stored, with_columns_last
 from .components import components
 
 #: Distinct fingerprints of a bucket up to which its pairs are compared one by one.
@@ -52,7 +52,7 @@ def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
                 fp = fingerprints_of([x or b"" for x in part.column("_text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(fp.view(np.int64))], names=[*columns, "fp"])
 
-    return docs.select(*columns, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return mapped(docs.select(*columns, F.col(text).cast("binary").alias("_text")), run, schema)
 
 
 def covering_masks(radius: int = 2, bits: int = 64, seed: int = 1) -> list[int]:

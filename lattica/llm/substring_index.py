@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, stored, with_columns_last
+from .common import chunks, dropped, mapped, stored, with_columns_last
 
 GRAM = 6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
                 for k in range(0, len(fp), 1 << 18):
                     yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 18) for c in columns], names=["doc_id", "mark", "fp", "span", "first", "count"])
 
-    return _text(docs, text).mapInArrow(run, "doc_id long, mark long, fp long, span long, first long, count int")
+    return mapped(_text(docs, text), run, "doc_id long, mark long, fp long, span long, first long, count int")
 
 
 class Index:
@@ -210,7 +210,7 @@ def _windows(ranges: DataFrame, docs: DataFrame, window: int, text: str) -> Data
     slots = F.broadcast(wanted.select(slot("m").alias("slot")).distinct())
     some = _text(docs, text).withColumn("slot", slot("mark")).join(slots, "slot", "left_semi")
     both = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
-    return both.select("doc_id", "mark", "_text", "ranges").mapInArrow(run, "a long, b long, doc_id long, mark long, first long")
+    return mapped(both.select("doc_id", "mark", "_text", "ranges"), run, "a long, b long, doc_id long, mark long, first long")
 
 
 def repeated_windows(docs: DataFrame, window: int = 35, batches: int = 2, text: str = "text") -> DataFrame:
@@ -277,7 +277,7 @@ def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", batch
 
     source = docs.select(*columns, F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("_text"))
     joined = source.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
-    return joined.select(*columns, "_text", "ranges").mapInArrow(run, schema)
+    return mapped(joined.select(*columns, "_text", "ranges"), run, schema)
 
 
 def _covered(spans: list[dict], window: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, dropped, remainder, stored
+from .common import CHUNK_BYTES, dropped, mapped, remainder, stored
 
 #: Bytes of the longest context, and the symbol that ends a text (no word holds it).
 DEPTH = 6
@@ -158,7 +158,7 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
         if grams:
             yield from closed()
 
-    return docs.select("rid", "doc_id", "held_out", F.col(text).cast("binary").alias("_text")).mapInArrow(run, _BLOCKS)
+    return mapped(docs.select("rid", "doc_id", "held_out", F.col(text).cast("binary").alias("_text")), run, _BLOCKS)
 
 
 @dataclass
@@ -267,7 +267,7 @@ def grown(parts: DataFrame, root: Root) -> DataFrame:
         if held:
             yield closed()
 
-    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, n int, data binary, logs binary")
+    return mapped(parts.repartition("shard").sortWithinPartitions("shard"), run, "shard int, n int, data binary, logs binary")
 
 
 def answered(parts: DataFrame, tree: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def answered(parts: DataFrame, tree: DataFrame) -> DataFrame:
                 some = batch.take(pa.array([i for i, _ in out]))
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in ("block", "shard", "n", "data")] + [pa.array([x for _, x in out], pa.binary())], names=["block", "shard", "n", "data", "logs"])
 
-    return both.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, "block long, shard int, n int, data binary, logs binary")
+    return mapped(both.repartition("shard").sortWithinPartitions("shard", "block"), run, "block long, shard int, n int, data binary, logs binary")
 
 
 def _sums(whole: bytes, sizes: list[int], keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -372,7 +372,7 @@ def scored(docs: DataFrame, head_share: float = 2e-6, text: str = "text") -> Dat
     texts = laid.filter(F.col("shard") == _TEXT).select("block", "shard", "n", "data", F.lit(None).cast("binary").alias("logs"), "docs")
     met = answered(parts, tree).withColumn("docs", F.lit(None).cast(texts.schema["docs"].dataType)).unionByName(texts)
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, s_head double, score double, tail array<struct<word:binary,times:bigint>>"
-    rows = stored(met.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(run, schema), "scored")
+    rows = stored(mapped(met.repartition("block").sortWithinPartitions("block", "shard"), run, schema), "scored")
     tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.times").join(words.filter(F.col("n") < max(1, head_share * tokens)), "word")
     known = tail.groupBy("rid").agg(F.sum("times").alias("n_head"), F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("s_head"))
     whole = rows.drop("tail").unionByName(known, allowMissingColumns=True).groupBy("rid")
