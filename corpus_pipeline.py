@@ -8,30 +8,37 @@ from pyspark.sql import functions as F
 from lattica.llm import bpe, langid, line_dedup, mixing, near_copies
 from lattica.llm.common import documents, stored
 
-#: Language ID rejects a document whose language is undetermined or holds less than this share of the evidence.
-LEAST_SHARE = 0.26
+#: Language ID rejects a document whose language is undetermined or holds less than this share of its own n-grams. Clean texts
+#: lie far above it, whatever the number of languages; a text in none of the learned ones lies below.
+LEAST_KNOWN = 0.3
 
-#: A line of so many words is a passage that line dedup takes alone; shorter ones only in runs of two lines or more.
-PASSAGE = 5
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with names that clash with no operator's; the identity and the text keep theirs."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; columns unchanged."""
-    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
-    out = langid.predicted(plain, langid.fit(docs)).filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    """Documents with a language; columns unchanged. Null texts and those without a letter have none."""
+    plain = _plain(docs)
+    out = langid.predicted(plain, langid.fit(docs)).filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("known") >= LEAST_KNOWN))
     return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their later repeated runs of lines and single lines of PASSAGE words or more; those of which no line is left go. n_chars follows the text."""
-    out = line_dedup.deduplicated(docs, passage=PASSAGE)
+    """Documents less their later repeated runs of lines and passages; those of which no line is left go. n_chars, if there, follows the text."""
+    plain = _plain(docs)
+    out = line_dedup.deduplicated(plain)
     out = out.filter((F.col("n_lines") == 0) | (F.col("n_removed_lines") < F.col("n_lines")))
-    changed = F.when(F.col("n_removed_lines") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    for i, c in enumerate(docs.columns):
+        if c == "n_chars":
+            changed = F.when(F.col("n_removed_lines") > 0, F.length("text").cast("bigint")).otherwise(F.col(f"c{i}"))
+            out = out.withColumn(f"c{i}", changed)
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of pairs with a five-word Jaccard similarity of 0.8 or more."""
+    """One document of each component of pairs that SimHash finds and whose five-word Jaccard similarity is 0.8 or more."""
     return near_copies.deduplicated(docs)
 
 
@@ -52,12 +59,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_json: st
 STAGES = [
     ("language_id", language_id),
     ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_copies),
+    ("simhash_near_dedup", drop_near_copies),
     ("source_mixing", mix_sources),
     ("bpe_encoding", encode),
 ]
 
-#: Language ID and the encoder have no SQL; the stages are tested against brute force.
+#: Language ID, near copies and the encoder have no SQL; run() and each stage are tested against brute force.
 ORACLE_SQL = None
 
 
