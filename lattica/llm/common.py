@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or one of our own where that is unset (local sessions)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(spark.sparkContext, "_lattica_dir", None) or tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext._lattica_dir = path
