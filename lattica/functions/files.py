@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.model import EDGE_TYPES, NODE_TYPES
 
 #: Language by file extension, and the classes of other extensions.
 LANGUAGES = {
@@ -34,6 +33,16 @@ DOCS = (".md", ".pdf", ".txt", ".rst", ".adoc")
 MEDIA = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".mp3", ".wav", ".m4a", ".ogg", ".flac")
 
 
+CONFIDENCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
+
+#: Forms of addresses, and of those that must not be fetched.
+TWEET = r"(?i)^https?://(www\.)?(twitter\.com|x\.com)/"
+PDF = r"(?i)\.pdf(\?.*)?$|/pdf/"
+VIDEO = r"(?i)^https?://(www\.)?(youtube\.com/watch|youtu\.be/|vimeo\.com/)"
+SOUND = r"(?i)\.(mp3|m4a|ogg|flac|wav|aac|opus)(\?.*)?$"
+PRIVATE = r"^(127|10)\.\d+\.\d+\.\d+$|^192\.168\.\d+\.\d+$|^172\.(1[6-9]|2\d|3[01])\.\d+\.\d+$|^169\.254\.\d+\.\d+$"
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
@@ -62,8 +71,8 @@ def watch_class(path: Column) -> Column:
 
 def url_kind(url: Column) -> Column:
     """What an address holds, by its form alone: tweet, pdf, media or html."""
-    out = F.when(url.rlike(r"(?i)^https?://(www\.)?(twitter\.com|x\.com)/"), "tweet").when(url.rlike(r"(?i)\.pdf(\?.*)?$|/pdf/"), "pdf")
-    media = url.rlike(r"(?i)^https?://(www\.)?(youtube\.com/watch|youtu\.be/|vimeo\.com/)") | url.rlike(r"(?i)\.(mp3|m4a|ogg|flac|wav|aac|opus)(\?.*)?$")
+    out = F.when(url.rlike(TWEET), "tweet").when(url.rlike(PDF), "pdf")
+    media = url.rlike(VIDEO) | url.rlike(SOUND)
     return out.when(media, "media-unsupported").otherwise("html")
 
 
@@ -73,7 +82,7 @@ def url_problem(url: Column) -> Column:
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
     out = F.when(url.isNull() | (scheme == ""), "invalid").when(~scheme.isin("http", "https"), "protocol").when(host == "", "invalid")
     out = out.when(host.isin("localhost", "[::1]", "0.0.0.0"), "localhost").when(host.isin("169.254.169.254", "metadata.google.internal"), "metadata")
-    return out.when(host.rlike(r"^(127|10)\.\d+\.\d+\.\d+$|^192\.168\.\d+\.\d+$|^172\.(1[6-9]|2\d|3[01])\.\d+\.\d+$|^169\.254\.\d+\.\d+$"), "private")
+    return out.when(host.rlike(PRIVATE), "private")
 
 
 def path_problem(path: Column, root: str) -> Column:
@@ -121,25 +130,48 @@ def path_terms(text: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(camel, tails)), 1, 5)
 
 
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def _problems(*tests: tuple[Column, str]) -> Column:
+    return F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in tests]), lambda x: x.isNotNull())
+
+
+def _odd_confidence() -> Column:
+    return F.coalesce(~F.col("confidence").isin(*CONFIDENCES), F.lit(False))
+
+
 def node_problems() -> Column:
-    """All problems of a node row (id, label, type), in order; the first of them is what a strict check reports."""
-    return F.filter(
-        F.array(
-            F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "id"),
-            F.when(F.coalesce("label", F.lit("")) == "", "label"),
-            F.when(~F.coalesce(F.col("type").isin(*NODE_TYPES), F.lit(False)), "type"),
-        ),
-        lambda x: x.isNotNull(),
-    )
+    """All problems of a node row (id, label, type, confidence), in order; the first of them is what a strict check reports. Any
+    type that is not blank is allowed, an empty label too, and no confidence."""
+    return _problems((_blank("id"), "id"), (_blank("type"), "type"), (F.col("label").isNull(), "label"), (_odd_confidence(), "confidence"))
+
+
+def edge_problems() -> Column:
+    """All problems of an edge row (source, target, label, confidence), as for nodes."""
+    return _problems((_blank("source"), "source"), (_blank("target"), "target"), (_blank("label"), "label"), (_odd_confidence(), "confidence"))
+
+
+def document_problems() -> Column:
+    """All problems of an answer (id, nodes, edges): no id, no list of nodes, no list of edges."""
+    return _problems((_blank("id"), "id"), (F.col("nodes").isNull(), "nodes"), (F.col("edges").isNull(), "edges"))
+
+
+def _or(c: str, by: str, empty: bool = True) -> Column:
+    return F.when(F.col(c).isNull() | ((F.col(c) == "") if empty else F.lit(False)), by).otherwise(F.col(c))
+
+
+def _confidence() -> Column:
+    return F.when(F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(False)), F.col("confidence")).otherwise("INFERRED")
 
 
 def coerced_nodes(nodes: DataFrame) -> DataFrame:
-    label = F.when(F.coalesce("label", F.lit("")) == "", "(unnamed)").otherwise(F.col("label"))
-    kind = F.when(F.coalesce(F.col("type").isin(*NODE_TYPES), F.lit(False)), F.col("type")).otherwise("entity")
-    return nodes.withColumn("id", F.col("id").cast("string")).withColumn("label", label).withColumn("type", kind)
+    """Nodes whose ids are text, whose missing labels, missing or empty types and unknown confidences have the values given for these."""
+    out = nodes.withColumns({"id": F.col("id").cast("string"), "label": _or("label", "(unnamed)", False), "type": _or("type", "entity")})
+    return out.withColumn("confidence", _confidence()) if "confidence" in nodes.columns else out
 
 
 def coerced_edges(edges: DataFrame) -> DataFrame:
-    kind = F.when(F.coalesce(F.col("label").isin(*EDGE_TYPES), F.lit(False)), F.col("label")).otherwise("related_to")
-    sure = F.when(F.coalesce(F.col("confidence").isin("EXTRACTED", "INFERRED", "AMBIGUOUS"), F.lit(False)), F.col("confidence")).otherwise("INFERRED")
-    return edges.withColumn("source", F.col("source").cast("string")).withColumn("target", F.col("target").cast("string")).withColumn("label", kind).withColumn("confidence", sure)
+    """Edges whose ends are text, whose missing or empty relations and unknown confidences have the values given for these."""
+    return edges.withColumns({"source": F.col("source").cast("string"), "target": F.col("target").cast("string"), "label": _or("label", "related_to"), "confidence": _confidence()})

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Types of nodes and edges that model extraction may give; other values are allowed in a graph.
+#: Types of nodes and edges that model extraction is asked for; other values are allowed in a graph.
 NODE_TYPES = ("function", "class", "module", "interface", "type", "concept", "entity", "rationale", "document", "comparison", "decision")
 EDGE_TYPES = (
     "calls", "imports", "uses", "defines", "implements", "extends", "overrides", "instantiates", "semantically_similar_to",
@@ -45,6 +45,8 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder of spark.checkpoint.dir (a temporary one in local sessions without it)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(spark, "_lattica_scratch", None) or tempfile.mkdtemp(prefix="lattica-")
         spark._lattica_scratch = path
     return f"{path}/{what}-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ def component_of(g: Graph) -> DataFrame:
     """(id, component): least id reachable when edges are taken both ways; least-label propagation with pointer jumps."""
     ids = g.nodes.select("id").distinct()
     links = g.edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("o")), F.struct(F.col("target").alias("id"), F.col("source").alias("o")))).alias("e")).select("e.*").filter("id <> o").distinct()
+    links = stored(links, "links")
     now = stored(ids.withColumn("component", F.col("id")), "labels")
     while True:
         seen = links.join(now.select(F.col("id").alias("o"), "component"), "o").groupBy("id").agg(F.min("component").alias("best"))
@@ -28,12 +29,14 @@ def clusters(g: Graph, resolution: float = 1.0, passes: int = 100) -> DataFrame:
     """(id, community): nodes move in order to the neighbour community of highest positive gain until nothing moves.
 
     A move's gain depends on the node's neighbours, its own degree and the weight of all edges only, so each connected component is
-    settled on its own (one component is one task); communities are then numbered by first appearance. Edges with an end that is no node are dropped.
+    settled on its own (one component is one task); communities are then numbered by first appearance. In a directed graph a node is drawn by
+    the nodes its edges lead to only; its degree counts all its edges, a loop once, and a loop draws it to where it is. Edges with an end that is no node are dropped.
     """
-    known = g.nodes.select("id", "ord")
+    known, directed = g.nodes.select("id", "ord"), g.directed
     edges = g.edges.select("source", "target", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.col("ord").alias("place"))
     for end in ("source", "target"):
         edges = edges.join(known.select(F.col("id").alias(end)), end, "left_semi")
+    edges = stored(edges, "edges")
     total = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
     comp = component_of(Graph(g.nodes, edges.withColumnRenamed("place", "ord"), g.directed))
     rows = known.join(comp, "id").select("component", "id", "ord", F.lit(None).cast("string").alias("other"), F.lit(0.0).alias("weight"), F.lit(-1).cast("bigint").alias("place"))
@@ -49,8 +52,9 @@ def clusters(g: Graph, resolution: float = 1.0, passes: int = 100) -> DataFrame:
         for e in pdf[pdf.other.notna()].sort_values("place").itertuples():
             near[e.id].append((e.other, e.weight))
             degree[e.id] += e.weight
-            degree[e.other] += e.weight
             if e.other != e.id:
+                degree[e.other] += e.weight
+            if not directed:
                 near[e.other].append((e.id, e.weight))
         home = {n: i for i, n in enumerate(order)}
         for _ in range(passes if total > 0 else 0):
@@ -58,8 +62,7 @@ def clusters(g: Graph, resolution: float = 1.0, passes: int = 100) -> DataFrame:
             for n in order:
                 pull: dict[int, float] = {}
                 for o, w in near[n]:
-                    if o != n:
-                        pull[home[o]] = pull.get(home[o], 0.0) + w
+                    pull[home[o]] = pull.get(home[o], 0.0) + w
                 here, best, target = pull.get(home[n], 0.0), 0.0, home[n]
                 for c, w in pull.items():
                     gain = (w - here) / (2 * total) - resolution * degree[n] ** 2 / (4 * total * total)

@@ -2,31 +2,129 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import community_colour, cypher_escaped, file_name, xml_escaped
 from lattica.model import Graph
 
 
+#: Fixed value: the document's head with the keys that node and edge data refer to.
+GRAPHML_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns"
+  xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"
+  xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns
+  http://graphml.graphdrawing.org/xmlns/1.0/graphml.xsd">
+  <key id="label" for="node" attr.name="label" attr.type="string"/>
+  <key id="type" for="node" attr.name="type" attr.type="string"/>
+  <key id="community" for="node" attr.name="community" attr.type="int"/>
+  <key id="source_file" for="node" attr.name="source_file" attr.type="string"/>
+  <key id="provenance" for="node" attr.name="provenance" attr.type="string"/>
+  <key id="weight" for="edge" attr.name="weight" attr.type="double"/>
+  <key id="edge_label" for="edge" attr.name="label" attr.type="string"/>
+  <key id="edge_provenance" for="edge" attr.name="provenance" attr.type="string"/>"""
+
+#: Statements after the nodes and relations.
+CYPHER_INDEXES = tuple(f"CREATE INDEX node_{c}_index IF NOT EXISTS FOR (n:GraphNode) ON (n.{c});" for c in ("id", "type", "community", "label"))
+
+HTML_DRAWING = """const at={},ns="http://www.w3.org/2000/svg",svg=document.getElementById("picture");
+const put=(kind,values)=>{const x=document.createElementNS(ns,kind);for(const k in values)x.setAttribute(k,values[k]);return svg.appendChild(x)};
+nodes.forEach((n,i)=>{const a=2*Math.PI*i/nodes.length;at[n.id]=[500+350*Math.cos(a),400+350*Math.sin(a)]});
+edges.forEach(e=>{const a=at[e.source],b=at[e.target];if(a&&b)put("line",{x1:a[0],y1:a[1],x2:b[0],y2:b[1],stroke:"#999"})});
+nodes.forEach(n=>{const c=put("circle",{cx:at[n.id][0],cy:at[n.id][1],r:6});c.appendChild(document.createElementNS(ns,"title")).textContent=n.label});"""
+
+
+def _number(c: str) -> Column:
+    """A number without a fraction that is zero."""
+    return F.when(F.col(c) == F.floor(c), F.floor(c).cast("string")).otherwise(F.col(c).cast("string"))
+
+
+def _or_empty(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+def _filled(c: str, by: Column) -> Column:
+    return F.when(_or_empty(c) == "", by).otherwise(F.col(c))
+
+
+def _provenance() -> Column:
+    return F.to_json(F.coalesce("provenance", F.array().cast("array<string>")))
+
+
+def _data(key: str, value: Column) -> Column:
+    return F.concat(F.lit(f'\n      <data key="{key}">'), value, F.lit("</data>"))
+
+
+def _if(value: Column, text: Column) -> Column:
+    return F.coalesce(F.when(value.isNotNull() & (value.cast("string") != ""), text), F.lit(""))
+
+
+def _attribute(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f'{name}="'), value, F.lit('"'))
+
+
 def graphml(g: Graph) -> DataFrame:
-    """(place, line): the document's lines; ``place`` orders them."""
+    """(place, line): the document, an element with its data to a row; ``place`` orders them."""
     spark = g.nodes.sparkSession
-    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '  <graph edgedefault="directed">']
-    fixed = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(3, 0, "  </graph>"), (3, 1, "</graphml>")], "part int, ord long, line string")
-    n = g.nodes.select(F.lit(1).alias("part"), "ord", F.format_string('    <node id="%s"><data key="label">%s</data></node>', xml_escaped(F.col("id")), xml_escaped(F.coalesce("label", F.lit("")))).alias("line"))
-    e = g.edges.select(F.lit(2).alias("part"), "ord", F.format_string('    <edge source="%s" target="%s"/>', xml_escaped(F.col("source")), xml_escaped(F.col("target"))).alias("line"))
-    return fixed.unionByName(n).unionByName(e).select(F.format_string("%d-%015d", "part", "ord").alias("place"), "line")
+    fixed = spark.createDataFrame([(0, i, x) for i, x in enumerate(GRAPHML_HEAD.split("\n"))] + [(3, 0, "  </graph>"), (3, 1, "</graphml>")], "part int, ord long, line string")
+    counts = g.nodes.agg(F.count("*").alias("n")).crossJoin(g.edges.agg(F.count("*").alias("m")))
+    opened = counts.select(F.lit(0).alias("part"), F.lit(99).cast("long").alias("ord"), F.format_string('  <graph id="G" edgedefault="directed" nodes="%d" edges="%d">', "n", "m").alias("line"))
+    xml = xml_escaped
+    node = F.concat(
+        F.lit("    <node "), _attribute("id", xml(F.col("id"))), F.lit(">"), _data("label", xml(_filled("label", F.col("id")))), _data("type", xml(_filled("type", F.lit("unknown")))),
+        _if(F.col("community"), _data("community", F.col("community").cast("string"))), _if(F.col("source_file"), _data("source_file", xml(_or_empty("source_file")))),
+        _data("provenance", xml(_provenance())), F.lit("\n    </node>"),
+    )
+    edge = F.concat(
+        F.lit("    <edge "), _attribute("id", xml(_or_empty("id"))), F.lit(" "), _attribute("source", xml(F.col("source"))), F.lit(" "), _attribute("target", xml(F.col("target"))), F.lit(">"),
+        _data("weight", F.coalesce(_number("weight"), F.lit(""))), _if(F.col("label"), _data("edge_label", xml(_or_empty("label")))), _data("edge_provenance", xml(_provenance())), F.lit("\n    </edge>"),
+    )
+    n = g.nodes.select(F.lit(1).alias("part"), "ord", node.alias("line"))
+    e = g.edges.select(F.lit(2).alias("part"), "ord", edge.alias("line"))
+    return fixed.unionByName(opened).unionByName(n).unionByName(e).select(F.format_string("%d-%015d", "part", "ord").alias("place"), "line")
+
+
+def _text(value: Column) -> Column:
+    return F.concat(F.lit("'"), cypher_escaped(value), F.lit("'"))
+
+
+def _name(value: Column) -> Column:
+    return F.concat(F.lit("`"), F.replace(value, F.lit("`"), F.lit("``")), F.lit("`"))
+
+
+def _json(value: Column) -> Column:
+    inside = F.to_json(F.array(value))
+    return inside.substr(F.lit(2), F.length(inside) - 2)
+
+
+def _listed(*parts: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.filter(F.flatten(F.array(*parts)), lambda x: x.isNotNull()), ", "), F.lit("}"))
+
+
+def _prop(name: str, value: Column, given: Column | None = None) -> Column:
+    text = F.concat(F.lit(f"{name}: "), value)
+    return F.array(F.when(given, text) if given is not None else text)
 
 
 def cypher(g: Graph) -> DataFrame:
-    """(place, line): statements that create nodes and relations, names in back-quotes."""
-    n = g.nodes.select(F.lit(1).alias("part"), "ord", F.concat(F.lit("CREATE (:`"), F.col("type"), F.lit("` {id: '"), cypher_escaped(F.col("id")), F.lit("', label: '"), cypher_escaped(F.coalesce("label", F.lit(""))), F.lit("'});")).alias("line"))
-    e = g.edges.select(
-        F.lit(2).alias("part"), "ord",
-        F.concat(F.lit("MATCH (a {id: '"), cypher_escaped(F.col("source")), F.lit("'}), (b {id: '"), cypher_escaped(F.col("target")), F.lit("'}) CREATE (a)-[:`"), F.coalesce("label", F.lit("RELATED")), F.lit("`]->(b);")).alias("line"),
+    """(place, line): statements that create nodes, relations and indexes, with all properties. Types, relations and names of properties
+    stand in back-quotes; a relation is in capitals with underscores for blanks."""
+    spark, have = g.nodes.sparkSession, lambda c: _or_empty(c) != ""
+    empty = F.array().cast("array<string>")
+    sources = F.size(F.coalesce("provenance", empty)) > 0
+    more = F.coalesce(F.transform(F.array_sort(F.map_entries("properties")), lambda kv: F.concat(_name(kv["key"]), F.lit(": "), F.coalesce(_json(kv["value"]), F.lit("null")))), empty)
+    props = _listed(
+        _prop("id", _text(F.col("id"))), _prop("label", _text(_filled("label", F.col("id")))), _prop("type", _text(F.col("type")), have("type")),
+        _prop("community", F.col("community").cast("string"), F.col("community").isNotNull()), _prop("source_file", _text(F.col("source_file")), have("source_file")),
+        _prop("provenance", _provenance(), sources), more,
     )
-    return n.unionByName(e).select(F.format_string("%d-%015d", "part", "ord").alias("place"), "line")
+    n = g.nodes.select(F.lit(1).alias("part"), "ord", F.concat(F.lit("CREATE (n:"), _name(_filled("type", F.lit("GraphNode"))), F.lit(" "), props, F.lit(");")).alias("line"))
+    own = _listed(_prop("id", _text(F.col("id")), F.col("id").isNotNull()), _prop("weight", _number("weight"), F.col("weight").isNotNull()), _prop("provenance", _provenance(), sources))
+    kind = F.regexp_replace(F.upper(_filled("label", F.lit("RELATES_TO"))), r"\s+", "_")
+    made = F.concat(F.lit("MATCH (a {id: "), _text(F.col("source")), F.lit("}), (b {id: "), _text(F.col("target")), F.lit("}) CREATE (a)-[r:"), _name(kind), F.lit(" "), own, F.lit("]->(b);"))
+    e = g.edges.select(F.lit(2).alias("part"), "ord", made.alias("line"))
+    last = spark.createDataFrame([(3, i, x) for i, x in enumerate(CYPHER_INDEXES)], "part int, ord long, line string")
+    return n.unionByName(e).unionByName(last).select(F.format_string("%d-%015d", "part", "ord").alias("place"), "line")
 
 
 def push(g: Graph, connect, batch: int = 500) -> None:
@@ -94,10 +192,15 @@ def svg(g: Graph, places: DataFrame) -> DataFrame:
 
 
 def html(g: Graph) -> DataFrame:
-    """(html): one page with the graph as JSON."""
-    n = g.nodes.agg(F.to_json(F.array_sort(F.collect_list(F.struct("ord", "id", "label", "type", "community")))).alias("n"))
-    e = g.edges.agg(F.to_json(F.array_sort(F.collect_list(F.struct("ord", "source", "target", "weight")))).alias("e"))
-    return n.crossJoin(e).select(F.concat(F.lit("<!doctype html><meta charset=utf-8><title>Graph</title><script>const nodes="), F.replace("n", F.lit("</"), F.lit("<\\/")), F.lit(",edges="), "e", F.lit(";</script>")).alias("html"))
+    """(place, line): a page that holds the graph as JSON, a node or an edge to a line. No text of the graph can end the script."""
+    spark = g.nodes.sparkSession
+    head = ["<!doctype html><meta charset=utf-8><title>Graph</title><svg id=picture width=1000 height=800></svg><script>", "const nodes=["]
+    fixed = [(0, i, x) for i, x in enumerate(head)] + [(2, 0, "],edges=["), (4, 0, "];"), (4, 1, HTML_DRAWING), (4, 2, "</script>")]
+    safe = lambda c: F.concat(F.replace(c, F.lit("<"), F.lit("\\u003c")), F.lit(","))
+    n = g.nodes.select(F.lit(1).alias("part"), "ord", safe(F.to_json(F.struct("id", "label", "type", "community"))).alias("line"))
+    e = g.edges.select(F.lit(3).alias("part"), "ord", safe(F.to_json(F.struct("source", "target", "weight"))).alias("line"))
+    rows = spark.createDataFrame(fixed, "part int, ord long, line string").unionByName(n).unionByName(e)
+    return rows.select(F.format_string("%d-%015d", "part", "ord").alias("place"), "line")
 
 
 def notes(g: Graph) -> DataFrame:

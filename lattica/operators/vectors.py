@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.model import Graph
+from lattica.model import Graph, stored
 
 
 def _sum(xs: Column) -> Column:
@@ -46,8 +46,9 @@ def embedding_text() -> Column:
 
 
 def candidates(nodes: DataFrame, threshold: float = 0.85, most: int = 50, compatible: list[tuple[str, str]] = ()) -> DataFrame:
-    """(a, b, similarity): pairs of nodes (id, type, embedding, ord) of equal or compatible type and a cosine of
-    ``threshold`` or more, the best ``most`` of each node. The join is on the type, so it is dealt out by it."""
+    """(a, b, similarity, ao, nth): pairs of nodes (id, type, embedding, ord) of equal or compatible type and a cosine of
+    ``threshold`` or more that are among the best ``most`` of either node (ties by order). ``ao`` and ``nth`` say where the pair is first met: the
+    order of the node and the pair's rank there. The join is on the type, so it is dealt out by it; each pair is measured once."""
     spark = nodes.sparkSession
     kinds = spark.createDataFrame([p for a, b in compatible for p in ((a, b), (b, a))], "type string, kind string")
     keyed = nodes.select("id", "embedding", "ord", F.col("type").alias("kind"))
@@ -55,9 +56,12 @@ def candidates(nodes: DataFrame, threshold: float = 0.85, most: int = 50, compat
     wide = wide.unionByName(nodes.select("id", "embedding", "ord", "type").join(F.broadcast(kinds), "type"))
     left = wide.select(F.col("id").alias("a"), F.col("embedding").alias("x"), F.col("ord").alias("ao"), "kind")
     right = keyed.select(F.col("id").alias("b"), F.col("embedding").alias("y"), F.col("ord").alias("bo"), "kind")
-    pairs = left.join(right, "kind").filter("ao < bo").withColumn("similarity", cosine(F.col("x"), F.col("y"))).filter(F.col("similarity") >= threshold)
-    best = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "bo"))).filter(F.col("nth") <= most)
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", "ao", "nth").dropDuplicates(["a", "b"])
+    pairs = left.join(right, "kind").filter("ao < bo").withColumn("similarity", cosine(F.col("x"), F.col("y"))).filter(F.col("similarity") >= threshold).select("a", "b", "ao", "bo", "similarity")
+    ways = F.array(F.struct("a", "b", "ao", "bo", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("bo").alias("ao"), F.col("ao").alias("bo"), "similarity"))
+    ways = pairs.select(F.explode(ways).alias("w")).select("w.*")
+    best = ways.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "bo"))).filter(F.col("nth") <= most)
+    met = best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"), F.min(F.struct("ao", "nth")).alias("met"))
+    return met.select("a", "b", "similarity", "met.ao", "met.nth")
 
 
 def boosted(pairs: DataFrame, edges: DataFrame, above: float = 0.3) -> DataFrame:
@@ -75,9 +79,16 @@ def boosted(pairs: DataFrame, edges: DataFrame, above: float = 0.3) -> DataFrame
 
 def merges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(merged_id, absorbed_id, similarity): pairs taken in candidate order, skipping nodes that were absorbed; the survivor has as
-    many or more provenances, the smaller id on a tie. Sequential by definition, so the pairs over the threshold meet in one task."""
+    many or more provenances, the smaller id on a tie. What is skipped depends on pairs connected to it only, so each
+    connected component of the pairs is settled on its own."""
+    from .cluster import component_of
+
+    pairs = stored(pairs, "pairs")
     n = nodes.select("id", F.coalesce(F.size("provenance"), F.lit(0)).alias("n"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    part = component_of(Graph(ends, pairs.select(F.col("a").alias("source"), F.col("b").alias("target"))))
     rows = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    rows = rows.join(part.select(F.col("id").alias("a"), "component"), "a")
 
     def greedy(pdf):
         import pandas as pd
@@ -91,7 +102,7 @@ def merges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             out.append((keep, drop, r.similarity))
         return pd.DataFrame(out, columns=["merged_id", "absorbed_id", "similarity"])
 
-    return rows.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(greedy, "merged_id string, absorbed_id string, similarity double")
+    return rows.groupBy("component").applyInPandas(greedy, "merged_id string, absorbed_id string, similarity double")
 
 
 def applied(g: Graph, merged: DataFrame, compat: bool = False) -> Graph:

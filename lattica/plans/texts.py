@@ -234,18 +234,44 @@ def throughput(spark, sf_dir):
     return out.select("successes", "failures")
 
 
-@query("export_graphml", f"""WITH {BASE} SELECT '    <node id="' || id || '"><data key="label">' || label || '</data></node>' AS line FROM nodes UNION ALL SELECT '    <edge source="' || source || '" target="' || target || '"/>' FROM sparse
-UNION ALL SELECT * FROM (VALUES ('<?xml version="1.0" encoding="UTF-8"?>'), ('<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), ('  <graph edgedefault="directed">'), ('  </graph>'), ('</graphml>')) v""")
+HEAD_SQL = ", ".join("('" + x + "')" for x in [*export.GRAPHML_HEAD.split("\n"), "  </graph>", "</graphml>"])
+
+
+@query(
+    "export_graphml",
+    f"""WITH {BASE}
+SELECT '    <node id="' || id || '">' || chr(10) || '      <data key="label">' || label || '</data>' || chr(10) || '      <data key="type">nation</data>' || chr(10)
+  || '      <data key="community">' || community || '</data>' || chr(10) || '      <data key="provenance">[&quot;region' || community || '&quot;]</data>' || chr(10) || '    </node>' AS line FROM nodes
+UNION ALL SELECT '    <edge id="' || id || '" source="' || source || '" target="' || target || '">' || chr(10) || '      <data key="weight">' || CAST(weight AS BIGINT) || '</data>' || chr(10)
+  || '      <data key="edge_label">trades</data>' || chr(10) || '      <data key="edge_provenance">[]</data>' || chr(10) || '    </edge>' FROM sparse
+UNION ALL SELECT '  <graph id="G" edgedefault="directed" nodes="' || (SELECT count(*) FROM nodes) || '" edges="' || (SELECT count(*) FROM sparse) || '">'
+UNION ALL SELECT * FROM (VALUES {HEAD_SQL}) v""",
+)
 def export_graphml(spark, sf_dir):
     return export.graphml(trade_graph(spark, sf_dir, True)).select("line")
 
 
-@query("export_cypher", f"""WITH {BASE} SELECT 'CREATE (:`nation` {{id: ''' || id || ''', label: ''' || label || '''}});' AS line FROM nodes
-UNION ALL SELECT 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) CREATE (a)-[:`trades`]->(b);' FROM sparse""")
+@query(
+    "export_cypher",
+    f"""WITH {BASE}
+SELECT 'CREATE (n:`nation` {{id: ''' || id || ''', label: ''' || label || ''', type: ''nation'', community: ' || community || ', provenance: ["region' || community || '"]}});' AS line FROM nodes
+UNION ALL SELECT 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) CREATE (a)-[r:`TRADES` {{id: ''' || id || ''', weight: ' || CAST(weight AS BIGINT) || '}}]->(b);' FROM sparse
+UNION ALL SELECT 'CREATE INDEX node_' || c || '_index IF NOT EXISTS FOR (n:GraphNode) ON (n.' || c || ');' FROM (VALUES ('id'), ('type'), ('community'), ('label')) v(c)""",
+)
 def export_cypher(spark, sf_dir):
     return export.cypher(trade_graph(spark, sf_dir, True)).select("line")
 
 
+@query(
+    "export_html",
+    f"""WITH {BASE}
+SELECT '{{"id":"' || id || '","label":"' || label || '","type":"nation","community":' || community || '}},' AS line FROM nodes
+UNION ALL SELECT '{{"source":"' || source || '","target":"' || target || '","weight":' || CAST(weight AS VARCHAR) || '}},' FROM sparse""",
+)
+def export_html(spark, sf_dir):
+    return export.html(trade_graph(spark, sf_dir, True)).filter("place LIKE '1-%' OR place LIKE '3-%'").select("line")
+
+
 @query("export_svg")
 def export_svg(spark, sf_dir):
     g = trade_graph(spark, sf_dir, True)
