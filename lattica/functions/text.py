@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,6 +134,38 @@ def section_header(kind: Column) -> Column:
     return F.concat(F.upper(F.substring(kind, 1, 1)), F.substr(kind, F.lit(2)), F.when(kind.endswith("s"), "").otherwise("s"))
 
 
+def header_type(header: Column) -> Column:
+    """What a section's header was made from: in small letters, without one s at its end."""
+    return F.lower(F.regexp_replace(header, "(?i)s$", ""))
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many places, half away from zero by its decimal digits."""
+    return F.format_string(f"%.{places}f", F.round(value.cast("double"), places))
+
+
+def xxhash_hex(text: Column) -> Column:
+    """XXH64 with seed 0, as 16 hexadecimal digits. Spark's own hash of that name has another seed; this one runs in Arrow batches."""
+    @F.pandas_udf("string")
+    def digest(values: pd.Series) -> pd.Series:
+        import xxhash
+
+        return values.map(lambda v: None if v is None else xxhash.xxh64_hexdigest(v.encode()))
+
+    return digest(text)
+
+
+def bpe_tokens(text: Column, encode=None) -> Column:
+    """Number of tokens by ``encode(str) -> list``, in Arrow batches; without one, the estimate by characters."""
+    if encode is None:
+        return tokens(text)
+    @F.pandas_udf("long")
+    def count(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: len(encode(v or "")))
+
+    return count(text)
+
+
 #: Colours of communities, and of nodes without one.
 PALETTE = ("#6366f1", "#22c55e", "#f59e0b", "#ef4444", "#8b5cf6", "#06b6d4", "#ec4899", "#14b8a6", "#f97316", "#84cc16")
 NO_COLOUR = "#6b7280"
@@ -142,28 +175,31 @@ def community_colour(community: Column) -> Column:
     return F.when(community.isNull(), NO_COLOUR).otherwise(F.element_at(F.array(*map(F.lit, PALETTE)), (F.pmod(community, F.lit(10)) + 1).cast("int")))
 
 
-def substring_difference(a: Column, b: Column) -> Column:
-    """|difference of lengths| and the part of the shorter text after the common prefix."""
+def substring_difference(a: Column, b: Column, most: int = 200) -> Column:
+    """|difference of lengths| and the part of the shorter text after the common prefix; one more than ``most`` if the lengths differ by more."""
     shorter = F.least(F.length(a), F.length(b))
     ca, cb = F.split(a, ""), F.split(b, "")
     same = F.aggregate(F.zip_with(F.slice(ca, 1, F.greatest(shorter, F.lit(1))), F.slice(cb, 1, F.greatest(shorter, F.lit(1))), lambda x, y: x == y), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, e: F.struct((s["n"] + F.when(s["on"] & e, 1).otherwise(0)).alias("n"), (s["on"] & e).alias("on")))["n"]
     gap = F.abs(F.length(a) - F.length(b))
-    return F.when(gap > 200, gap).when(shorter == 0, gap).otherwise(gap + shorter - same)
+    return F.when(gap > most, F.lit(most + 1)).when(shorter == 0, gap).otherwise(gap + shorter - same)
 
 
 def revised_prompt(answer: Column, original: Column) -> Column:
-    """The first fenced block, else what follows a marker, else the first five lines, else the original."""
-    found = lambda p: F.nullif(F.trim(F.regexp_extract(answer, p, 1)), F.lit(""))
-    return F.coalesce(found(r"(?s)```[a-z]*\n(.*?)```"), found(r"(?is)revised prompt:\s*(.+)"), F.nullif(F.trim(F.array_join(F.slice(F.split(answer, "\n"), 1, 5), "\n")), F.lit("")), original)
+    """The first fenced block, else the paragraph after a marker, else the first five lines with text as one (over ten characters), else the original."""
+    block, marker = r"(?s)```\w*\n?(.*?)```", r"(?is)revised prompt:\s*(.*?)(?:\n\n|\z)"
+    lines = F.trim(F.array_join(F.slice(F.filter(F.split(answer, "\n"), lambda x: F.trim(x) != ""), 1, 5), " "))
+    bare = lambda p: F.regexp_replace(F.regexp_extract(answer, p, 1), r"^\s+|\s+$", "")
+    return F.when(answer.rlike(block), bare(block)).when(answer.rlike(marker), bare(marker)).when(F.length(lines) > 10, lines).otherwise(original)
 
 
 def next_version(version: Column) -> Column:
     return F.concat(F.lit("v"), (F.regexp_extract(version, r"^v(\d+)$", 1).try_cast("int") + 1).cast("string"))
 
 
-def backoff_ms(failures: Column, base: float = 1000, factor: float = 2, most: float = 60000) -> Column:
-    """Delay before the next attempt, without jitter."""
-    return F.least(base * F.pow(F.lit(factor), failures - 1), F.lit(float(most)))
+def backoff_ms(failures: Column, base: float = 1000, factor: float = 2, most: float = 60000, jitter: float = 0.0, seed: int = 0) -> Column:
+    """Delay before the next attempt; with ``jitter`` up to that part of it more or less, drawn by the seed."""
+    delay = F.least(base * F.pow(F.lit(factor), failures - 1), F.lit(float(most)))
+    return delay * (1 + jitter * (2 * F.rand(seed) - 1)) if jitter else delay
 
 
 def rate_limited(message: Column) -> Column:

@@ -62,6 +62,15 @@ def replaced(old: Graph, new: Graph, files: DataFrame) -> Graph:
     return Graph(nodes, edges, old.directed, old.meta)
 
 
+def watch_merged(old: Graph, new: Graph, removed: DataFrame) -> Graph:
+    """``old`` without the nodes of removed files (file), all its edges kept, and ``new`` appended; first id wins."""
+    kept = old.nodes.join(removed.select(F.col("file").alias("source_file")), "source_file", "left_anti")
+    late = 1 << 40
+    nodes = first_wins(kept.unionByName(new.nodes.withColumn("ord", F.col("ord") + late), allowMissingColumns=True), ["id"])
+    edges = first_wins(old.edges.unionByName(new.edges.withColumn("ord", F.col("ord") + late), allowMissingColumns=True), ["id"])
+    return Graph(nodes, edges, old.directed, old.meta)
+
+
 def rolled_back(now: Graph, removed_nodes: DataFrame, removed_edges: DataFrame) -> Graph:
     """Removed nodes and edges put back; what is there wins, and what was added stays."""
     late = 1 << 40

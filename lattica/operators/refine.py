@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.text import occurrences, tokens
+from lattica.functions.text import class_tokens, next_version, occurrences, revised_prompt, substring_difference, tokens
 
 FAILS_BELOW = 0.6
 
@@ -65,17 +65,58 @@ def root_causes() -> Column:
     return F.filter(F.array(*[F.when(F.expr(c), n) for n, c in rules]), lambda x: x.isNotNull())
 
 
+#: What a trace without cache entries, and one with the first prompt, adds to the diagnosis.
+SYSTEM_ROWS = (("SYSTEM", "Cache System", 0.3), ("PROMPTS", "Extraction Prompts", 0.4))
+
+
+def diagnosed(weak: DataFrame, traces: DataFrame) -> DataFrame:
+    """(trace, id, label, impact), the greatest impact first: each weak node (trace, id, label, in_wiki) of a trace (trace, tier, tokens, cached,
+    prompt_version), a row for the cache if nothing was cached, and one for the prompts if they are the first version."""
+    rows = weak.join(traces, "trace").select("trace", "id", "label", impact().cast("double").alias("impact"))
+    for (name, label, value), rule in zip(SYSTEM_ROWS, ("cached = 0", "prompt_version = 'v1'"), strict=True):
+        rows = rows.unionByName(traces.filter(rule).select("trace", F.lit(name).alias("id"), F.lit(label).alias("label"), F.lit(value).alias("impact")))
+    return rows.orderBy("trace", F.desc("impact"), "id")
+
+
+def granularity(counts: DataFrame) -> DataFrame:
+    """(file, gap, density, quality) of counts (file, parsed, modelled, words): model nodes for each parser node (1 without any),
+    model nodes for each 1000 words, and the gap's grade."""
+    gap = F.when(F.col("parsed") > 0, F.col("modelled") / F.col("parsed")).otherwise(1.0)
+    return counts.select("file", gap.alias("gap"), density(F.col("modelled"), F.col("words")).alias("density"), quality(gap).alias("quality"))
+
+
+def revised(prompts: DataFrame, most: int = 200) -> DataFrame:
+    """(version, prompt, accepted): the prompt that a model's answer holds (version, prompt, answer), taken as the next version if it differs
+    from the old one by ``most`` characters or fewer, else the old one."""
+    new = revised_prompt(F.col("answer"), F.col("prompt"))
+    fits = (substring_difference(F.col("prompt"), new) <= most) & (new != F.col("prompt"))
+    return prompts.select(F.when(fits, next_version(F.col("version"))).otherwise(F.col("version")).alias("version"), F.when(fits, new).otherwise(F.col("prompt")).alias("prompt"), fits.alias("accepted"))
+
+
 def impact() -> Column:
     """Impact of a failed query (tier, in_wiki, tokens): 0.1 and what speaks against it."""
     return F.lit(0.1) + F.when(F.col("tier") < 3, 0.15).otherwise(0.0) + F.when(~F.col("in_wiki"), 0.2).otherwise(0.0) + F.when(F.col("tokens") > 40000, 0.1).otherwise(0.0)
 
 
+def parts_of(longer: DataFrame, text: str, shorter: DataFrame, part: str) -> DataFrame:
+    """(text, part): values of ``longer`` and the values of ``shorter`` they hold, by an equi-join over the stretches of each text that have the
+    length of a part (as many lengths as there are)."""
+    lengths = F.array(*[F.lit(r[0]) for r in shorter.select(F.length(part)).filter(F.length(part) > 0).distinct().collect()] or [F.lit(1)])
+    spots = longer.select(text, F.explode(lengths).alias("_n")).filter(F.col("_n") <= F.length(text))
+    spots = spots.select(text, "_n", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)).alias("_i"))
+    found = spots.select(text, F.substr(F.col(text), F.col("_i"), F.col("_n")).alias("_part")).distinct()
+    return found.join(shorter.select(F.col(part).alias("_p")), F.col("_part") == F.col("_p")).select(text, F.col("_p").alias(part))
+
+
 def missing_elements(parsed: DataFrame, modelled: DataFrame) -> DataFrame:
-    """Labels of ``parsed`` that no label of ``modelled`` (one broadcast list of a model's output) equals or contains, or is contained in, without punctuation."""
+    """Labels of ``parsed`` that no label of ``modelled`` equals or contains, or is contained in, without punctuation."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     b = modelled.select(plain(F.col("label")).alias("m")).filter("m <> ''").distinct()
     a = parsed.select("label", plain(F.col("label")).alias("p"))
-    return a.join(b, F.col("p").contains(F.col("m")) | F.col("m").contains(F.col("p")), "left_anti").select("label")
+    own = a.select("p").filter("p <> ''").distinct()
+    known = parts_of(own, "p", b, "m").select("p").union(parts_of(b, "m", own, "p").select("p")).distinct()
+    blank = modelled.filter(plain(F.col("label")) != "").limit(1).select(F.lit("").alias("p"))
+    return a.join(known.union(blank), "p", "left_anti").select("label")
 
 
 def terms_of(question: str) -> list[str]:
@@ -107,6 +148,28 @@ def rag_cost(files: DataFrame, question: str, most: int = 5) -> DataFrame:
     return files.orderBy("ord").limit(most).agg(F.lit("rag").alias("method"), (2 * F.coalesce(F.sum(tokens(F.col("text"))), F.lit(0)) + own).alias("tokens"), F.count("*").alias("files"))
 
 
+#: Fixed value: what a tiered answer loads.
+TIER_CONTEXT = "Graph wiki context loaded from knowledge graph."
+
+
+def tiered_cost(questions: DataFrame) -> DataFrame:
+    """(question, method, tokens, files): the tiered method's cost of each question by formula: twice the question, the context once and
+    three times again, and the sentence that tells it."""
+    context = -(-len(TIER_CONTEXT) // 4)
+    spent = 2 * tokens(F.col("question")) + 4 * context
+    said = F.length(F.format_string("tiered approach consumed %d tokens with optimal precision.", spent)) + 10
+    return questions.select("question", F.lit("tiered").alias("method"), (spent + F.ceil(said / 4)).cast("bigint").alias("tokens"), F.lit(3).cast("bigint").alias("files"))
+
+
+def all_costs(files: DataFrame, questions: list[str]) -> DataFrame:
+    """(question, method, tokens, files) of each question (a stated list) by every method."""
+    out = tiered_cost(files.sparkSession.createDataFrame([(q,) for q in questions], "question string"))
+    for q in questions:
+        for cost in (grep_cost(files, q), naive_cost(files, q), rag_cost(files, q)):
+            out = out.unionByName(cost.select(F.lit(q).alias("question"), "method", "tokens", "files"))
+    return out
+
+
 def cheapest(runs: DataFrame) -> DataFrame:
     """The method of least mean tokens, and the single run of least tokens, of runs (method, tokens)."""
     mean = runs.groupBy("method").agg(F.avg("tokens").alias("mean"))
@@ -129,6 +192,17 @@ def message_tokens(messages: DataFrame, key: str, text: str) -> DataFrame:
     return messages.groupBy(key).agg((F.sum(tokens(F.col(text)) + 4) + 3).alias("tokens"))
 
 
+def counters(calls: DataFrame, by: str) -> DataFrame:
+    """Tokens in all, calls, and tokens a call."""
+    return calls.groupBy(by).agg(F.sum("tokens").alias("total"), F.count("*").alias("calls"), F.avg("tokens").alias("average"))
+
+
+def class_message_tokens(messages: DataFrame, key: str, text: str, name: str | None = None) -> DataFrame:
+    """Tokens of each conversation by the class-based count: 4 and its own for each message, its name's and 1 if it has one, and 6."""
+    each = F.lit(4) + class_tokens(F.col(text)) + (F.coalesce(class_tokens(F.col(name)) + 1, F.lit(0)) if name else F.lit(0))
+    return messages.groupBy(key).agg((F.sum(each) + 6).cast("bigint").alias("tokens"))
+
+
 def running_tokens(calls: DataFrame, by: str, order: list[str], budget: int = 150_000) -> DataFrame:
     """Running totals of calls (tokens) within ``by``, and whether they are over 80 % of the budget."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

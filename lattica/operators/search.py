@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.files import page_type
@@ -42,7 +42,7 @@ def relevance(question: str) -> Column:
 
 def ask(nodes: DataFrame, question: str, most: int = 10) -> DataFrame:
     scored = nodes.withColumn("score", relevance(question)).filter("score > 0")
-    return scored.orderBy(F.desc("score"), "ord").limit(most).select("id", "label", "score")
+    return scored.orderBy(F.desc("score"), "ord").limit(most).select("id", "label", "score", "ord")
 
 
 def ask_context(g: Graph, question: str) -> DataFrame:
@@ -94,17 +94,63 @@ TIER_TOKENS = (0, 2000, 500, 5000, 10000)
 
 
 def tier0(g: Graph, question: str) -> DataFrame:
-    """(answer, tokens): how many nodes or edges there are, or what a named node is; empty if the question is another."""
+    """(answer, tokens): how many nodes or edges there are, or what the first node is that the question names; empty if it asks for something else."""
     q = question.lower()
-    spark = g.nodes.sparkSession
-    if re.search(r"how many nodes|node count", q):
-        return g.nodes.agg(F.concat(F.lit("The graph has "), F.count("*").cast("string"), F.lit(" nodes.")).alias("answer")).withColumn("tokens", F.lit(0.0))
-    if re.search(r"how many edges|edge count", q):
-        return g.edges.agg(F.concat(F.lit("The graph has "), F.count("*").cast("string"), F.lit(" edges.")).alias("answer")).withColumn("tokens", F.lit(0.0))
-    if q.startswith("what is"):
-        hit = g.nodes.filter(F.lit(q).contains(F.lower("label")) & (F.length("label") > 0)).orderBy("ord").limit(1)
-        return hit.select(F.concat_ws("", "label", F.lit(" is a "), "type", F.lit(".")).alias("answer"), F.lit(0.0).alias("tokens"))
-    return spark.createDataFrame([], "answer string, tokens double")
+    none = F.lit(0.0).alias("tokens")
+    if "how many node" in q or "node count" in q:
+        return g.nodes.agg(F.format_string("The graph contains %d nodes.", F.count("*")).alias("answer")).select("answer", none)
+    if "how many edge" in q or "edge count" in q:
+        return g.edges.agg(F.format_string("The graph contains %d edges.", F.count("*")).alias("answer")).select("answer", none)
+    if "what is" in q and "node" in q:
+        hit = _near(g, q).orderBy("ord").limit(1)
+        home = F.coalesce(F.format_string(" It belongs to community %d.", F.col("community").cast("long")), F.lit(""))
+        return hit.select(F.concat(F.format_string('The node "%s" is a %s.', "label", "type"), F.when(F.col("community").isNotNull(), home).otherwise("")).alias("answer"), none)
+    return g.nodes.sparkSession.createDataFrame([], "answer string, tokens double")
+
+
+def _near(g: Graph, q: str) -> DataFrame:
+    """Nodes whose label the question holds, or whose label holds its first word."""
+    return g.nodes.filter(F.lower("label").contains(q.split(" ")[0]) | F.lit(q).contains(F.lower("label")))
+
+
+def context_lines(g: Graph, question: str, pages: DataFrame | None = None) -> DataFrame:
+    """(part, place, line): the best nodes with the first 120 characters of their content, edges among them and what is near (20 at most),
+    and pages (path, ord) named after one of the best five."""
+    from .traverse import reached, subgraph
+
+    best = ask(g.nodes, question).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "ord"))).join(g.nodes.select("id", "type", "properties"), "id")
+    content = F.coalesce(F.concat(F.lit(": "), F.substring(F.nullif(F.try_element_at("properties", F.lit("content")), F.lit("")), 1, 120)), F.lit(""))
+    out = best.select(F.lit("nodes").alias("part"), F.col("place").cast("long").alias("place"), F.concat(F.lit("- "), "label", F.lit(" ("), "type", F.lit(")"), content).alias("line"))
+    starts = [r["id"] for r in best.orderBy("place").limit(3).collect()]
+    ids = best.select("id").union(reached(g, starts, 2).select("id")).distinct() if starts else best.select("id")
+    names = g.nodes.select("id", "label")
+    edges = subgraph(g, ids).edges.orderBy("ord").limit(20)
+    edges = edges.join(names.select(F.col("id").alias("source"), F.col("label").alias("a")), "source").join(names.select(F.col("id").alias("target"), F.col("label").alias("b")), "target")
+    out = out.unionByName(edges.select(F.lit("relations").alias("part"), F.col("ord").cast("long").alias("place"), F.concat(F.lit("- "), "a", F.lit(" → "), F.coalesce("label", F.lit("relates_to")), F.lit(" → "), "b").alias("line")))
+    if pages is not None:
+        refs = wiki_refs(pages, best.withColumn("ord", F.col("place"))).join(best.select("id", "place"), "id")
+        out = out.unionByName(refs.select(F.lit("pages").alias("part"), F.col("place").cast("long").alias("place"), F.concat(F.lit("- "), "path").alias("line")))
+    return out
+
+
+#: What a keyword query shows: the nodes, a walk from the first one, or the nodes with the edges between them.
+QUERY_MODES = ("list", "walk", "subgraph")
+
+
+def query(g: Graph, question: str, mode: str = "list", most: int = 10) -> DataFrame:
+    """(kind, id) of a keyword query in one of QUERY_MODES; the walk goes depth first, two hops from the first hit."""
+    from .traverse import dfs, subgraph
+
+    if mode not in QUERY_MODES:
+        raise ValueError(f"mode must be one of {', '.join(QUERY_MODES)}")
+    hits = keyword(g.nodes, question, most)
+    nodes = hits.select(F.lit("node").alias("kind"), "id")
+    if mode == "list":
+        return nodes
+    first = hits.orderBy("ord").first()
+    if mode == "walk":
+        return dfs(g, first["id"], 2).select(F.lit("node").alias("kind"), "id") if first else nodes
+    return nodes.unionByName(subgraph(g, hits).edges.select(F.lit("edge").alias("kind"), "id"))
 
 
 def route(g: Graph, question: str, report: str | None, summaries: DataFrame, pages: DataFrame, model, budget: int = 4000) -> dict:
@@ -114,9 +160,7 @@ def route(g: Graph, question: str, report: str | None, summaries: DataFrame, pag
     found = tier0(g, question).first()
     if found:
         return {"answer": found["answer"], "tier": 0, "tokens": 0.0}
-    q = question.lower()
-    first = q.split()[0] if q.split() else ""
-    near = g.nodes.filter(F.lower("label").contains(first) | F.lit(q).contains(F.lower("label"))).orderBy("ord")
+    near = _near(g, question.lower()).orderBy("ord")
     sources = (
         lambda: report,
         lambda: "\n".join(r[0] for r in summaries.join(near.select("community").distinct(), "community", "left_semi").select("summary").limit(5).collect()),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.model import Graph, stored
 
@@ -105,6 +106,29 @@ def merges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("component").applyInPandas(greedy, "merged_id string, absorbed_id string, similarity double")
 
 
+def redirects(merged: DataFrame, edges: DataFrame) -> DataFrame:
+    """``merged`` with edge_redirects, the number of edges at the absorbed node (a loop counts once)."""
+    at = edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("absorbed_id")).groupBy("absorbed_id").agg(F.count("*").alias("edge_redirects"))
+    return merged.join(at, "absorbed_id", "left").withColumn("edge_redirects", F.coalesce("edge_redirects", F.lit(0)))
+
+
+def embedded(texts: DataFrame, text: str, model, size: int) -> DataFrame:
+    """``texts`` with ``embedding``: what ``model(list of str) -> array (n x size)`` gives, of length 1. Texts go to it in Arrow batches."""
+    schema = T.StructType([*texts.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.asarray(model([v or "" for v in batch.column(text).to_pylist()]), float).reshape(batch.num_rows, size)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(norm > 0, norm, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(x), pa.list_(pa.float64()))], names=[*batch.schema.names, "embedding"])
+
+    return texts.mapInArrow(run, schema)
+
+
 def applied(g: Graph, merged: DataFrame, compat: bool = False) -> Graph:
     """The graph without absorbed nodes: survivors get their provenance and ``merged_from``; edges are redirected and combined
     (``compat``: edges at absorbed nodes are dropped)."""

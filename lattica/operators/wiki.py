@@ -5,36 +5,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.text import label_slug, section_header
+from lattica.functions.text import section_header
 from lattica.model import Graph
 
 from . import stats
+from .refine import parts_of
 
 
-def _lines(order: str, text: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), "\n")
+def _joined(order: str, text: Column, by: str = "\n") -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), by)
 
 
-def sections(nodes: DataFrame) -> DataFrame:
-    """(community, type, body): a section for each type of node in a community, its nodes in order."""
-    line = F.concat(F.lit("- "), F.coalesce("label", "id"))
-    return nodes.groupBy(F.coalesce("community", F.lit(-1)).alias("community"), "type").agg(_lines("ord", line).alias("body"), F.count("*").alias("n"))
+def _page_slug(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, r"\s+", "-"))
 
 
-def pages(g: Graph) -> DataFrame:
-    """(community, title, path, confidence, content): a page for each community: its sections by type and the communities next to it."""
-    body = sections(g.nodes).groupBy("community").agg(_lines("type", F.concat(F.lit("## "), section_header(F.col("type")), F.lit("\n\n"), F.col("body"), F.lit("\n"))).alias("text"), F.sum("n").alias("n_nodes"))
-    near = stats.adjacent_communities(g).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list("neighbour")), lambda c: F.concat(F.lit("[["), F.lit("community-"), c.cast("string"), F.lit("]]"))), ", ").alias("related"))
-    label = g.nodes.groupBy(F.coalesce("community", F.lit(-1)).alias("community")).agg(F.min_by("label", "ord").alias("label"))
-    out = body.join(label, "community").join(near, "community", "left").join(stats.community_confidence(g), "community")
-    content = F.concat(F.lit("# "), "label", F.lit("\n\n"), "text", F.when(F.col("related").isNotNull(), F.concat(F.lit("\nRelated: "), "related")).otherwise(""))
-    return out.select("community", F.col("label").alias("title"), F.concat(F.lit("wiki/"), label_slug(F.col("label")), F.lit(".md")).alias("path"), "confidence", "n_nodes", content.alias("content"))
+def _named(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", F.coalesce("community", F.lit(-1)).alias("community"), F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("label", "id").alias("label"), "properties", "source_file", "ord")
+
+
+def _inner_edges(g: Graph) -> DataFrame:
+    """Edges whose ends are in one community, with it."""
+    known = g.nodes.select("id", F.coalesce("community", F.lit(-1)).alias("c"))
+    a, b = known.select(F.col("id").alias("source"), F.col("c").alias("community")), known.select(F.col("id").alias("target"), F.col("c").alias("other"))
+    return g.edges.join(a, "source").join(b, "target").filter("community = other").drop("other")
 
 
-def source_pages(nodes: DataFrame) -> DataFrame:
-    """(source_file, n, content): a page for each file of two nodes or more."""
-    out = nodes.filter("source_file IS NOT NULL").groupBy("source_file").agg(F.count("*").alias("n"), _lines("ord", F.concat(F.lit("- "), "label")).alias("body")).filter("n >= 2")
-    return out.select("source_file", "n", F.concat(F.lit("# "), "source_file", F.lit("\n\n"), "body").alias("content"))
+def sections(g: Graph) -> DataFrame:
+    """(community, type, header, place, body, n): a section for each type of node in a community, in order of first sight. Each node
+    has an entry: its label, the first 200 characters of its content (or its label again), and the community's edges at it."""
+    nodes = _named(g.nodes)
+    line = F.concat(F.lit("  - "), "source", F.lit(" --"), F.coalesce(F.nullif("label", F.lit("")), F.lit("related")), F.lit("--> "), "target")
+    near = _inner_edges(g).select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id"), "ord", line.alias("line"))
+    near = near.groupBy("id").agg(_joined("ord", F.col("line")).alias("relations"))
+    text = F.coalesce(F.substring(F.try_element_at("properties", F.lit("content")), 1, 200), F.col("label"))
+    entry = F.concat(F.lit("### "), "label", F.lit("\n\n"), text, F.coalesce(F.concat(F.lit("\n\nRelationships:\n"), "relations"), F.lit("")))
+    rows = nodes.join(near, "id", "left").withColumn("entry", entry)
+    out = rows.groupBy("community", "type").agg(F.min("ord").alias("place"), _joined("ord", F.col("entry"), "\n\n").alias("body"), F.count("*").alias("n"))
+    return out.withColumn("header", section_header(F.col("type")))
+
+
+def pages(g: Graph) -> DataFrame:
+    """A page for each community: community, title, path, confidence, n_nodes, outline, sources, related, tags, content.
+
+    The content has the outline, a section for each type (``sections``) and links to all its nodes. ``related`` are the
+    communities next to it, ``sources`` the files of its nodes, ``tags`` its types and its number."""
+    nodes = _named(g.nodes)
+    body = sections(g).groupBy("community").agg(_joined("place", F.concat(F.lit("## "), "header", F.lit("\n\n"), "body"), "\n\n").alias("text"), _joined("place", F.col("type"), ",").alias("types"))
+    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("source_file", F.lit("")) != "", F.struct("ord", "source_file")))), lambda x: x["source_file"]))
+    whole = nodes.groupBy("community").agg(
+        F.min_by("label", "ord").alias("label"), F.count("*").alias("n_nodes"), seen.alias("sources"), _joined("ord", F.concat(F.lit("- [["), "label", F.lit("]]"))).alias("links")
+    )
+    inner = _inner_edges(g).groupBy("community").agg(F.count("*").alias("m"))
+    name = lambda c: F.concat(F.lit("community-"), c.cast("string"))
+    near = stats.adjacent_communities(g).groupBy("community").agg(F.transform(F.array_sort(F.collect_list("neighbour")), name).alias("related"))
+    out = body.join(whole, "community").join(inner, "community", "left").join(near, "community", "left").join(stats.community_confidence(g), "community")
+    outline = F.format_string("Community %s contains %d nodes and %d edges", "label", "n_nodes", F.coalesce("m", F.lit(0)))
+    tags = F.concat(F.array(F.lit("generated")), F.split("types", ","), F.array(name(F.col("community"))))
+    content = F.concat(F.lit("# "), "label", F.lit("\n\n"), outline, F.lit("\n\n"), "text", F.lit("\n\n## Related\n\n"), "links")
+    empty = F.array().cast("array<string>")
+    return out.select(
+        "community", F.col("label").alias("title"), F.concat(F.lit("wiki/"), _page_slug(F.col("label")), F.lit(".md")).alias("path"), "confidence", "n_nodes", outline.alias("outline"),
+        "sources", F.coalesce("related", empty).alias("related"), tags.alias("tags"), content.alias("content"),
+    )
+
+
+def verified(contents: DataFrame) -> DataFrame:
+    """(id, content, verified): the third stage hands each node's content on; it always counts as verified."""
+    return contents.select("id", "content", F.lit(True).alias("verified"))
+
+
+def with_front_matter(pages_: DataFrame, stamp: str) -> DataFrame:
+    """(path, text): pages (``pages``) as files that begin with their front matter."""
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    optional = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(f"{c}: "), listed(c)))
+    lines = F.array(
+        F.lit("---"), F.concat(F.lit("community: "), F.col("community").cast("string")), F.concat(F.lit("label: "), "title"), F.lit("type: community"), F.concat(F.lit("confidence: "), "confidence"),
+        optional("sources"), optional("related"), F.lit(f"created_at: {stamp}"), F.lit(f"updated_at: {stamp}"), F.concat(F.lit("tags: "), listed("tags")), F.lit("---"), F.col("content"),
+    )
+    return pages_.select("path", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("text"))
+
+
+def source_pages(g: Graph) -> DataFrame:
+    """(source_file, path, n, content): a page for each file of two nodes or more: its nodes, and the edges between them."""
+    nodes = g.nodes.filter("source_file <> ''").select("id", F.coalesce("label", "id").alias("label"), "type", "source_file", "ord")
+    a, b = nodes.select(F.col("id").alias("source"), F.col("label").alias("la"), "source_file"), nodes.select(F.col("id").alias("target"), F.col("label").alias("lb"), F.col("source_file").alias("f"))
+    line = F.concat(F.lit("- "), "la", F.lit(" → "), "lb", F.lit(" ("), F.coalesce("label", F.lit("related")), F.lit(")"))
+    links_ = g.edges.join(a, "source").join(b, "target").filter("source_file = f").groupBy("source_file").agg(_joined("ord", line).alias("relations"))
+    out = nodes.groupBy("source_file").agg(F.count("*").alias("n"), _joined("ord", F.concat(F.lit("- **"), "label", F.lit("** ("), "type", F.lit(")"))).alias("body")).filter("n >= 2").join(links_, "source_file", "left")
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace("source_file", r"\.[^/.]+$", ""), r"[/\\]", "-"), r"\s+", "-")
+    content = F.concat(F.lit("# "), "source_file", F.lit("\n\n> "), F.col("n").cast("string"), F.lit(" concepts extracted\n\n## Concepts\n\n"), "body", F.coalesce(F.concat(F.lit("\n\n## Relationships\n\n"), "relations"), F.lit("")))
+    return out.select("source_file", F.concat(F.lit("wiki/sources/"), name, F.lit(".md")).alias("path"), "n", content.alias("content"))
 
 
 def page_order(metas: DataFrame) -> DataFrame:
@@ -48,6 +109,41 @@ def grid(pages_: DataFrame, order: str, columns: int) -> DataFrame:
     return pages_.withColumn("i", i).withColumn("col", F.pmod("i", F.lit(columns))).withColumn("row", F.floor(F.col("i") / columns)).drop("i")
 
 
+def canvas(pages_: DataFrame, order: str) -> DataFrame:
+    """(place, node): a canvas's nodes as JSON, one for each page (title, path), laid in a square 300 by 120 apart."""
+    columns = max(1, int(-(-(pages_.count() ** 0.5) // 1)))
+    placed = grid(pages_, order, columns)
+    node = F.to_json(
+        F.struct(
+            _page_slug(F.col("title")).alias("id"), F.lit("file").alias("type"), F.regexp_replace("path", "^wiki/", "").alias("file"),
+            (F.col("col") * 300).alias("x"), (F.col("row") * 120).alias("y"), F.lit(250).alias("width"), F.lit(60).alias("height"),
+        )
+    )
+    return placed.select((F.col("row") * columns + F.col("col")).cast("long").alias("place"), node.alias("node"))
+
+
+def pages_of_nodes(g: Graph) -> DataFrame:
+    """(id, path): which page each node is on."""
+    return g.nodes.select("id", F.coalesce("community", F.lit(-1)).alias("community")).join(pages(g).select("community", "path"), "community").select("id", "path")
+
+
+def nodes_of_pages(bridge: DataFrame) -> DataFrame:
+    """(path, ids): the nodes of each page, from (id, path)."""
+    return bridge.groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def updated(g: Graph, changed: DataFrame) -> DataFrame:
+    """The compiled pages that hold a changed node (id); the others stand as they are."""
+    hit = g.nodes.join(changed.select("id"), "id", "left_semi").select(F.coalesce("community", F.lit(-1)).alias("community")).distinct()
+    return pages(g).join(hit, "community", "left_semi")
+
+
+def appended(old: DataFrame, changed: DataFrame) -> DataFrame:
+    """(path, content): pages of nodes without a community (id, path, content) with the changed nodes' new contents (id, content) added."""
+    more = changed.select("id", F.col("content").alias("more"))
+    return old.join(more, "id").select("path", F.concat("content", F.lit("\n\n"), "more").alias("content"))
+
+
 def links(pages_: DataFrame) -> DataFrame:
     """(path, target): wiki links in the pages' content, without aliases."""
     found = F.regexp_extract_all("content", F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1))
@@ -88,8 +184,16 @@ def missing_sources(nodes: DataFrame) -> DataFrame:
 
 
 def undocumented(exports: DataFrame, spec: DataFrame) -> DataFrame:
-    """(file, name): names exported by source text (file, text) that the specification's text (text) does not hold."""
+    """(file, name): names exported by source text (file, text) that no text of the specification (text) holds, as a whole or inside a word."""
     names = F.regexp_extract_all("text", F.lit(r"export\s+(?:async\s+)?(?:function|class|const|interface|type)\s+(\w+)"), F.lit(1))
     found = exports.select("file", F.explode(names).alias("name")).distinct()
-    whole = spec.agg(F.array_join(F.collect_list("text"), "\n").alias("spec"))
-    return found.crossJoin(F.broadcast(whole)).filter(~F.col("spec").contains(F.col("name"))).select("file", "name")
+    words = spec.select(F.explode(F.split("text", r"\W+")).alias("word")).filter("word <> ''").distinct()
+    said = parts_of(words, "word", found.select("name").distinct(), "name").select("name").distinct()
+    return found.join(said, "name", "left_anti").select("file", "name")
+
+
+def lint_summary(contradictions_: DataFrame, missing: DataFrame, broken: DataFrame) -> DataFrame:
+    """(n_contradictions, n_missing_sources, n_broken_links, valid): missing sources alone do not make a wiki invalid."""
+    count = lambda d, c: d.agg(F.count("*").alias(c))
+    out = count(contradictions_, "n_contradictions").crossJoin(count(missing, "n_missing_sources")).crossJoin(count(broken, "n_broken_links"))
+    return out.withColumn("valid", (F.col("n_contradictions") == 0) & (F.col("n_broken_links") == 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trade", "graph", "walks", "texts", "more")
+FAMILIES = ("trade", "graph", "walks", "texts", "more", "pages", "fixtures")
 
 
 def load() -> None:

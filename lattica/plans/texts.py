@@ -56,11 +56,6 @@ def url_kind(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ff.url_kind(F.col("url")).alias("kind"))
 
 
-@query("cache_key")
-def cache_key(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tf.cache_key(F.col("p_name")).alias("key"))
-
-
 @query("slugs", "SELECT p_partkey, regexp_replace(p_name || '/' || p_type, '[^a-zA-Z0-9]', '_', 'g') AS path_slug, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS label_slug FROM part")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tf.path_slug(F.concat_ws("/", "p_name", "p_type")).alias("path_slug"), tf.label_slug(F.col("p_name")).alias("label_slug"))
@@ -81,11 +76,6 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tf.tokens(F.col("text")).alias("tokens"))
 
 
-@query("class_tokens")
-def class_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tf.class_tokens(F.col("text")).alias("tokens"))
-
-
 @query("message_tokens", "SELECT conv_id, CAST(sum(ceil(length(text) / 4) + 4) + 3 AS BIGINT) AS tokens FROM conversations GROUP BY conv_id")
 def message_tokens(spark, sf_dir):
     return refine.message_tokens(table(spark, sf_dir, "conversations"), "conv_id", "text")
@@ -112,23 +102,10 @@ def similarity_pairs(spark, sf_dir):
 @query("vector_distances", "SELECT a.vec_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS euclidean FROM embeddings a JOIN embeddings b ON b.vec_id = 0")
 def vector_distances(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    origin = v.filter("vec_id = 0").select(F.col("x").alias("y"))
+    origin = v.filter("vec_id = 0").agg(F.first("x").alias("y"))
     return v.crossJoin(F.broadcast(origin)).select("vec_id", F.round(vectors.euclidean(F.col("x"), F.col("y")), 6).alias("euclidean"))
 
 
-@query("manhattan_distances")
-def manhattan_distances(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    origin = v.filter("vec_id = 0").select(F.col("x").alias("y"))
-    return v.crossJoin(F.broadcast(origin)).select("vec_id", F.round(vectors.manhattan(F.col("x"), F.col("y")), 6).alias("manhattan"))
-
-
-@query("dedup_merges")
-def dedup_merges(spark, sf_dir):
-    n = _vectors(spark, sf_dir).withColumn("provenance", F.array("type"))
-    return vectors.merges(vectors.candidates(n, 0.3), n)
-
-
 @query("keyword_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_type), 'steel') OR contains(lower(p_name || ' ' || p_type), 'red') ORDER BY p_partkey LIMIT 10")
 def keyword_search(spark, sf_dir):
     n = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("label"), F.col("p_type").alias("type"), F.col("p_partkey").alias("ord"))
@@ -209,9 +186,9 @@ def error_streaks(spark, sf_dir):
     return ev.streaks(table(spark, sf_dir, "events"), F.col("event_type") == "error").select("event_id", "streak")
 
 
-@query("rolling_60s", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), 4) AS rolling FROM events")
+@query("rolling_60s", "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW), 4) AS rolling FROM events")
 def rolling_60s(spark, sf_dir):
-    return ev.rolling(table(spark, sf_dir, "events"), 3600).select("event_id", F.round("rolling", 4).alias("rolling"))
+    return ev.rolling(table(spark, sf_dir, "events"), 60, "event_type").select("event_id", F.round("rolling", 4).alias("rolling"))
 
 
 @query("debounce_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
@@ -228,10 +205,15 @@ def ttl_expiry(spark, sf_dir):
     return search.cache_live(e.crossJoin(F.broadcast(now)), F.col("now")).select(F.col("key").alias("event_id"))
 
 
-@query("throughput", "SELECT count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY CAST(floor(epoch(ts) / 86400) AS BIGINT)")
+@query(
+    "throughput",
+    """SELECT strftime(to_timestamp(d * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_id % 50 = 0) AS limited,
+round(avg(value) FILTER (event_type <> 'error'), 6) AS latency, CAST(sum(event_id % 100) AS BIGINT) AS tokens FROM (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS d FROM events) x GROUP BY d""",
+)
 def throughput(spark, sf_dir):
-    out = ev.metrics(table(spark, sf_dir, "events"), F.col("event_type") == "error", F.lit(False), "value", "value", "1 day")
-    return out.select("successes", "failures")
+    e = table(spark, sf_dir, "events").withColumn("used", F.col("event_id") % 100)
+    out = ev.metrics(e, F.col("event_type") == "error", F.col("event_id") % 50 == 0, "value", "used", "1 day")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "successes", "failures", "limited", F.round("latency", 6).alias("latency"), "tokens")
 
 
 HEAD_SQL = ", ".join("('" + x + "')" for x in [*export.GRAPHML_HEAD.split("\n"), "  </graph>", "</graphml>"])
@@ -281,19 +263,3 @@ def export_svg(spark, sf_dir):
 @query("export_notes")
 def export_notes(spark, sf_dir):
     return export.notes(trade_graph(spark, sf_dir, True))
-
-
-@query("page_compile", f"WITH {BASE} SELECT community, min_by(label, ord) AS title, count(*) AS n_nodes FROM nodes GROUP BY community")
-def page_compile(spark, sf_dir):
-    return wiki.pages(trade_graph(spark, sf_dir, True)).select("community", "title", "n_nodes")
-
-
-@query("page_contents")
-def page_contents(spark, sf_dir):
-    return wiki.pages(trade_graph(spark, sf_dir, True))
-
-
-@query("file_classes")
-def file_classes(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in ("a/b.py", "c.TSX", "d.md", "e.pdf", "f", "g.png", "h.json", "i.zip", "j.rtf")], "file string")
-    return names.select("file", ff.language(F.col("file")).alias("language"), ff.file_type(F.col("file")).alias("type"), ff.extractor(F.col("file")).alias("extractor"), ff.watch_class(F.col("file")).alias("watch"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.catalog import query
+from lattica.model import Graph
+from lattica.operators import stats
 
 TRADE_SQL = """
 e AS (SELECT c_nationkey AS s, s_nationkey AS t, count(*) AS w FROM lineitem
@@ -33,8 +35,6 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n_name AS label, CAST(deg AS BIGINT) AS weighted_degree FROM d JOIN nation ON n = n_nationkey ORDER BY deg DESC, n LIMIT 10""",
 )
 def hub_weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade_edges(spark, sf_dir)
-    ends = edges.select(F.explode(F.array("s", "t")).alias("n"), "w")
-    top = ends.groupBy("n").agg(F.sum("w").alias("weighted_degree")).orderBy(F.desc("weighted_degree"), "n").limit(10)
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("label"))
-    return top.join(nation, F.col("n") == F.col("n_nationkey")).select("label", "weighted_degree")
+    edges = trade_edges(spark, sf_dir).select(F.col("s").cast("string").alias("source"), F.col("t").cast("string").alias("target"), F.col("w").cast("double").alias("weight"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"))
+    return stats.hubs(Graph(nodes, edges), 10).select("label", F.col("degree").cast("bigint").alias("weighted_degree"))

@@ -46,22 +46,12 @@ def shortest_path_nodes(spark, sf_dir):
     return traverse.shortest_path(trade_graph(spark, sf_dir, True), "0", "24")
 
 
-@query("dfs_order")
-def dfs_order(spark, sf_dir):
-    return traverse.dfs(trade_graph(spark, sf_dir, True), "0", 3)
-
-
 @query("induced_subgraph", f"WITH {BASE} SELECT id, source, target, weight FROM edges WHERE CAST(source AS INTEGER) < 8 AND CAST(target AS INTEGER) < 8")
 def induced_subgraph(spark, sf_dir):
     g = trade_graph(spark, sf_dir)
     return traverse.subgraph(g, g.nodes.filter(F.col("id").cast("int") < 8)).edges.select("id", "source", "target", "weight")
 
 
-@query("explain_node")
-def explain_node(spark, sf_dir):
-    return traverse.explained(trade_graph(spark, sf_dir, True), "0")
-
-
 def orders_graph(spark, sf_dir, late: bool) -> Graph:
     """Customers as nodes and their orders of one half of the dates as edges."""
     o = table(spark, sf_dir, "orders").filter((F.year("o_orderdate") >= 1995) if late else (F.year("o_orderdate") <= 1995))
@@ -88,10 +78,15 @@ def edge_delta(spark, sf_dir):
     return delta.edge_delta(orders_graph(spark, sf_dir, False).edges, orders_graph(spark, sf_dir, True).edges)
 
 
-@query("delta_summary", f"WITH {PAIRS} SELECT 'edge' AS entity, 'added' AS change, count(*) AS n FROM (SELECT * FROM n EXCEPT SELECT * FROM o) a HAVING count(*) > 0 UNION ALL SELECT 'edge', 'removed', count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM n) b HAVING count(*) > 0")
+@query(
+    "delta_summary",
+    f"""WITH {PAIRS}, {HALVES.replace("o AS", "a AS").replace("n AS", "b AS")}, e AS (SELECT 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) x UNION ALL SELECT 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n) x),
+v AS (SELECT CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.label = b.label THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.id = b.id)
+SELECT 'edge' AS entity, change, count(*) AS n FROM e GROUP BY change UNION ALL SELECT 'node', change, count(*) FROM v GROUP BY change""",
+)
 def delta_summary(spark, sf_dir):
     a, b = orders_graph(spark, sf_dir, False), orders_graph(spark, sf_dir, True)
-    return delta.delta_summary(delta.node_delta(a.nodes, b.nodes), delta.edge_delta(a.edges, b.edges)).filter("entity = 'edge'")
+    return delta.delta_summary(delta.node_delta(a.nodes, b.nodes), delta.edge_delta(a.edges, b.edges))
 
 
 def _communities(spark, sf_dir, late: bool):

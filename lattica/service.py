@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.model import Graph
-from lattica.operators import build, search, stats, traverse
+from lattica.operators import build, refine, report, search, stats, traverse
 
 #: name -> (description, parameters with defaults; None marks a required one).
 TOOLS: dict[str, tuple[str, dict]] = {
@@ -24,16 +24,18 @@ TOOLS: dict[str, tuple[str, dict]] = {
     "ingest": ("Add nodes and edges, what is there wins", {"nodes": None, "edges": None}),
     "lint": ("Problems of the graph", {}),
     "status": ("Counts and density", {}),
-    "report": ("Nodes by type", {}),
+    "ask": ("Context for an answer to a question", {"question": None}),
+    "benchmark": ("Tokens that each method spends on a question", {"question": None}),
+    "report": ("Counts, types and hubs as text", {}),
     "surprises": ("Hubs that stand out", {}),
 }
 
 
 class Engine:
-    """A graph and its pages. ``build`` and ``ingest`` replace the graph; every other tool only reads."""
+    """A graph, its pages and the files of its corpus. ``build`` and ``ingest`` replace the graph; every other tool only reads."""
 
-    def __init__(self, graph: Graph, pages: DataFrame | None = None):
-        self.graph, self.pages = graph, pages
+    def __init__(self, graph: Graph, pages: DataFrame | None = None, files: DataFrame | None = None):
+        self.graph, self.pages, self.files = graph, pages, files
 
     def tools(self) -> list[dict]:
         return [{"name": n, "description": d, "required": [k for k, v in p.items() if v is None]} for n, (d, p) in TOOLS.items()]
@@ -97,8 +99,17 @@ class Engine:
     def _status(self):
         return stats.status(self.graph)
 
+    def _ask(self, question):
+        pages = None if self.pages is None or "path" not in self.pages.columns else self.pages
+        return search.context_lines(self.graph, question, pages)
+
+    def _benchmark(self, question):
+        if self.files is None:
+            raise TypeError("benchmark needs the corpus's files (text, ord)")
+        return refine.all_costs(self.files, [question])
+
     def _report(self):
-        return stats.count_by_type(self.graph.nodes).orderBy(F.desc("n"), "type")
+        return report.graph_report(self.graph)
 
     def _surprises(self):
         return stats.surprising_hubs(self.graph)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,12 +15,27 @@ from lattica.model import Graph
 SKIPPED = ("node_modules/", "dist/", ".git/")
 
 
-def files(spark: SparkSession, root: str, patterns: list[str] = SKIPPED, most: int = 1 << 20) -> DataFrame:
-    """(file, size, modified, text) of files below ``root`` of up to ``most`` bytes that match no ignore pattern."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.regexp_replace("path", r"^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    out = raw.filter(F.col("length") <= most).withColumn("file", name)
-    return out.filter(~ignored(F.col("file"), list(patterns))).select("file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
+def config(spark: SparkSession, path: str, defaults: dict[str, dict]) -> dict[str, dict]:
+    """Each part of ``defaults`` with what the JSON file at ``path`` gives over it; the defaults alone if it is missing or no JSON."""
+    import json
+
+    try:
+        given = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect()))
+    except (AnalysisException, ValueError):
+        given = {}
+    return {part: own | (given.get(part) or {}) for part, own in defaults.items()}
+
+
+def files(spark: SparkSession, root: str, patterns: list[str] = SKIPPED, most: int = 1 << 20, raw: str | None = None) -> DataFrame:
+    """(file, size, modified, text) of files below ``root`` of up to ``most`` bytes that match no ignore pattern. ``raw`` is a second folder whose
+    files come in below ``raw/``, whatever the patterns."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = lambda base: F.regexp_replace("path", r"^.*?" + re.escape(re.sub("^[a-z]+:/*", "/", base).rstrip("/")) + "/", "")
+    out = found.withColumn("file", below(root)).filter(~ignored(F.col("file"), list(patterns)))
+    if raw is not None:
+        more = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(raw)
+        out = out.unionByName(more.withColumn("file", F.concat(F.lit("raw/"), below(raw))))
+    return out.filter(F.col("length") <= most).select("file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
 
 
 def graph_json(spark: SparkSession, path: str) -> Graph:
@@ -39,6 +56,17 @@ def _fields(ddl: str) -> str:
     return ", ".join(p.replace(" ", ":", 1) for p in ddl.split(", "))
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of text, in any file system that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def save_graph(g: Graph, path: str) -> None:
     g.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     g.edges.write.mode("overwrite").parquet(f"{path}/edges")
@@ -49,13 +77,13 @@ def load_graph(spark: SparkSession, path: str, directed: bool = False) -> Graph:
 
 
 def wiki(spark: SparkSession, root: str) -> DataFrame:
-    """(path, title, content) of markdown pages below ``root``; those without front matter are left out."""
-    from lattica.operators.extract import front_matter
+    """(path, title, content, front) of markdown pages below ``root``; those without front matter are left out."""
+    from lattica.operators.extract import front_matter, front_values
 
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).withColumn("path", F.input_file_name())
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).withColumn("path", F.input_file_name())
     block, body = front_matter(F.col("value"))
-    title = F.regexp_extract(block, r"(?m)^(?:title|label):\s*['\"]?(.*?)['\"]?\s*$", 1)
-    return raw.filter(block != "").select("path", title.alias("title"), body.alias("content"))
+    rows = raw.filter(block != "").select("path", front_values(block).alias("front"), body.alias("content"))
+    return rows.select("path", F.coalesce(F.try_element_at("front", F.lit("title")), F.try_element_at("front", F.lit("label"))).alias("title"), "content", "front")
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +96,7 @@ def held_out(spark: SparkSession, path: str) -> DataFrame:
     """Held-out questions: an array, or an object with the array under ``queries``; a missing file gives none."""
     item = "struct<query:string, category:string, expectedTier:int>"
     try:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], "query string, category string, expectedTier int")
     one = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(F.from_json("value", f"struct<queries:array<{item}>>")["queries"])

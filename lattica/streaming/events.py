@@ -81,6 +81,31 @@ def breaker(events: DataFrame, limit: int = 3, reset_seconds: int = 60) -> DataF
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, opened long", "run int, until long", "append", GroupStateTimeout.NoTimeout)
 
 
+def file_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file, event) between two scans (file, hash): add, change or unlink. A file source of a stream sees new files only; the
+    others follow from a scan at each trigger."""
+    b = after.select(F.col("file").alias("f"), F.col("hash").alias("h"))
+    rows = before.join(b, F.col("file") == F.col("f"), "full_outer")
+    event = F.when(F.col("file").isNull(), "add").when(F.col("f").isNull(), "unlink").when(~F.col("hash").eqNullSafe(F.col("h")), "change")
+    return rows.select(F.coalesce("file", "f").alias("file"), event.alias("event")).filter("event IS NOT NULL")
+
+
+def retried(call, attempts: int = 3, base: float = 1.0, factor: float = 2.0, most: float = 60.0, sleep=None):
+    """``call`` tried up to ``attempts`` times, with a growing pause between; the last failure is raised. For clients inside tasks."""
+    import time
+
+    def again(*args, **kwargs):
+        for n in range(1, attempts + 1):
+            try:
+                return call(*args, **kwargs)
+            except Exception:
+                if n == attempts:
+                    raise
+                (sleep or time.sleep)(min(most, base * factor ** (n - 1)))
+
+    return again
+
+
 def apply_changes(spark, changes: DataFrame, merge, checkpoint: str):
     """Start a stream that hands each batch of changes to ``merge(batch, id)`` once; state and progress live in ``checkpoint``."""
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -79,7 +79,7 @@ def test_router(spark):
 
     g = graph(spark)
     none = spark.createDataFrame([], "community int, summary string"), spark.createDataFrame([], "id string, content string")
-    assert search.route(g, "How many nodes are there?", None, *none, None)["answer"] == "The graph has 5 nodes."
+    assert search.route(g, "How many nodes are there?", None, *none, None)["answer"] == "The graph contains 5 nodes."
     assert search.route(g, "why?", "report text", *none, lambda p, most: ("because", 10))["tier"] == 1
     assert search.route(g, "why?", None, *none, lambda p, most: ("because", 10))["tier"] == 4
 
