@@ -85,15 +85,17 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, text: str = "text", pas
 
     Positions are ordered by doc_id (null first), text digest and line. Fingerprints that occur again are joined; their surroundings
     are compared as far as windows around them reach both ways. Each place meets its window's earliest only, found by a minimum
-    that is combined before the shuffle, so a line in very many places makes no pairs.
+    that is combined before the shuffle, so a line in very many places makes no pairs; the tables of fingerprints and
+    windows that occur again stand by themselves, so joins with them can be split at such a line.
     """
     prints = stored(fingerprints(docs, window, text, passage), "lines")
-    again = prints.groupBy("fp", "size").agg(F.count("*").alias("n")).filter("n > 1").select("fp", "size")
+    again = stored(prints.groupBy("fp", "size").agg(F.count("*").alias("n")).filter("n > 1").select("fp", "size"), "again")
     spots = prints.join(again, ["fp", "size"]).select("doc_id", "mark", "size", "first", F.posexplode("windows").alias("k", "w")).select("doc_id", "mark", "size", (F.col("first") + F.col("k")).alias("first"), "w.a", "w.b")
     spots = stored(spots, "spots")
     dropped(prints)
     place = F.struct("doc_id", "mark", "first")
     heads = spots.groupBy("a", "b", "size").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "size", "head")
+    heads = stored(heads, "heads")
     return spots.join(heads, ["a", "b", "size"]).select("doc_id", "mark", "first", "size", (~place.eqNullSafe(F.col("head"))).alias("later"))
 
 
