@@ -12,13 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, dropped, mapped, remainder, stored
+from .common import dropped, mapped, remainder, stored
 
 #: Bytes of the longest context, and the symbol that ends a text (no word holds it).
 DEPTH = 6
 END = b"\n"
 
-#: Text of a block: its distinct grams are looked up together.
+#: Text whose grams are sorted at once, which takes some 50 bytes for each of its bytes, and text of a block, whose distinct grams are looked up together.
+CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 
 #: Taken off each count for smoothing; nats that a context must gain over its suffix, over all its places, to be retained.
