@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,16 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """``df`` with its rows numbered from 0 in ``order``, without bringing them together: ranges are dealt out and sorted, and each
+    begins where those before it end. Only the ranges' sizes (one row for each partition) are broadcast."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ranges.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def ends(edges: DataFrame, *more: str) -> DataFrame:
     """One row (id, ...) for each end of each edge; a loop gives two."""
     return edges.select(F.explode(F.array("source", "target")).alias("id"), *more)

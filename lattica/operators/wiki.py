@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import section_header
-from lattica.model import Graph
+from lattica.model import Graph, numbered
 
 from . import stats
 from .refine import parts_of
@@ -105,8 +105,7 @@ def page_order(metas: DataFrame) -> DataFrame:
 
 def grid(pages_: DataFrame, order: str, columns: int) -> DataFrame:
     """Place of each page on a canvas of ``columns`` columns."""
-    i = F.row_number().over(Window.orderBy(order)) - 1
-    return pages_.withColumn("i", i).withColumn("col", F.pmod("i", F.lit(columns))).withColumn("row", F.floor(F.col("i") / columns)).drop("i")
+    return numbered(pages_, "_i", order).withColumn("col", F.pmod("_i", F.lit(columns))).withColumn("row", F.floor(F.col("_i") / columns)).drop("_i")
 
 
 def canvas(pages_: DataFrame, order: str) -> DataFrame:

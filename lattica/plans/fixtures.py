@@ -119,6 +119,15 @@ def communities_without_edges(spark, sf_dir):
     return cluster.clusters(Graph(g.nodes, g.edges.limit(0))).select("id", F.col("community").cast("long").alias("community"))
 
 
+TRIANGLES = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z")]
+
+
+@query("communities_by_rounds", must_be("ids string", [("a,b,c",), ("x,y,z",)]))
+def communities_by_rounds(spark, sf_dir):
+    found = cluster.clusters_by_rounds(small(spark, [(*p, 5) for p in TRIANGLES] + [("c", "x", 1)]))
+    return found.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids")).select("ids")
+
+
 # Search
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.files import ignored
-from lattica.model import Graph
+from lattica.model import Graph, numbered
 
 #: Folders that a scan always leaves out.
 SKIPPED = ("node_modules/", "dist/", ".git/")
@@ -87,9 +87,9 @@ def wiki(spark: SparkSession, root: str) -> DataFrame:
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """Refinement history: JSON lines, numbered in file order."""
+    """Refinement history: JSON lines, numbered in order of time."""
     rows = spark.read.json(path)
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy("timestamp")) - 1)
+    return numbered(rows, "ord", "timestamp")
 
 
 def held_out(spark: SparkSession, path: str) -> DataFrame:
