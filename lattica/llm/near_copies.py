@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, dropped, mapped, stored
@@ -23,7 +23,7 @@ WIDTH, SKETCH = 5, 2
 RADIUS, PARTS = 11, 2
 
 #: Rows of a bucket up to which its pairs are compared one by one at once, and rounds of heads for larger ones.
-PAIRED, ROUNDS = 256, 2
+PAIRED, ROUNDS = 128, 2
 
 #: Of RADIUS bits, one of the PARTS has its share or fewer, and is left whole by one of its masks.
 _BITS = 64 // PARTS
@@ -182,46 +182,78 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (n + m)).select("u", "v")
 
 
-def _tried(part: DataFrame, other: DataFrame) -> DataFrame:
-    """Pairs of rows (key, fp, sim, c) and (key, v, s, d) of a bucket, of different components and within RADIUS bits."""
-    met = part.join(other, "key").filter((F.col("c") != F.col("d")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("s"))) <= RADIUS))
-    return met.select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``met`` (fp, sim, c, v, s, d), of different components and within RADIUS bits."""
+    near = met.filter((F.col("c") != F.col("d")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("s"))) <= RADIUS))
+    return near.select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
+
+
+def _other(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.col("fp").alias("v"), F.col("sim").alias("s"), F.col("c").alias("d"))
 
 
 def linked(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, component) of the distinct ``fp`` that are similar to another one, among those within RADIUS bits.
 
-    All pairs of small buckets are compared. In a large one every row is first compared with one of them, another one in the next
-    round, which joins most of a large group of near copies; then all rows outside the bucket's largest component are compared with all
-    rows, so pairs within that component, which can add nothing, are the only ones left out.
+    All pairs of small buckets are compared. A large bucket is one of a large group of near copies, or of very many texts. There every row
+    is first compared with the row whose shingles are the most frequent ones, which joins most of a group to what it was copied from; in
+    the next round, with the foremost row outside the bucket's largest component. What is left (``_prefix_pairs``) is found
+    by shared rare shingles, which two sets of that similarity must have; nothing is left out, and no bucket is paired off.
     """
     classes = prints.filter("n >= 4").groupBy("fp").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "mark")).alias("p"))
     classes = stored(classes, "classes")
     seen = stored(bucketed(keyed(classes)), "seen")
     pairs = stored(seen.filter("key IS NULL").select("u", "v").distinct(), "pairs")
     large = seen.filter("key IS NOT NULL").select("key", "fp", "sim")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("f")).unionByName(large.select(F.col("fp").alias("f"))).distinct()
+    crowd = stored(large.select("fp", "sim").distinct(), "crowd")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("f")).unionByName(crowd.select(F.col("fp").alias("f"))).distinct()
     places = stored(classes.join(wanted, F.col("fp") == F.col("f")).select("p.doc_id", "p.mark", "fp"), "places")
     sets = stored(shingle_sets(docs, places), "sets")
     links = stored(similar(pairs, sets), "similar")
     found = components(links)
-    if large.head(1):
+    if crowd.head(1):
+        tokens = crowd.select("fp").join(sets, "fp").select("fp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+        often = stored(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+        shared = stored(tokens.join(often, "h"), "shared")
+        scores = stored(shared.groupBy("fp").agg((F.sum("df") / F.max("n")).alias("score")), "scores")
+        ranked = stored(large.join(scores, "fp", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "ranked")
         for k in range(ROUNDS + 1):
             found = stored(found, "found")
-            part = large.join(found, large.fp == found.node, "left").select("key", "fp", "sim", F.coalesce("component", "fp").alias("c"))
+            named = found.select(F.col("node").alias("fp"), F.col("component").alias("c"))
+            part = ranked.join(named, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
             if k < ROUNDS:
-                other = part.groupBy("key").agg(F.min_by(F.struct("fp", "sim", "c"), F.xxhash64("fp", F.lit(k))).alias("h")).select("key", F.col("h.fp").alias("v"), F.col("h.sim").alias("s"), F.col("h.c").alias("d"))
+                if k:
+                    part = stored(part, "part")
+                    main = part.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"))
+                    rest = part.join(main, "key").filter("c <> main")
+                else:
+                    rest = part
+                heads = rest.groupBy("key").agg(F.max(F.struct("score", "fp", "sim", "c")).alias("h")).select("key", "h.fp", "h.sim", "h.c")
+                tried = _pairs(part.join(_other(heads, "key"), "key"))
             else:
-                part = stored(part, "part")
-                main = part.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"))
-                other = part.join(main, "key").filter("c <> main").select("key", F.col("fp").alias("v"), F.col("sim").alias("s"), F.col("c").alias("d"))
-            links = links.unionByName(stored(similar(_tried(part, other), sets), "similar"))
+                tried = _prefix_pairs(crowd.join(named, "fp", "left").withColumn("c", F.coalesce("c", "fp")), shared)
+            links = links.unionByName(stored(similar(stored(tried, "tried"), sets), "similar"))
             found = components(links)
     for t in (classes, seen, pairs, places):
         dropped(t)
     return found
 
 
+def _prefix_pairs(crowd: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs of rows (fp, sim, c) of different components that may be similar: they share one of the rarest shingles (fp, n, h, df) of either.
+
+    Of the shingles of a set of n, in order of how rare they are among all, the first n - 0.8 n + 1 are looked at: two sets whose similarity is 0.8 or more
+    share at least 0.8 n of them, so a shared one is among these of both. Only rows outside the largest component that holds the shingle meet all others.
+    """
+    order = Window.partitionBy("fp").orderBy(F.desc("df"), F.desc("h"))
+    last = F.col("n") - (F.floor((F.col("n") - F.ceil(F.col("n") * 4 / 5))) + 1)  # shingles after the prefix, the most frequent ones
+    prefix = shared.withColumn("r", F.row_number().over(order)).filter(F.col("r") > last).select("fp", "h")
+    rows = stored(prefix.join(crowd, "fp"), "prefix")
+    main = rows.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("k")).filter("k > 1")
+    rest = rows.join(main, "h").filter("c <> main").select("h", "fp", "sim", "c")
+    return _pairs(rest.join(_other(rows, "h"), "h"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component of near copies: the one with the smallest id (of equal ids, the least text digest; of equal rows, one).
 

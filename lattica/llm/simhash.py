@@ -40,9 +40,12 @@ def fingerprints_of(texts: list[bytes], width: int = 3, seed: int = 42) -> np.nd
 
 
 def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, and ``fp``, the SimHash as a signed long. A null text has no words."""
-    kept = with_columns_last(docs.drop(text), ["fp", "_text"])
-    columns, schema = kept.columns, kept.schema.add("fp", "long")
+    """``docs`` without its text, and ``fp``, the SimHash as a signed long. A null text has no words; a text of any length is hashed in
+    pieces. A column named fp is replaced, all others pass, whatever their names."""
+    kept = with_columns_last(docs.drop(text), ["fp"])
+    columns = [f"c{i}" for i in range(len(kept.columns))]
+    schema = kept.toDF(*columns).schema.add("fp", "long")
+    source = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(kept.columns, columns, strict=True)], F.col(text).cast("binary").alias("_text"))
 
     def run(batches):
         for batch in batches:
@@ -52,7 +55,7 @@ def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
                 fp = fingerprints_of([x or b"" for x in part.column("_text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(fp.view(np.int64))], names=[*columns, "fp"])
 
-    return mapped(docs.select(*columns, F.col(text).cast("binary").alias("_text")), run, schema)
+    return mapped(source, run, schema).toDF(*kept.columns, "fp")
 
 
 def covering_masks(radius: int = 2, bits: int = 64, seed: int = 1) -> list[int]:
@@ -60,10 +63,13 @@ def covering_masks(radius: int = 2, bits: int = 64, seed: int = 1) -> list[int]:
 
     Each bit position gets a non-zero vector of radius + 1 bits; for each non-zero vector v there is a mask, of the
     positions whose vector has an odd inner product with v. The vectors of ``radius`` positions leave a non-zero v
-    orthogonal to all of them, so fingerprints that differ there agree on that v's mask. 2^(radius+1) - 1 masks.
+    orthogonal to all of them, so fingerprints that differ there agree on that v's mask. 2^(radius+1) - 1 masks. Where there are no more
+    positions than vectors that begin with a one, each gets another of these, so that all masks are of equal size but one, which has all bits.
     """
-    vectors = 1 + np.random.default_rng(seed).permutation(bits) % ((1 << (radius + 1)) - 1)
-    return [sum(1 << i for i in range(bits) if (int(vectors[i]) & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))]
+    order = np.random.default_rng(seed).permutation(max(bits, 1 << radius))
+    half = 1 << radius
+    vectors = half + order[:bits] % half if bits <= half else 1 + order % (2 * half - 1)
+    return [sum(1 << i for i in range(bits) if (int(vectors[i]) & v).bit_count() % 2) for v in range(1, 2 * half)]
 
 
 def _signed(x: int) -> int:
@@ -101,9 +107,10 @@ def near_duplicates(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     Equal fingerprints are linked, also those of documents without words. Null ids count after all others: a
     component of null ids only has component_id null. Copies are handled once: links and components are
-    those of distinct fingerprints, each standing for its smallest id.
+    those of distinct fingerprints, each standing for its smallest id. Repeated rows stay rows of their own; columns named component or
+    component_id are replaced, all others pass; an empty table gives an empty table.
     """
-    prints = stored(prints, "prints")
+    prints = stored(with_columns_last(prints, ["component", "component_id"]), "prints")
     return with_components(prints, components(links(prints, radius)))
 
 
@@ -118,10 +125,12 @@ def with_components(prints: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """One document of each component: the one with the smallest id (of equal ids, the least text digest; of equal rows, one)."""
+    """One document of each component: the one with the smallest id (of equal ids, the least text digest; of equal rows, one).
+    Columns of any name pass."""
     mark = F.xxhash64("text")
     prints = near_duplicates(fingerprinted(docs.select("doc_id", "text", mark.alias("mark"))), radius)
     heads = prints.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = heads.groupBy("component").agg(F.min("mark").alias("kept_mark"), F.first("component_id").alias("component_id"))
-    kept = docs.withColumn("_mark", mark).join(heads, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_mark") == F.col("kept_mark")))
-    return kept.select(*docs.columns, "_mark").dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").alias("id"), mark.alias("mark"))
+    kept = own.join(heads, F.col("id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("kept_mark")))
+    return kept.dropDuplicates(["id", "mark"]).select("d.*")
