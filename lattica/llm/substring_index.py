@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, mapped, stored, with_columns_last
+from .common import chunks, dropped, mapped, new_path, stored, with_columns_last
 
 GRAM = 6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -20,9 +20,9 @@ _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 PIECE = 1 << 20
 
-#: Classes of text digests that are broadcast (one number each, so this bounds what is sent) to leave texts that need no
-#: verification out of the shuffle. On a corpus of many more texts it leaves fewer out; results never depend on it.
-SLOTS = 1 << 20
+#: Bits of the map of texts that have something to verify or to remove (8 MB at most, in rows of 4 kB, so what is broadcast is bounded). Texts that
+#: the map leaves out are not shuffled; it lets few others pass up to some 20 million marked texts. Results never depend on it.
+MAP_BITS, ROW_BITS = 26, 15
 BLOCK = 1 << 16
 
 
@@ -146,45 +146,93 @@ def fingerprints(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
 
 
 class Index:
-    """Sorted immutable runs (fp, n, lo, hi) in the shared folder: how often a fingerprint was seen and the least and
-    greatest of its spans. A batch adds a run; more than ``fan_in`` runs are compacted into one."""
+    """A folder of sorted immutable runs (fp, n, lo, hi): how often a fingerprint was seen and the least and greatest of its spans. Beside each batch's run stand
+    its fingerprints (doc_id, mark, fp, span, first, count). ``extend`` merge-joins a new batch with the runs there are; more than ``fan_in``
+    runs are compacted into one. An index is reopened by its path."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 4):
+        self.spark, self.path, self.fan_in = spark, path or new_path(spark, "index"), fan_in
+
+    def _tables(self, kind: str) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(f"{self.path}/{kind}/{x.getPath().getName()}" for x in fs.listStatus(where)) if fs.exists(where) else []
+
+    def _read(self, path: str, schema: str) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
+        out._lattica_path = path
+        return out
+
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [self._read(p, "fp long, n long, lo long, hi long") for p in self._tables("runs")]
+
+    @property
+    def prints(self) -> list[DataFrame]:
+        return [self._read(p, _PRINTS) for p in self._tables("prints")]
 
-    def __init__(self, spark: SparkSession, fan_in: int = 4):
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
+    def _number(self) -> str:
+        return f"{1 + max([-1, *[int(p.rsplit('/', 1)[1]) for kind in ('runs', 'prints') for p in self._tables(kind)]]):08d}"
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
         return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
-    def add(self, batch: DataFrame) -> None:
-        """A run of the batch's fingerprints (fp, span, ...)."""
-        run = self._merged(batch.select("fp", F.lit(1).cast("bigint").alias("n"), F.col("span").alias("lo"), F.col("span").alias("hi")))
-        self.runs.append(stored(run.sortWithinPartitions("fp"), "run"))
-        if len(self.runs) > self.fan_in:
+    def extend(self, batch: DataFrame) -> DataFrame:
+        """Add the fingerprints of a batch (as ``fingerprints`` gives them), and return (doc_id, mark, first, count, same): the stretches, of old and new
+        texts, that share a fingerprint of the batch with another stretch. ``same`` if all stretches of the fingerprint have one span."""
+        k, earlier = self._number(), self.runs
+        batch.write.parquet(f"{self.path}/prints/{k}")
+        own = self.prints[-1]
+        fresh = self._merged(own.select("fp", F.lit(1).cast("bigint").alias("n"), F.col("span").alias("lo"), F.col("span").alias("hi")))
+        fresh.sortWithinPartitions("fp").write.parquet(f"{self.path}/runs/{k}")
+        run = self.runs[-1]
+        counts = run
+        for old in earlier:
+            counts = counts.unionByName(old.join(run.select("fp"), "fp", "left_semi"))
+        met = (self._merged(counts) if earlier else run).filter("n > 1").select("fp", (F.col("lo") == F.col("hi")).alias("same"))
+        met = stored(met, "met")
+        hits = stored(_union([p.join(met, "fp").select("doc_id", "mark", "first", "count", "same") for p in self.prints]), "hits")
+        dropped(met)
+        if len(earlier) + 1 > self.fan_in:
             self.compact()
-
-    def met(self, batch: DataFrame) -> DataFrame:
-        """The batch's rows whose fingerprint an earlier run holds, by merge-join with each run."""
-        return self._union([batch.join(run.select("fp"), "fp", "left_semi") for run in self.runs]).distinct() if self.runs else batch.limit(0)
-
-    @staticmethod
-    def _union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return hits
 
     def compact(self) -> None:
-        if len(self.runs) > 1:
-            whole = stored(self._merged(self._union(self.runs)).sortWithinPartitions("fp"), "run")
-            for run in self.runs:
+        """All runs as one."""
+        old = self.runs
+        if len(old) > 1:
+            self._merged(_union(old)).sortWithinPartitions("fp").write.parquet(f"{self.path}/runs/{self._number()}")
+            for run in old:
                 dropped(run)
-            self.runs = [whole]
 
-    def repeated(self) -> DataFrame:
-        """(fp, same): fingerprints seen more than once; ``same`` if all their spans are equal."""
-        self.compact()
-        return self.runs[0].filter("n > 1").select("fp", (F.col("lo") == F.col("hi")).alias("same"))
+    def drop(self) -> None:
+        for table in [*self.runs, *self.prints]:
+            dropped(table)
+
+
+_PRINTS = "doc_id long, mark long, fp long, span long, first long, count int"
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` (mark, ...) with ``_in``: false only where no row of ``wanted`` (m) has that mark."""
+    slot = lambda c: F.shiftrightunsigned(F.col(c), 64 - MAP_BITS)
+    bits = wanted.select(F.shiftright(slot("m"), ROW_BITS).alias("_row"), slot("m").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_bit"))
+    rows = F.broadcast(bits.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map")))
+    at = slot("mark").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    byte = F.conv(F.hex(F.substr(F.col("_map"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.expr("shiftright(_byte, CAST(_at & 7 AS INT)) & 1") == 1
+    joined = texts.withColumn("_row", F.shiftright(slot("mark"), ROW_BITS)).join(rows, "_row", "left")
+    joined = joined.withColumns({"_byte": byte, "_at": at}).withColumn("_in", F.coalesce(there, F.lit(False)))
+    return joined.drop("_row", "_map", "_byte", "_at")
 
 
 def _windows(ranges: DataFrame, docs: DataFrame, window: int, text: str) -> DataFrame:
@@ -201,52 +249,54 @@ def _windows(ranges: DataFrame, docs: DataFrame, window: int, text: str) -> Data
                         continue
                     rolled = Rolled(hashes[k : k + BLOCK + window - 1])
                     a, b = rolled.of(0, some, some + window), rolled.of(1, some, some + window)
-                    who = pa.array([i]).take(pa.array(np.zeros(len(some), np.int64)))
+                    who = pa.array(np.full(len(some), i))
                     columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("doc_id").take(who), batch.column("mark").take(who), pa.array(some + k)]
                     yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "mark", "first"])
 
     wanted = ranges.withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
-    slot = lambda mark: F.pmod(F.col(mark), F.lit(SLOTS))
-    slots = F.broadcast(wanted.select(slot("m").alias("slot")).distinct())
-    some = _text(docs, text).withColumn("slot", slot("mark")).join(slots, "slot", "left_semi")
+    some = _marked(_text(docs, text), wanted).filter("_in").drop("_in")
     both = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
     return mapped(both.select("doc_id", "mark", "_text", "ranges"), run, "a long, b long, doc_id long, mark long, first long")
 
 
+def verified(hits: DataFrame, docs: DataFrame, window: int, text: str = "text") -> DataFrame:
+    """(doc_id, mark, first, count): the stretches of ``Index.extend`` whose windows do occur again. A fingerprint whose spans are all
+    the same settles its windows at once; for the others (edges of passages), each window is compared by a 128-bit hash of its words, those of all
+    such stretches of the ``docs``. The windows that occur twice are a table, so the join with them can be split at a very frequent one."""
+    sure = hits.filter("same").select("doc_id", "mark", "first", "count").distinct()
+    open_ranges = stored(hits.filter("NOT same").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "count")).alias("ranges")), "open")
+    checked = stored(_windows(open_ranges, docs, window, text), "windows")
+    twice = stored(checked.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"), "twice")
+    return sure.unionByName(checked.join(twice, ["a", "b"]).select("doc_id", "mark", "first", F.lit(1).alias("count")))
+
+
 def repeated_windows(docs: DataFrame, window: int = 35, batches: int = 2, text: str = "text") -> DataFrame:
     """(doc_id, mark, first, count): stretches of window starts whose ``window`` words also start anywhere else.
 
-    Documents enter the index in ``batches``, each as a sorted run; the compacted index then is
-    merge-joined with each batch's fingerprints. A fingerprint whose spans are all the same settles its windows at once; for the
-    others (edges of passages), each window is verified by a 128-bit hash of its words.
+    Documents enter an index in ``batches``; each is merge-joined with the runs before it, so a stretch is found when the later
+    of two copies comes in. What was found is verified once, over all documents.
     """
-    index, parts = Index(docs.sparkSession), []
+    index, hits = Index(docs.sparkSession), []
     for k in range(batches):
-        parts.append(stored(fingerprints(docs.filter(F.pmod(F.xxhash64(text), F.lit(batches)) == k), window, text), "prints"))
-        index.add(parts[-1])
-    known = index.repeated()
-    hits = stored(Index._union([p.join(known, "fp") for p in parts]).select("doc_id", "mark", "first", "count", "same"), "hits")
-    for p in [*parts, *index.runs]:
-        dropped(p)
-    sure = hits.filter("same").select("doc_id", "mark", "first", "count")
-    open_ranges = hits.filter("NOT same").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
-    checked = stored(_windows(open_ranges, docs, window, text), "windows")
-    twice = checked.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    found = checked.join(twice, ["a", "b"]).select("doc_id", "mark", "first", F.lit(1).alias("count"))
-    return sure.unionByName(found)
+        part = docs.filter(F.coalesce(F.pmod(F.xxhash64(text), F.lit(batches)), F.lit(0)) == k)
+        hits.append(index.extend(fingerprints(part, window, text)))
+    index.drop()
+    return verified(_union(hits), docs, window, text)
 
 
 def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", batches: int = 2, keep_text: bool = True) -> DataFrame:
     """``docs`` without its text, and n_words, n_removed, kept_sha256 and (if ``keep_text``) kept_text.
 
     Removed is every word of a window whose words also start elsewhere; kept words are joined by one space. A null text has
-    no words. Rows of one id and text count as often as they occur: they repeat each other.
+    no words. Rows of one id and text count as often as they occur: they repeat each other. Columns of the results' names are replaced, all others pass,
+    whatever their names; an empty table gives an empty table. A text of any length is read in pieces.
     """
     found = repeated_windows(docs, window, batches, text)
     ranges = found.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
-    kept = with_columns_last(docs.drop(text), [*names, "_text", "ranges", "d", "m", "mark"])
-    columns, schema = kept.columns, kept.schema
+    kept = with_columns_last(docs.drop(text), names)
+    names_, columns = kept.columns, [f"c{i}" for i in range(len(kept.columns))]
+    schema = kept.toDF(*columns).schema
     for n in names:
         schema = schema.add(n, "long" if n.startswith("n_") else "string")
 
@@ -275,9 +325,12 @@ def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", batch
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in columns] + new, names=[*columns, *names])
 
-    source = docs.select(*columns, F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("_text"))
-    joined = source.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
-    return mapped(joined.select(*columns, "_text", "ranges"), run, schema)
+    ranges = stored(ranges, "ranges")
+    source = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names_, columns, strict=True)], F.col("doc_id").alias("_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("_text"))
+    both = _marked(source, ranges)
+    near = both.filter("_in").join(ranges, F.col("_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select(*columns, "_text", "ranges")
+    far = both.filter("NOT _in").select(*columns, "_text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
+    return mapped(near.unionByName(far), run, schema).toDF(*names_, *names)
 
 
 def _covered(spans: list[dict], window: int) -> np.ndarray:
