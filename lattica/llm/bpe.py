@@ -206,18 +206,19 @@ def encoded(docs: DataFrame, tokenizer_json: str, text: str = "text", keep_ids:
     """``docs`` without their text, and n_tokens, token_ids (binary, little-endian 32-bit), ids_sha256 and
     decoded_sha256 (of what the ids decode to, in UTF-8).
 
-    A null text counts as an empty one: no tokens. Special tokens in a text are recognised as such. The file's
+    A null text counts as an empty one: no tokens. Repeated rows and null ids are rows like any other; a text of any length is encoded whole, in
+    linear time; columns of the results' names are replaced, all others pass; an empty table gives an empty table. Special tokens in a text are recognised as such. The file's
     content (a few MB, fixed) is broadcast, so executors need no access to ``tokenizer_json``.
     """
     spark = docs.sparkSession
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     names = ["n_tokens", "token_ids", "ids_sha256", "decoded_sha256"] if keep_ids else ["n_tokens", "ids_sha256", "decoded_sha256"]
-    kept = with_columns_last(docs.drop(text), [*names, "_text"])
-    columns = kept.columns
-    source = docs.select(*columns, F.col(text).alias("_text"))
+    kept = with_columns_last(docs.drop(text), names)
+    columns = [f"c{i}" for i in range(len(kept.columns))]
+    source = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(kept.columns, columns, strict=True)], F.col(text).alias("_text"))
     types = {"n_tokens": "long", "token_ids": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
-    schema = kept.schema
+    schema = kept.toDF(*columns).schema
     for n in names:
         schema = schema.add(n, types[n])
 
@@ -239,4 +240,4 @@ def encoded(docs: DataFrame, tokenizer_json: str, text: str = "text", keep_ids:
                     yield pa.RecordBatch.from_arrays(old + (new if keep_ids else [new[0], *new[2:]]), names=[*columns, *names])
                     rows, held, start = [], 0, i + 1
 
-    return mapped(source, run, schema)
+    return mapped(source, run, schema).toDF(*kept.columns, *names)

@@ -23,6 +23,9 @@ CHUNK_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -50,13 +53,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Remove all tables that this session's operators have written to the shared folder; how many there were. To be called once
+    their results are written elsewhere: results that are still to be computed read them."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _removed(spark, path)
+    return len(paths)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: a cut of its lineage that outlives executors."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lattica_path = path
     return out
@@ -64,11 +83,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Remove what ``stored`` wrote; only for tables that no later plan reads."""
-    spark, path = df.sparkSession, getattr(df, "_lattica_path", None)
+    path = getattr(df, "_lattica_path", None)
     if path:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _removed(df.sparkSession, path)
 
 
 def with_columns_last(df: DataFrame, names: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,10 +12,15 @@ from pyspark.sql import functions as F
 from .common import mapped, stored
 from .components import components
 
-#: Bits of a table's key, tables, and rows of a bucket that meet in one task.
-KEY_BITS = 12
-TABLES = 20
-BLOCK = 512
+#: Rows of a bucket that meet in one task; rows that a key should have by chance, at most; least bits of a key; pairs at the threshold that may meet in no table.
+BLOCK, CROWD, LEAST_BITS, MISSED = 512, 32, 12, 0.0078
+
+
+def layout(n: int) -> tuple[int, int]:
+    """(bits of a key, tables) for ``n`` vectors: keys grow with log2 n, so that buckets do not, and there are as many tables as leave out
+    MISSED of the pairs of cosine 0.93, which agree in 88 % of the bits: 12 and 20 up to 131,072 vectors, 16 and 35 for two million."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, n) / CROWD)))
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - 0.88**bits))
 
 
 def learned(vectors: np.ndarray, rounds: int = 40, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -28,8 +35,8 @@ def learned(vectors: np.ndarray, rounds: int = 40, seed: int = 0) -> tuple[np.nd
     return mean, rotation
 
 
-def models(sample: list[list[float]], seed: int = 0) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-    """For each length of vector, as many rotations as TABLES keys need, each learned from another start."""
+def models(sample: list[list[float]], bits: int = 12, tables: int = 20, seed: int = 0) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """For each length of vector, as many rotations as ``tables`` keys need, each learned from another start."""
     by_size: dict[int, list] = {}
     for v in sample:
         by_size.setdefault(len(v), []).append(v)
@@ -37,23 +44,23 @@ def models(sample: list[list[float]], seed: int = 0) -> dict[int, list[tuple[np.
     for size, rows in by_size.items():
         x = np.array(rows, float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        per = max(1, size // KEY_BITS)
-        out[size] = [learned(x, seed=seed + k) for k in range(-(-TABLES // per))]
+        per = max(1, size // bits)
+        out[size] = [learned(x, seed=seed + k) for k in range(-(-tables // per))]
     return out
 
 
-def keys_of(bits: np.ndarray) -> np.ndarray:
-    """The TABLES keys of each code (rotations x size bits): disjoint groups of KEY_BITS bits of one rotation each."""
-    per, width = max(1, bits.shape[2] // KEY_BITS), min(KEY_BITS, bits.shape[2])
-    place = 1 << np.arange(width)
+def keys_of(bits: np.ndarray, width: int = 12, tables: int = 20) -> np.ndarray:
+    """The keys of each code (rotations x size bits): disjoint groups of ``width`` bits of one rotation each."""
+    per, width = max(1, bits.shape[2] // width), min(width, bits.shape[2])
+    place = 1 << np.arange(width, dtype=np.int64)
     keys = [bits[:, r, c * width : (c + 1) * width] @ place for r in range(bits.shape[1]) for c in range(per)]
-    return np.stack(keys[:TABLES], axis=1).astype(np.int32)
+    return np.stack(keys[:tables], axis=1).astype(np.int32)
 
 
-def _encode(vectors: np.ndarray, model: list) -> tuple[np.ndarray, np.ndarray]:
+def _encode(vectors: np.ndarray, model: list, width: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     bits = np.stack([(x - mean) @ rotation >= 0 for mean, rotation in model], axis=1)
-    return np.packbits(bits.reshape(len(x), -1), axis=1), keys_of(bits)
+    return np.packbits(bits.reshape(len(x), -1), axis=1), keys_of(bits, width, tables)
 
 
 def candidates(classes: DataFrame, sample: list[list[float]], share: float = 0.27) -> DataFrame:
@@ -64,7 +71,8 @@ def candidates(classes: DataFrame, sample: list[list[float]], share: float = 0.2
     apart are never rows. A bucket of more than BLOCK rows is salted: each part of its left side meets the whole right side on
     its own; nothing is left out.
     """
-    learned_ = models(sample)
+    width, tables = layout(classes.count())
+    learned_ = models(sample, width, tables)
     words = max([-(-len(m) * size // 64) for size, m in learned_.items()], default=1)
     model = classes.sparkSession.sparkContext.broadcast(learned_)
 
@@ -74,13 +82,13 @@ def candidates(classes: DataFrame, sample: list[list[float]], share: float = 0.2
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 part = batch.take(pa.array(rows))
-                own = model.value.get(int(size)) or models([list(np.eye(size)[i]) for i in range(size)])[int(size)]
-                codes, keys = _encode(np.array(part.column("x").to_pylist(), float), own)
+                own = model.value.get(int(size)) or models([list(np.eye(size)[i]) for i in range(size)], width, tables)[int(size)]
+                codes, keys = _encode(np.array(part.column("x").to_pylist(), float), own, width, tables)
                 at = pa.array(np.repeat(np.arange(len(rows)), keys.shape[1]))
-                tables = pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(rows)))
+                numbers = pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(rows)))
                 wide = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.int64)
                 packed, all_keys = (pa.array(list(x), pa.list_(kind)).take(at) for x, kind in ((wide, pa.int64()), (keys, pa.int32())))
-                columns = [part.column("cid").take(at), part.column("label").take(at), pa.array(np.full(len(at), size, np.int32)), tables, pa.array(keys.reshape(-1)), packed, all_keys]
+                columns = [part.column("cid").take(at), part.column("label").take(at), pa.array(np.full(len(at), size, np.int32)), numbers, pa.array(keys.reshape(-1)), packed, all_keys]
                 yield pa.RecordBatch.from_arrays(columns, names=["cid", "label", "size", "t", "key", "code", "keys"])
 
     label = classes.schema["label"].dataType.simpleString()
@@ -123,7 +131,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, sample_rows: int =
     empty, zero or holds a null or a non-finite component links with nothing. Equal vectors form a class and are handled
     once; its copies are linked to one another (a vector's cosine with itself is 1). Rotations are learned from at
     most ``sample_rows`` classes (documented bound); every class is indexed. Found links are exact; pairs that meet in no
-    table are missed (about 1 in 100 at a cosine of 0.93, fewer above). Null ids come after all others.
+    table are missed (about 1 in 100 at a cosine of 0.93, fewer above). Null ids come after all others. Repeated rows are copies; other columns take no
+    part, whatever their names; an empty table gives an empty table.
     """
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     some = F.coalesce(F.exists("embedding", lambda c: c != 0), F.lit(False))

@@ -41,7 +41,8 @@ WITH d AS (
 {rules} AS BIGINT) AS failures FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (failures & {base}) <> 0 AS base_failed, (failures & {kept}) = 0 AS kept, failures
+  (failures & {base}) <> 0 AS base_failed, (failures & {kept}) = 0 AS kept, failures,
+  CASE WHEN bit_count(failures & {kept}) = 1 THEN failures & {kept} ELSE CAST(0 AS BIGINT) END AS kept_without
 FROM f"""
 
 
@@ -128,17 +129,5 @@ n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY u)
 SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM part LEFT JOIN n USING (vec_id)"""
 
 
-OP8 = """
-WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-)
-SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM c GROUP BY conv_id"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op2_line_dedup": OP2, "op3_substring_dedup": OP3, "op9_embedding_near_dedup": OP9, "op5_quality_rules": _op5(), "op10_source_mixing": OP10}

@@ -89,23 +89,26 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     out = with_columns_last(docs, [*MEASURES]) if text not in MEASURES else docs
     own = _let(words_of(whole), of)
     by_line = _let(lines, of_lines)
-    out = out.withColumn("_words", own).withColumn("_lines", by_line)
+    in_words, in_lines = (next(n for k in range(1, 1000) if (n := "_" * k + name) not in docs.columns) for name in ("words", "lines"))
+    out = out.withColumn(in_words, own).withColumn(in_lines, by_line)
     return out.withColumns(
         {
-            "n_words": F.col("_words.n_words"),
-            "word_chars": F.col("_words.word_chars"),
+            "n_words": F.col(in_words)["n_words"],
+            "word_chars": F.col(in_words)["word_chars"],
             "n_symbols": less(r"[#*$%&|<>]+").cast("bigint"),
-            "n_dup_lines": F.col("_lines.n_dup_lines"),
-            "n_repeat_words": F.col("_words.n_repeat_words"),
-            "n_lines": F.col("_lines.n_lines"),
+            "n_dup_lines": F.col(in_lines)["n_dup_lines"],
+            "n_repeat_words": F.col(in_words)["n_repeat_words"],
+            "n_lines": F.col(in_lines)["n_lines"],
             "n_punctuation": less(r"[!-/:-@\[-`{-~]+").cast("bigint"),
             "n_digits": less(r"[0-9]+").cast("bigint"),
         }
-    ).drop("_words", "_lines")
+    ).drop(in_words, in_lines)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every rule evaluated once: ``measured`` and ``failures``, a long with a bit for each failed rule."""
+    """Every rule evaluated once: ``measured`` and ``failures``, a long with a bit for each failed rule. Rows are judged one by one, so
+    repeated rows, null ids and ties get equal answers; a null text has no words. Columns of the results' names are replaced, all
+    others pass; an empty table gives an empty table."""
     out = measured(docs, text)
     mask = F.lit(0).cast("bigint")
     for i, rule in enumerate(RULES.values()):
@@ -118,6 +121,12 @@ def verdict(policy: str = "v1", failures: str = "failures") -> Column:
     return F.col(failures).bitwiseAND(F.lit(bits(POLICIES[policy])).cast("bigint")) == 0
 
 
+def kept_without(policy: str = "v1", failures: str = "failures") -> Column:
+    """The bit of the rule whose omission alone would keep a row that the policy rejects; 0 where there is none."""
+    hit = F.col(failures).bitwiseAND(F.lit(bits(POLICIES[policy])).cast("bigint"))
+    return F.when(F.bit_count(hit) == 1, hit).otherwise(F.lit(0).cast("bigint"))
+
+
 def ablation(failures: DataFrame, policies: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
     """For each policy and rule: documents the policy rejects, those the rule fails, and those that would be
     kept if this rule alone were left out. One pass over the masks, pre-aggregated by mask value."""
@@ -134,4 +143,4 @@ def ablation(failures: DataFrame, policies: Mapping[str, tuple[str, ...]] | None
     )
 
 
-__all__ = ["MEASURES", "POLICIES", "RULES", "SPACES", "ablation", "bits", "ledger", "measured", "verdict"]
+__all__ = ["MEASURES", "POLICIES", "RULES", "SPACES", "ablation", "bits", "kept_without", "ledger", "measured", "verdict"]

@@ -32,8 +32,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.ledger(documents(spark, sf_dir).select("doc_id", "text"))
-    out = led.withColumn("base_failed", ~quality.verdict("base")).withColumn("kept", quality.verdict("v1"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+    out = led.withColumn("base_failed", ~quality.verdict("base")).withColumn("kept", quality.verdict("v1")).withColumn("kept_without", quality.kept_without("v1"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "kept_without")
 
 
 def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

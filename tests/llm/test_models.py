@@ -150,6 +150,21 @@ def test_empty_training(spark, docs):
     assert suffix_tree.scored(df.limit(0)).collect() == []
 
 
+def test_keys_grow_with_the_number_of_vectors():
+    assert itq.layout(1) == itq.layout(131_072) == (12, 20)
+    assert itq.layout(2_000_000)[0] == 16 and itq.layout(10**9)[0] == 25
+    for n in (10, 10**6, 10**8):
+        bits, tables = itq.layout(n)
+        assert (1 - 0.88**bits) ** tables <= 0.008 and n / 2**bits <= 32
+    bits = np.random.default_rng(1).random((5, 12, 64)) > 0.5
+    assert itq.keys_of(bits, 16, 35).shape == (5, 35)
+
+
+def test_no_vectors(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert itq.near_duplicates(df).collect() == []
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_links_and_recall(spark, block, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", block)

@@ -28,6 +28,15 @@ def test_masks_cover_every_pair_of_positions():
             assert any(not m & diff for m in masks)
 
 
+def test_masks_of_half_a_fingerprint_are_of_equal_size():
+    masks = simhash.covering_masks(5, bits=32)
+    assert len(masks) == 63 and sorted(m.bit_count() for m in masks) == [16] * 62 + [32]
+    rnd = random.Random(5)
+    for _ in range(3000):
+        diff = sum(1 << i for i in rnd.sample(range(32), 5))
+        assert any(not m & diff for m in masks)
+
+
 def test_components_match_brute_force_with_a_hot_bucket(spark):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(40)]
@@ -54,3 +63,11 @@ def test_one_document_stays_of_each_group(spark, docs, odd):
     assert sum(t == "same words here" for _, _, t in kept) == 1
     assert simhash.deduplicated(docs([])).count() == 0
     assert simhash.fingerprinted(docs(odd)).filter(F.col("fp") == 0).count() == 5
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x y z w")], "doc_id long, text string").withColumns({c: F.lit(5) for c in ("component_id", "component", "_mark", "_text", "mark", "id", "c0")})
+    out = simhash.deduplicated(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.component_id, r._mark) for r in out.collect()) == [(1, 5, 5), (3, 5, 5)]
+    got = simhash.near_duplicates(simhash.fingerprinted(df)).collect()
+    assert sorted((r.doc_id, r.component_id, r.c0) for r in got) == [(1, 1, 5), (2, 1, 5), (3, 3, 5)]
