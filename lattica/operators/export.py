@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import community_colour, cypher_escaped, file_name, xml_escaped
-from lattica.model import Graph
+from lattica.model import Graph, numbered
 
 
 #: Fixed value: the document's head with the keys that node and edge data refer to.
@@ -203,13 +203,65 @@ def html(g: Graph) -> DataFrame:
     return rows.select(F.format_string("%d-%015d", "part", "ord").alias("place"), "line")
 
 
-def notes(g: Graph) -> DataFrame:
-    """(file, content): a note for each node with links to its neighbours in order."""
-    names = g.nodes.select("id", file_name(F.coalesce("label", "id")).alias("name"))
-    out = g.edges.select(F.col("source").alias("id"), F.col("target").alias("o"), "ord").unionByName(g.edges.select(F.col("target").alias("id"), F.col("source").alias("o"), "ord"))
-    near = out.join(names.select(F.col("id").alias("o"), "name"), "o").groupBy("id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: F.concat(F.lit("- [["), x["name"], F.lit("]]")))), "\n").alias("links"))
-    all_ = g.nodes.select("id", "type").join(names, "id").join(near, "id", "left")
-    return all_.select(F.concat("name", F.lit(".md")).alias("file"), F.concat(F.lit("# "), "name", F.lit("\n\ntype: "), F.coalesce("type", F.lit("")), F.coalesce(F.concat(F.lit("\n\n"), "links"), F.lit(""))).alias("content"))
+def _joined(order: str, text: Column, most: int | None = None) -> Column:
+    rows = F.array_sort(F.collect_list(F.struct(order, text.alias("t"))))
+    return F.array_join(F.transform(F.slice(rows, 1, most) if most else rows, lambda x: x["t"]), "\n")
+
+
+def _link(name: str) -> Column:
+    return F.concat(F.lit("- [["), name, F.lit("]]"))
+
+
+def notes(g: Graph, mates: int = 10) -> DataFrame:
+    """(file, content): a note for each node: its data, what it refers to, what refers to it, its properties and file, and the first members of its
+    community. Of a community only the first ``mates`` + 1 nodes meet its notes."""
+    nodes = g.nodes.withColumn("name", _filled("label", F.col("id")))
+    names = nodes.select("id", "name")
+    said = F.concat(_link("name"), _if(F.col("label"), F.concat(F.lit(" ("), "label", F.lit(")"))))
+    out = g.edges.select(F.col("source").alias("own"), F.col("target").alias("id"), "label", "ord").join(names, "id").groupBy("own").agg(_joined("ord", said).alias("calls"))
+    into = g.edges.select(F.col("target").alias("own"), F.col("source").alias("id"), "ord").join(names, "id").groupBy("own").agg(_joined("ord", _link("name")).alias("callers"))
+    first = nodes.filter("community IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("ord"))).filter(F.col("r") <= mates + 1)
+    few = first.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("id").alias("mate"), F.col("name").alias("mate_name")))).alias("few"))
+    rows = nodes.join(out.withColumnRenamed("own", "id"), "id", "left").join(into.withColumnRenamed("own", "id"), "id", "left").join(few, "community", "left")
+    others = F.slice(F.filter("few", lambda x: x["mate"] != F.col("id")), 1, mates)
+    known = F.filter(F.coalesce("provenance", F.array().cast("array<string>")), lambda p: p.isNotNull())
+    props = F.transform(F.array_sort(F.map_entries("properties")), lambda kv: F.concat(F.lit("- **"), kv["key"], F.lit("**: "), F.coalesce(_json(kv["value"]), F.lit("null"))))
+    part = lambda title, body: F.when(F.coalesce(F.length(body), F.lit(0)) > 0, F.concat(F.lit(f"## {title}\n"), body, F.lit("\n")))
+    lines = F.array(
+        F.lit("---"), F.concat(F.lit("id: "), "id"), F.concat(F.lit("type: "), _filled("type", F.lit("unknown"))), F.concat(F.lit("label: "), "name"),
+        F.concat(F.lit("community: "), F.col("community").cast("string")),
+        F.when(F.size(known) > 0, F.concat(F.lit("provenance:\n"), F.array_join(F.transform(known, lambda p: F.concat(F.lit("  - "), p)), "\n"))),
+        F.lit("---\n"), F.concat(F.lit("# "), "name", F.lit("\n")), F.concat(F.lit("![["), _filled("type", F.lit("unknown")), F.lit("]]\n")),
+        part("Calls / References", F.col("calls")), part("Called By / Referenced By", F.col("callers")), part("Properties", F.array_join(props, "\n")),
+        part("Source", _if(F.col("source_file"), F.concat(F.lit("Source: `"), _or_empty("source_file"), F.lit("`")))),
+        part("Community", F.array_join(F.transform(others, lambda x: F.concat(F.lit("- [["), x["mate_name"], F.lit("]]"))), "\n")),
+    )
+    content = F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
+    return rows.select(F.concat(F.lit("nodes/"), file_name(F.col("name")), F.lit(".md")).alias("file"), content.alias("content"))
+
+
+def note_canvas(g: Graph) -> DataFrame:
+    """(kind, place, item): nodes and edges of the vault's canvas as JSON, nodes in rows of five."""
+    placed = numbered(g.nodes.withColumn("name", file_name(_filled("label", F.col("id")))), "i", "ord").select("id", "name", "i", (100 + F.pmod("i", F.lit(5)) * 200).alias("x"), (100 + F.floor(F.col("i") / 5) * 150).alias("y"))
+    node = F.to_json(F.struct("id", F.lit("file").alias("type"), F.concat(F.lit("nodes/"), "name", F.lit(".md")).alias("file"), "x", "y", F.lit(200).alias("width"), F.lit(50).alias("height")))
+    a, b = placed.select(F.col("id").alias("source"), (F.col("x") + 100).alias("fromX"), (F.col("y") + 25).alias("fromY")), placed.select(F.col("id").alias("target"), (F.col("x") + 100).alias("toX"), (F.col("y") + 25).alias("toY"))
+    edge = F.to_json(F.struct("id", F.lit("line").alias("type"), "fromX", "fromY", "toX", "toY", F.lit("#0f3460").alias("color")))
+    edges = g.edges.join(a, "source").join(b, "target").select(F.lit("edge").alias("kind"), F.col("ord").alias("place"), edge.alias("item"))
+    return placed.select(F.lit("node").alias("kind"), F.col("i").alias("place"), node.alias("item")).unionByName(edges)
+
+
+def note_index(g: Graph, of_type: int = 20, of_community: int = 10) -> DataFrame:
+    """(section, name, n, links): the vault's index: how many nodes each type and each community has, and links to the first of them."""
+    nodes = g.nodes.withColumn("name", file_name(_filled("label", F.col("id"))))
+    out = None
+    for section, key, most in (("type", _filled("type", F.lit("unknown")), of_type), ("community", F.col("community").cast("string"), of_community)):
+        rows = nodes.withColumn("key", key).filter("key IS NOT NULL")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+        first = rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("ord"))).filter(F.col("r") <= most)
+        links = first.groupBy("key").agg(_joined("ord", _link("name")).alias("links"))
+        part = sizes.join(links, "key").select(F.lit(section).alias("section"), F.col("key").alias("name"), "n", "links")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def written(lines: DataFrame, path: str) -> None:
@@ -217,4 +269,4 @@ def written(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
 
 
-__all__ = ["cypher", "graphml", "html", "layout", "notes", "push", "push_complete", "svg", "written"]
+__all__ = ["cypher", "graphml", "html", "layout", "note_canvas", "note_index", "notes", "push", "push_complete", "svg", "written"]

@@ -260,6 +260,35 @@ def export_svg(spark, sf_dir):
     return export.svg(g, export.layout(g))
 
 
-@query("export_notes")
+@query(
+    "export_notes",
+    f"""WITH {BASE},
+o AS (SELECT source AS id, string_agg('- [[' || b.label || ']] (trades)', chr(10) ORDER BY g.ord) AS c FROM sparse g JOIN nodes b ON g.target = b.id GROUP BY 1),
+i AS (SELECT target AS id, string_agg('- [[' || b.label || ']]', chr(10) ORDER BY g.ord) AS r FROM sparse g JOIN nodes b ON g.source = b.id GROUP BY 1),
+m AS (SELECT a.id, string_agg('- [[' || b.label || ']]', chr(10) ORDER BY b.ord) AS m FROM nodes a JOIN (SELECT *, row_number() OVER (PARTITION BY community ORDER BY ord) AS n FROM nodes) b ON a.community = b.community AND a.id <> b.id WHERE n <= 11 GROUP BY a.id)
+SELECT 'nodes/' || label || '.md' AS file, '---' || chr(10) || 'id: ' || id || chr(10) || 'type: nation' || chr(10) || 'label: ' || label || chr(10) || 'community: ' || community || chr(10) || 'provenance:' || chr(10) || '  - region' || community || chr(10)
+  || '---' || chr(10) || chr(10) || '# ' || label || chr(10) || chr(10) || '![[nation]]' || chr(10) || coalesce(chr(10) || '## Calls / References' || chr(10) || c || chr(10), '') || coalesce(chr(10) || '## Called By / Referenced By' || chr(10) || r || chr(10), '')
+  || coalesce(chr(10) || '## Community' || chr(10) || m || chr(10), '') AS content FROM nodes LEFT JOIN o USING (id) LEFT JOIN i USING (id) LEFT JOIN m USING (id)""",
+)
 def export_notes(spark, sf_dir):
     return export.notes(trade_graph(spark, sf_dir, True))
+
+
+@query(
+    "export_note_canvas",
+    f"""WITH {BASE}, p AS (SELECT id, label, row_number() OVER (ORDER BY ord) - 1 AS i FROM nodes), q AS (SELECT *, 100 + (i % 5) * 200 AS x, 100 + (i // 5) * 150 AS y FROM p)
+SELECT 'node' AS kind, i AS place, '{{"id":"' || id || '","type":"file","file":"nodes/' || label || '.md","x":' || x || ',"y":' || y || ',"width":200,"height":50}}' AS item FROM q
+UNION ALL SELECT 'edge', g.ord, '{{"id":"' || g.id || '","type":"line","fromX":' || (a.x + 100) || ',"fromY":' || (a.y + 25) || ',"toX":' || (b.x + 100) || ',"toY":' || (b.y + 25) || ',"color":"#0f3460"}}' FROM sparse g JOIN q a ON g.source = a.id JOIN q b ON g.target = b.id""",
+)
+def export_note_canvas(spark, sf_dir):
+    return export.note_canvas(trade_graph(spark, sf_dir, True))
+
+
+@query(
+    "export_note_index",
+    f"""WITH {BASE}, t AS (SELECT *, row_number() OVER (ORDER BY ord) AS r, row_number() OVER (PARTITION BY community ORDER BY ord) AS c FROM nodes)
+SELECT 'type' AS section, 'nation' AS name, count(*) AS n, string_agg('- [[' || label || ']]', chr(10) ORDER BY ord) FILTER (r <= 20) AS links FROM t
+UNION ALL SELECT 'community', CAST(community AS VARCHAR), count(*), string_agg('- [[' || label || ']]', chr(10) ORDER BY ord) FILTER (c <= 10) FROM t GROUP BY community""",
+)
+def export_note_index(spark, sf_dir):
+    return export.note_index(trade_graph(spark, sf_dir, True))

@@ -41,7 +41,13 @@ def shortest_path_len(spark, sf_dir):
     return out.agg(F.when(F.count("*") > 0, F.count("*") - 1).alias("steps"))
 
 
-@query("shortest_path_nodes")
+@query(
+    "shortest_path_nodes",
+    f"""WITH RECURSIVE {BASE}, hops AS (SELECT source AS a, target AS b, ord FROM sparse UNION ALL SELECT target, source, ord FROM sparse),
+walk(id, n, path, route) AS (SELECT '0', 0, CAST([] AS BIGINT[]), ['0'] UNION ALL SELECT b, n + 1, list_append(path, ord), list_append(route, b) FROM walk JOIN hops ON a = id WHERE n < 3 AND id <> '24'),
+best AS (SELECT route FROM walk WHERE id = '24' ORDER BY n, path LIMIT 1)
+SELECT CAST(i - 1 AS INTEGER) AS step, route[i] AS id FROM best, (SELECT unnest(generate_series(1, 4)) AS i) g WHERE i <= len(route)""",
+)
 def shortest_path_nodes(spark, sf_dir):
     return traverse.shortest_path(trade_graph(spark, sf_dir, True), "0", "24")
 
