@@ -22,8 +22,9 @@ from .substring_index import _mixed, word_hashes
 WIDTH, SKETCH = 5, 2
 RADIUS, PARTS = 11, 2
 
-#: Rows of a bucket up to which its pairs are compared one by one at once, and rounds of heads for larger ones.
-PAIRED, ROUNDS = 128, 2
+#: Rows of a bucket up to which its pairs are compared one by one at once, pairs for each of its rows up to which they are given, and rounds
+#: of heads for buckets beyond either.
+PAIRED, DENSE, ROUNDS = 128, 4, 2
 
 #: Of RADIUS bits, one of the PARTS has its share or fewer, and is left whole by one of its masks.
 _BITS = 64 // PARTS
@@ -95,27 +96,37 @@ def keyed(classes: DataFrame) -> DataFrame:
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """Of rows (key, fp, sim) in buckets by key: (u, v) for each pair within RADIUS bits of a bucket of PAIRED rows or fewer, and the
-    rows (key, fp, sim) of the larger ones. Buckets stream by in order; none is held whole."""
+    """Of rows (key, fp, sim) in buckets by key: (u, v) for each pair within RADIUS bits of a bucket of PAIRED rows or fewer that has no more
+    than DENSE such pairs a row, and the rows (key, fp, sim) of all others. So the output grows with the rows, whatever
+    the groups. Buckets stream by in order; none larger than PAIRED is held."""
 
     def run(batches):
         names = ["u", "v", "key", "fp", "sim"]
         held, large = [np.zeros(0, np.int64)] * 3, None  # rows of the last bucket so far; the key of a bucket known to be large
 
         def paired(key, fp, sim):
-            us, vs = [], []
-            at = np.arange(len(key))
+            if not len(key):
+                return
+            bucket = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+            firsts, seconds, at = [], [], np.arange(len(key))
             for step in range(1, PAIRED):
                 at = at[at + step < len(key)]
                 at = at[key[at] == key[at + step]]
                 if not len(at):
                     break
                 near = at[np.bitwise_count((sim[at] ^ sim[at + step]).view(np.uint64)) <= RADIUS]
-                us.append(fp[near]), vs.append(fp[near + step])
-            if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])] + [pa.nulls(len(pairs), pa.int64())] * 3, names=names)
+                firsts.append(near), seconds.append(near + step)
+            if not firsts:
+                return
+            i, j = np.concatenate(firsts), np.concatenate(seconds)
+            dense = np.bincount(bucket[i], minlength=bucket[-1] + 1) > DENSE * np.bincount(bucket)
+            few = ~dense[bucket[i]]
+            u, v = fp[i[few]], fp[j[few]]
+            pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])] + [pa.nulls(len(pairs), pa.int64())] * 3, names=names)
+            rows = dense[bucket]
+            if rows.any():
+                yield from passed(key[rows], fp[rows], sim[rows])
 
         def passed(key, fp, sim):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64())] * 2 + [pa.array(x) for x in (key, fp, sim)], names=names)
@@ -195,7 +206,7 @@ def _other(rows: DataFrame, *keys: str) -> DataFrame:
 def linked(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, component) of the distinct ``fp`` that are similar to another one, among those within RADIUS bits.
 
-    All pairs of small buckets are compared. A large bucket is one of a large group of near copies, or of very many texts. There every row
+    All pairs of small buckets are compared. A large or dense bucket is one of a group of near copies, or of very many texts. There every row
     is first compared with the row whose shingles are the most frequent ones, which joins most of a group to what it was copied from; in
     the next round, with the foremost row outside the bucket's largest component. What is left (``_prefix_pairs``) is found
     by shared rare shingles, which two sets of that similarity must have; nothing is left out, and no bucket is paired off.
