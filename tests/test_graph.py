@@ -87,20 +87,22 @@ def test_deltas(spark):
     assert {tuple(r) for r in delta.edge_delta(a.edges, b.edges).collect()} == {("b", "a", "added"), ("a", "b", "removed")}
 
 
-def local_moving(order, edges):
+def local_moving(order, edges, directed=False):
+    """Nodes are drawn by where their edges lead (either end without direction, so a loop leads home twice); an edge counts once in a degree."""
     m = sum(w for *_, w in edges)
-    degree, home = dict.fromkeys(order, 0.0), {n: i for i, n in enumerate(order)}
+    degree, home, near = dict.fromkeys(order, 0.0), {n: i for i, n in enumerate(order)}, {n: [] for n in order}
     for a, b, w in edges:
-        degree[a] += w
-        degree[b] += w
+        for n in {a, b}:
+            degree[n] += w
+        near[a].append((b, w))
+        if not directed:
+            near[b].append((a, w))
     for _ in range(100 if m else 0):
         moved = False
         for n in order:
             pull = {}
-            for a, b, w in edges:
-                o = b if a == n else a if b == n else None
-                if o is not None and o != n:
-                    pull[home[o]] = pull.get(home[o], 0) + w
+            for o, w in near[n]:
+                pull[home[o]] = pull.get(home[o], 0) + w
             best, target, here = 0.0, home[n], pull.get(home[n], 0)
             for c, w in pull.items():
                 gain = (w - here) / (2 * m) - degree[n] ** 2 / (4 * m * m)
@@ -114,13 +116,39 @@ def local_moving(order, edges):
     return {n: seen.setdefault(home[n], len(seen)) for n in order}
 
 
-def test_communities_match_the_sequential_rule(spark):
+@pytest.mark.parametrize("directed", [False, True])
+def test_communities_match_the_sequential_rule(spark, directed):
     rnd = random.Random(2)
-    for _ in range(2):
+    for loops in (0, 3):
         nodes = [f"v{i}" for i in range(10)]
         pairs = [(f"v{rnd.randint(0, 9)}", f"v{rnd.randint(0, 9)}", rnd.randint(1, 4)) for _ in range(12)]
-        got = {r.id: r.community for r in cluster.clusters(graph(spark, pairs, nodes)).collect()}
-        assert got == local_moving(nodes, pairs)
+        pairs = [p for p in pairs if p[0] != p[1]] + [(f"v{k}", f"v{k}", 2) for k in range(loops)]
+        got = {r.id: r.community for r in cluster.clusters(graph(spark, pairs, nodes, directed)).collect()}
+        assert got == local_moving(nodes, pairs, directed)
+
+
+def test_rounds_of_joins_never_lower_the_measure(spark):
+    rnd = random.Random(4)
+    nodes = [f"v{i}" for i in range(12)]
+    pairs = [(f"v{a}", f"v{b}", 4 if a // 4 == b // 4 else 1) for a in range(12) for b in range(a) if a // 4 == b // 4 or rnd.random() < 0.05]
+    got = {r.id: r.community for r in cluster.clusters_by_rounds(graph(spark, pairs, nodes)).collect()}
+    assert sorted(got) == sorted(nodes) and all(len({got[f"v{4 * k + j}"] for j in range(4)}) == 1 for k in range(3))
+
+
+def test_partners_of_either_node_count(spark):
+    """80 nearly equal vectors: each node's 50 best are united, so more pairs than the 50 best of one end alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.ones((80, 8)) + rng.normal(size=(80, 8)) * 0.05
+    n = spark.createDataFrame([(f"n{i:02d}", "t", v.tolist(), i) for i, v in enumerate(x)], "id string, type string, embedding array<double>, ord long")
+    got = {(r.a, r.b) for r in vectors.candidates(n, 0.5, 50).select("a", "b").collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos, want = unit @ unit.T, set()
+    for i in range(80):
+        best = sorted((j for j in range(80) if j != i), key=lambda j: (-cos[i, j], j))[:50]
+        want |= {(f"n{min(i, j):02d}", f"n{max(i, j):02d}") for j in best}
+    assert got == want and len(want) > 80 * 50 / 2
 
 
 def test_vectors(spark):
