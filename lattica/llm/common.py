@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -95,11 +96,33 @@ def with_columns_last(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def mapped(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow, with batches of BATCH_BYTES where the session leaves Spark's limit (64 MB, of which each worker holds several) as it is."""
+    """mapInArrow, with batches of BATCH_BYTES where the session leaves Spark's limit (64 MB, of which each worker holds several) as it is;
+    a worker's memory is given back when its task ends."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, "64MB") in ("64MB", "67108864b"):
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        trimmed()
+
+    return df.mapInArrow(run, schema)
+
+
+#: What modules remember between the texts of a task, emptied at its end.
+CACHES: list[dict] = []
+
+
+def trimmed() -> None:
+    """Empty the caches and give freed memory back to the system, where the C library can: a worker lives on after its task."""
+    for cache in CACHES:
+        cache.clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def chunks(column: pa.Array):

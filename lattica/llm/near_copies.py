@@ -97,7 +97,7 @@ def keyed(classes: DataFrame) -> DataFrame:
 
 def bucketed(rows: DataFrame) -> DataFrame:
     """Of rows (key, fp, sim) in buckets by key: (u, v) for each pair within RADIUS bits of a bucket of PAIRED rows or fewer that has no more
-    than DENSE such pairs a row, and the rows (key, fp, sim) of all others. So the output grows with the rows, whatever
+    than DENSE such pairs a row, and the rows (key, fp, sim) of all others (of a dense one, those in such a pair). So the output grows with the rows, whatever
     the groups. Buckets stream by in order; none larger than PAIRED is held."""
 
     def run(batches):
@@ -124,7 +124,8 @@ def bucketed(rows: DataFrame) -> DataFrame:
             u, v = fp[i[few]], fp[j[few]]
             pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])] + [pa.nulls(len(pairs), pa.int64())] * 3, names=names)
-            rows = dense[bucket]
+            rows = np.zeros(len(key), bool)
+            rows[i[~few]] = rows[j[~few]] = True
             if rows.any():
                 yield from passed(key[rows], fp[rows], sim[rows])
 
@@ -166,18 +167,30 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
 
+#: Longs of the bitmap of a shingle set. Two sets differ in as many shingles as their bitmaps do in bits, or in more.
+MAP_LONGS = 16
+_MAPS = [f"m{k}" for k in range(MAP_LONGS)]
+
+
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """Bit k is the parity of the number of hashes that fall on k."""
+    at = np.bincount((_mixed(hashes) % np.uint64(64 * MAP_LONGS)).astype(np.int64), minlength=64 * MAP_LONGS)
+    return np.packbits((at & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(fp, hashes): the shingle sets of the documents in ``places`` (doc_id, mark, fp)."""
+    """(fp, hashes, m0, m1, ...): the shingle sets of the documents in ``places`` (doc_id, mark, fp), and their bitmaps."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("_text")
             for a, b in chunks(texts):
-                sets = [shingles(_words(x.as_py()), WIDTH).view(np.int64) for x in texts.slice(a, b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("fp").slice(a, b - a), _lists(sets)], names=["fp", "hashes"])
+                sets = [shingles(_words(x.as_py()), WIDTH) for x in texts.slice(a, b - a)]
+                maps = np.stack([parity_map(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([batch.column("fp").slice(a, b - a), _lists([x.view(np.int64) for x in sets]), *[pa.array(maps[:, k]) for k in range(MAP_LONGS)]], names=["fp", "hashes", *_MAPS])
 
     source = _text(docs)
-    return mapped(source.join(places, _same(source, places)).select("fp", "_text"), run, "fp long, hashes array<long>")
+    return mapped(source.join(places, _same(source, places)).select("fp", "_text"), run, "fp long, hashes array<long>, " + ", ".join(f"{m} long" for m in _MAPS))
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -194,55 +207,48 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) of ``met`` (fp, sim, c, v, s, d), of different components and within RADIUS bits."""
-    near = met.filter((F.col("c") != F.col("d")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("s"))) <= RADIUS))
-    return near.select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
+    """Pairs (u, v) of ``met`` (fp, c, v, d), of different components."""
+    return met.filter(F.col("c") != F.col("d")).select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
 
 
-def _other(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.select(*keys, F.col("fp").alias("v"), F.col("sim").alias("s"), F.col("c").alias("d"))
+def _other(rows: DataFrame, key: str, more: list[str] = ()) -> DataFrame:
+    return rows.select(key, F.col("fp").alias("v"), F.col("sim").alias("s"), F.col("c").alias("d"), *[F.col(m).alias(f"o{m}") for m in more])
+
+
+def _near() -> Column:
+    return (F.col("c") != F.col("d")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("s"))) <= RADIUS)
 
 
 def linked(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, component) of the distinct ``fp`` that are similar to another one, among those within RADIUS bits.
 
     All pairs of small buckets are compared. A large or dense bucket is one of a group of near copies, or of very many texts. There every row
-    is first compared with the row whose shingles are the most frequent ones, which joins most of a group to what it was copied from; in
-    the next round, with the foremost row outside the bucket's largest component. What is left (``_prefix_pairs``) is found
-    by shared rare shingles, which two sets of that similarity must have; nothing is left out, and no bucket is paired off.
+    is first compared with the row nearest to the bucket's majority of bits, which joins most of a group to what it was copied from; in
+    the next round, with the one among the rows outside the bucket's largest component. Of buckets that still hold several components, what is left
+    (``_prefix_pairs``) is found by shared rare shingles, which two sets of that similarity must have; nothing is left out, and no bucket is paired off.
     """
     classes = prints.filter("n >= 4").groupBy("fp").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "mark")).alias("p"))
     classes = stored(classes, "classes")
     seen = stored(bucketed(keyed(classes)), "seen")
     pairs = stored(seen.filter("key IS NULL").select("u", "v").distinct(), "pairs")
     large = seen.filter("key IS NOT NULL").select("key", "fp", "sim")
-    crowd = stored(large.select("fp", "sim").distinct(), "crowd")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("f")).unionByName(crowd.select(F.col("fp").alias("f"))).distinct()
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("f")).unionByName(large.select(F.col("fp").alias("f")).distinct()).distinct()
     places = stored(classes.join(wanted, F.col("fp") == F.col("f")).select("p.doc_id", "p.mark", "fp"), "places")
     sets = stored(shingle_sets(docs, places), "sets")
     links = stored(similar(pairs, sets), "similar")
     found = components(links)
-    if crowd.head(1):
-        tokens = crowd.select("fp").join(sets, "fp").select("fp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-        often = stored(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "often")
-        shared = stored(tokens.join(often, "h"), "shared")
-        scores = stored(shared.groupBy("fp").agg((F.sum("df") / F.max("n")).alias("score")), "scores")
-        ranked = stored(large.join(scores, "fp", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "ranked")
+    if large.head(1):
         for k in range(ROUNDS + 1):
             found = stored(found, "found")
-            named = found.select(F.col("node").alias("fp"), F.col("component").alias("c"))
-            part = ranked.join(named, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+            part = large.join(found.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+            part = stored(part, "part")
+            sizes = part.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("several")).filter("several > 1")
+            open_ = stored(part.join(stored(sizes, "sizes"), "key"), "open")
             if k < ROUNDS:
-                if k:
-                    part = stored(part, "part")
-                    main = part.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"))
-                    rest = part.join(main, "key").filter("c <> main")
-                else:
-                    rest = part
-                heads = rest.groupBy("key").agg(F.max(F.struct("score", "fp", "sim", "c")).alias("h")).select("key", "h.fp", "h.sim", "h.c")
-                tried = _pairs(part.join(_other(heads, "key"), "key"))
+                rest = open_.filter("c <> main") if k else open_
+                tried = _pairs(open_.join(_other(_foremost(rest), "key"), "key").filter(_near()))
             else:
-                tried = _prefix_pairs(crowd.join(named, "fp", "left").withColumn("c", F.coalesce("c", "fp")), shared)
+                tried = _prefix_pairs(open_.select("fp", "sim", "c").distinct(), sets)
             links = links.unionByName(stored(similar(stored(tried, "tried"), sets), "similar"))
             found = components(links)
     for t in (classes, seen, pairs, places):
@@ -250,19 +256,38 @@ def linked(docs: DataFrame, prints: DataFrame) -> DataFrame:
     return found
 
 
-def _prefix_pairs(crowd: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs of rows (fp, sim, c) of different components that may be similar: they share one of the rarest shingles (fp, n, h, df) of either.
+def _foremost(rows: DataFrame) -> DataFrame:
+    """Of each bucket the row (key, fp, sim, c) nearest to the bucket's majority of bits."""
+    bit = lambda i: F.shiftrightunsigned("sim", i).bitwiseAND(F.lit(1))
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(64)])
+    code = F.lit(0).cast("bigint")
+    for i in range(64):
+        code = code.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    codes = stored(sums.select("key", code.alias("code")), "codes")
+    away = F.bit_count(F.col("sim").bitwiseXOR(F.col("code")))
+    return rows.join(codes, "key").groupBy("key").agg(F.min(F.struct(away.alias("away"), "fp", "sim", "c")).alias("h")).select("key", "h.fp", "h.sim", "h.c")
+
+
+def _prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of rows (fp, sim, c) of different components that may be similar: they share one of the rarest shingles of either.
 
     Of the shingles of a set of n, in order of how rare they are among all, the first n - 0.8 n + 1 are looked at: two sets whose similarity is 0.8 or more
-    share at least 0.8 n of them, so a shared one is among these of both. Only rows outside the largest component that holds the shingle meet all others.
+    share at least 0.8 n of them, so a shared one is among these of both. Only rows outside the largest component that holds the shingle meet all others, and
+    only those are pairs whose bitmaps differ in no more bits than their sets may in shingles, a ninth of their sizes together.
     """
+    tokens = crowd.join(sets, "fp").select("fp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    often = stored(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     order = Window.partitionBy("fp").orderBy(F.desc("df"), F.desc("h"))
-    last = F.col("n") - (F.floor((F.col("n") - F.ceil(F.col("n") * 4 / 5))) + 1)  # shingles after the prefix, the most frequent ones
-    prefix = shared.withColumn("r", F.row_number().over(order)).filter(F.col("r") > last).select("fp", "h")
-    rows = stored(prefix.join(crowd, "fp"), "prefix")
-    main = rows.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("k")).filter("k > 1")
-    rest = rows.join(main, "h").filter("c <> main").select("h", "fp", "sim", "c")
-    return _pairs(rest.join(_other(rows, "h"), "h"))
+    last = F.ceil(F.col("n") * 4 / 5) - 1  # shingles after the prefix, the most frequent ones
+    prefix = tokens.join(often, "h").withColumn("r", F.row_number().over(order)).filter(F.col("r") > last).select("fp", "h")
+    whole = crowd.join(sets.select("fp", F.size("hashes").alias("n"), *_MAPS), "fp")
+    rows = stored(prefix.join(whole, "fp"), "prefix")
+    main = rows.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("several")).filter("several > 1")
+    rest = rows.join(stored(main, "main"), "h").filter("c <> main").drop("main", "several")
+    apart = F.lit(0)
+    for m in _MAPS:
+        apart = apart + F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m}")))
+    return _pairs(rest.join(_other(rows, "h", ["n", *_MAPS]), "h").filter(_near() & (9 * apart <= F.col("n") + F.col("on"))))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

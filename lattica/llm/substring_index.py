@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, mapped, new_path, stored, with_columns_last
+from .common import CACHES, chunks, dropped, mapped, new_path, stored, with_columns_last
 
 GRAM = 6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -34,13 +34,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word, 1)
         return out
 
 
 _WORDS = _Words()
+CACHES.append(_WORDS)
 
 
 def pieces(text: bytes):
