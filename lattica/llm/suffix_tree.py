@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mapped, remainder, stored
+from .common import dropped, mapped, remainder, stored, trimmed
 
 #: Bytes of the longest context, and the symbol that ends a text (no word holds it).
 DEPTH = 6
@@ -20,7 +20,10 @@ END = b"\n"
 
 #: Text whose grams are sorted at once, which takes some 50 bytes for each of its bytes, and text of a block, whose distinct grams are looked up together.
 CHUNK_BYTES = 1 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
+
+#: Blocks whose grams of a shard meet in one task, and different words that a worker counts before it hands them on.
+MOST_BLOCKS, MOST_WORDS = 4096, 50_000
 
 #: Taken off each count for smoothing; nats that a context must gain over its suffix, over all its places, to be retained.
 DISCOUNT, GAIN = 0.75, 4.0
@@ -71,7 +74,7 @@ def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, sums = keys[order], sums[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(sums, first)
+    return keys[first], np.add.reduceat(sums, first, dtype=sums.dtype)
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +123,7 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
                 some = [i for i, d in enumerate(who) if d["held_out"] is held]
                 if some:
                     keys, n = _unique(packed(b"".join(pieces[i] for i in some), [who[i]["size"] for i in some]))
-                    grams.append((keys, n * (not held)))
+                    grams.append((keys, (n * (not held)).astype(np.int32)))
             if len(grams) > 2:
                 grams[:] = [_summed(grams)]
             return rows(block=[block], shard=[_TEXT], n=[len(whole)], data=[pa.compress(whole, codec="zstd", asbytes=True)], docs=[list(who)])
@@ -134,7 +137,13 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
             taught = n > 0
             pairs, sums = _summed([((keys[taught] >> np.uint64(32) & np.uint64(0xFFFF00)) | (keys[taught] & np.uint64(255)), n[taught])])
             yield rows(pair=pairs.astype(np.int32), times=sums)
-            yield rows(word=list(words), times=list(words.values()))
+            yield spoken()
+            trimmed()
+
+        def spoken():
+            out = rows(word=list(words), times=list(words.values()))
+            words.clear()
+            return out
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -142,6 +151,8 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
                 for piece in segments(batch.column("_text")[i].as_py() or b""):
                     if not held:
                         words.update(piece[DEPTH:].split())
+                        if len(words) > MOST_WORDS:
+                            yield spoken()
                     pieces.append(piece)
                     who.append({"rid": rid, "doc_id": doc_id, "held_out": held, "size": len(piece) - DEPTH})
                     size += len(piece)
@@ -152,7 +163,7 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
                     if total >= BLOCK_BYTES:
                         yield from closed()
                         block += 1
-                        words, grams, total = Counter(), [], 0
+                        grams, total = [], 0
         if pieces:
             yield chunk()
             pieces.clear()
@@ -221,7 +232,7 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, root: Root) -> np.nd
         order = np.argsort(code, kind="stable")
         code = code[order]
         first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        n = np.add.reduceat(counts[order], first).astype(float)
+        n = np.add.reduceat(counts[order], first, dtype=np.int64).astype(float)
         context = code[first] >> np.uint64(8)
         begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         state = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(first))))
@@ -240,41 +251,53 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, root: Root) -> np.nd
     return np.log10(best)
 
 
-def grown(parts: DataFrame, root: Root) -> DataFrame:
-    """(shard, n, data, logs): the grams of each shard with their log probabilities, from the rows (shard, n, data, counts) of all blocks.
-
-    A shard holds all grams whose contexts end in the same three symbols, so it has whole branches of the tree, and grows by itself.
-    """
-    shared = parts.sparkSession.sparkContext.broadcast(root)
+def _by_shard(parts: DataFrame, keys: list[str], schema: str, finish, wide: bool = False) -> DataFrame:
+    """A row ``finish(shard, grams, counts)`` for each of ``keys`` (which begin with shard), from its rows (shard, n, data, counts), merged as they stream by.
+    Counts are of 32 bits in blocks, of 64 (``wide``) in sums of them."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         own, held = None, []
 
         def closed():
-            keys, counts = _summed(held)
-            columns = [pa.array([_planes(x)], pa.binary()) for x in (np.diff(keys, prepend=np.uint64(0)), _rounded(log_probabilities(keys, counts, shared.value)))]
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(keys)], pa.int32()), *columns], names=["shard", "n", "data", "logs"])
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in finish(own[0], *_summed(held))], names=names).cast(kinds)
 
+        kinds = pa.schema([(n, {"int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for n, c in zip(names, schema.split(", "), strict=True)])
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, n, data, counts = (batch.column(c)[i].as_py() for c in ("shard", "n", "data", "counts"))
-                if shard != own:
+                n, data, counts = (batch.column(c)[i].as_py() for c in ("n", "data", "counts"))
+                key = tuple(batch.column(c)[i].as_py() for c in keys)
+                if key != own:
                     if held:
                         yield closed()
-                    own, held = shard, []
-                held.append((_grams(data, n), _unplaned(counts, n, np.int64)))
+                    own, held = key, []
+                held.append((_grams(data, n), _unplaned(counts, n, np.int64 if wide else np.int32).astype(np.int64)))
                 if sum(len(k) for k, _ in held[1:]) > max(1 << 16, len(held[0][0])):
                     held[:] = [_summed(held)]
         if held:
             yield closed()
 
-    return mapped(parts.repartition("shard").sortWithinPartitions("shard"), run, "shard int, n int, data binary, logs binary")
+    return mapped(parts.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+
+
+def grown(parts: DataFrame, root: Root, salts: int = 1) -> DataFrame:
+    """(shard, n, data, logs): the grams of each shard with their log probabilities, from the rows (block, shard, n, data, counts) of all blocks.
+
+    A shard holds all grams whose contexts end in the same three symbols, so it has whole branches of the tree, and grows by itself. Of
+    very many blocks, ``salts`` groups are summed first.
+    """
+    shared = parts.sparkSession.sparkContext.broadcast(root)
+    steps = lambda keys: _planes(np.diff(keys, prepend=np.uint64(0)))
+    if salts > 1:
+        salted = parts.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
+        parts = _by_shard(salted, ["shard", "salt"], "shard int, n int, data binary, counts binary", lambda shard, keys, counts: (shard, len(keys), steps(keys), _planes(counts)))
+    return _by_shard(parts, ["shard"], "shard int, n int, data binary, logs binary", lambda shard, keys, counts: (shard, len(keys), steps(keys), _planes(_rounded(log_probabilities(keys, counts, shared.value)))), salts > 1)
 
 
-def answered(parts: DataFrame, tree: DataFrame) -> DataFrame:
-    """The rows (block, shard, n, data) with ``logs``, the log probabilities of their grams: each shard of the tree meets its rows."""
-    rows = parts.select("block", "shard", "n", "data", F.lit(None).cast("binary").alias("logs"))
-    both = rows.unionByName(tree.select(F.lit(-1).cast("long").alias("block"), "shard", "n", "data", "logs"))
+def answered(parts: DataFrame, tree: DataFrame, salts: int = 1) -> DataFrame:
+    """The rows (block, shard, n, data) with ``logs``, the log probabilities of their grams: each shard of the tree meets its rows, in ``salts`` groups."""
+    rows = parts.select("block", "shard", "n", "data", F.lit(None).cast("binary").alias("logs"), F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
+    both = rows.unionByName(tree.select(F.lit(-1).cast("long").alias("block"), "shard", "n", "data", "logs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")))
 
     def run(batches):
         keys = logs = None
@@ -291,7 +314,7 @@ def answered(parts: DataFrame, tree: DataFrame) -> DataFrame:
                 some = batch.take(pa.array([i for i, _ in out]))
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in ("block", "shard", "n", "data")] + [pa.array([x for _, x in out], pa.binary())], names=["block", "shard", "n", "data", "logs"])
 
-    return mapped(both.repartition("shard").sortWithinPartitions("shard", "block"), run, "block long, shard int, n int, data binary, logs binary")
+    return mapped(both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "block"), run, "block long, shard int, n int, data binary, logs binary")
 
 
 def _sums(whole: bytes, sizes: list[int], keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -326,7 +349,9 @@ def scored(docs: DataFrame, head_share: float = 2e-6, text: str = "text") -> Dat
     pairs = laid.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("times").alias("n")).toArrow()
     root = Root.grown(pairs.column("pair").to_numpy().astype(np.int64), pairs.column("n").to_numpy())
     parts = laid.filter(F.col("shard") < _TEXT).select("block", "shard", "n", "data", "counts")
-    tree = stored(grown(parts.drop("block"), root), "tree")
+    n_blocks = max(1, laid.select("block").filter("block IS NOT NULL").distinct().count())
+    salts = -(-n_blocks // MOST_BLOCKS)
+    tree = stored(grown(parts, root, salts), "tree")
     frequent = words.filter(F.col("n") >= max(1, head_share * tokens)).toArrow()
     head = dict(zip(frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 0.1).tolist(), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(head)
@@ -344,6 +369,7 @@ def scored(docs: DataFrame, head_share: float = 2e-6, text: str = "text") -> Dat
                     held.append((_grams(data, n), _unplaned(batch.column("logs")[i].as_py(), n, np.float32)))
                     continue
                 if keys is None:
+                    trimmed()
                     keys, values = (np.concatenate(c) for c in zip(*held, strict=True))
                     held = []
                 whole, who = pa.decompress(data, decompressed_size=n, codec="zstd", asbytes=True), batch.column("docs")[i].as_py()
@@ -371,9 +397,9 @@ def scored(docs: DataFrame, head_share: float = 2e-6, text: str = "text") -> Dat
                 )
 
     texts = laid.filter(F.col("shard") == _TEXT).select("block", "shard", "n", "data", F.lit(None).cast("binary").alias("logs"), "docs")
-    met = answered(parts, tree).withColumn("docs", F.lit(None).cast(texts.schema["docs"].dataType)).unionByName(texts)
+    met = answered(parts, tree, salts).withColumn("docs", F.lit(None).cast(texts.schema["docs"].dataType)).unionByName(texts)
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, s_head double, score double, tail array<struct<word:binary,times:bigint>>"
-    rows = stored(mapped(met.repartition("block").sortWithinPartitions("block", "shard"), run, schema), "scored")
+    rows = stored(mapped(met.repartition(n_blocks, "block").sortWithinPartitions("block", "shard"), run, schema), "scored")
     tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.times").join(words.filter(F.col("n") < max(1, head_share * tokens)), "word")
     known = tail.groupBy("rid").agg(F.sum("times").alias("n_head"), F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("s_head"))
     whole = rows.drop("tail").unionByName(known, allowMissingColumns=True).groupBy("rid")

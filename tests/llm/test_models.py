@@ -129,6 +129,15 @@ def test_text_scores_against_a_tree_of_dictionaries(spark, docs):
     assert all(a == c and abs(b - d) <= 0.01 for (a, b), (c, d) in pairs)
 
 
+def test_many_small_blocks_give_the_same_scores(spark, docs, monkeypatch):
+    df = suffix_tree.marked(docs(corpus(60))).repartition(3)
+    want = {r.doc_id: r.score for r in suffix_tree.scored(df).collect()}
+    for name, value in (("CHUNK_BYTES", 300), ("BLOCK_BYTES", 900), ("MOST_BLOCKS", 4)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    got = {r.doc_id: r.score for r in suffix_tree.scored(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.01 for k in want)
+
+
 def test_pieces_and_blocks_do_not_change_scores():
     text = b" ".join(t.encode() for _, t, *_ in corpus(30))
     whole = list(suffix_tree.segments(text))
