@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, dropped, mapped, stored
@@ -167,6 +167,9 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
 
+#: Bits of a shingle's hash by which it is counted.
+SLOT_BITS = 20
+
 #: Longs of the bitmap of a shingle set. Two sets differ in as many shingles as their bitmaps do in bits, or in more.
 MAP_LONGS = 16
 _MAPS = [f"m{k}" for k in range(MAP_LONGS)]
@@ -271,17 +274,39 @@ def _foremost(rows: DataFrame) -> DataFrame:
 def _prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of rows (fp, sim, c) of different components that may be similar: they share one of the rarest shingles of either.
 
-    Of the shingles of a set of n, in order of how rare they are among all, the first n - 0.8 n + 1 are looked at: two sets whose similarity is 0.8 or more
+    Of the shingles of a set of n, in order of how rare their slots (SLOT_BITS bits of the hash, so that the counts are of a bounded size) are among all, the first n - 0.8 n + 1 are looked at: two sets whose similarity is 0.8 or more
     share at least 0.8 n of them, so a shared one is among these of both. Only rows outside the largest component that holds the shingle meet all others, and
     only those are pairs whose bitmaps differ in no more bits than their sets may in shingles, a ninth of their sizes together.
     """
-    tokens = crowd.join(sets, "fp").select("fp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    often = stored(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "often")
-    order = Window.partitionBy("fp").orderBy(F.desc("df"), F.desc("h"))
-    last = F.ceil(F.col("n") * 4 / 5) - 1  # shingles after the prefix, the most frequent ones
-    prefix = tokens.join(often, "h").withColumn("r", F.row_number().over(order)).filter(F.col("r") > last).select("fp", "h")
-    whole = crowd.join(sets.select("fp", F.size("hashes").alias("n"), *_MAPS), "fp")
-    rows = stored(prefix.join(whole, "fp"), "prefix")
+    whole = stored(crowd.join(sets, "fp"), "crowd")
+
+    def count(batches):
+        for batch in batches:
+            hashes = batch.column("hashes").flatten().to_numpy().view(np.uint64)
+            slots, n = np.unique(hashes >> np.uint64(64 - SLOT_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+    often = mapped(whole.select("hashes"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << SLOT_BITS, np.int64)
+    table[often.column("slot").to_numpy()] = often.column("n").to_numpy()
+    shared = crowd.sparkSession.sparkContext.broadcast(table)
+    plain = ["fp", "sim", "c", *_MAPS]
+
+    def prefixes(batches):
+        counts = shared.value
+        for batch in batches:
+            which, firsts, sizes = [], [], []
+            for i, own in enumerate(batch.column("hashes")):
+                own = own.values.to_numpy()
+                often = counts[(own.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                first = np.lexsort((own, often))[: len(own) + 1 - -(-4 * len(own) // 5)]
+                first = first[often[first] > 1]
+                which.append(np.full(len(first), i)), firsts.append(own[first]), sizes.append(len(own))
+            at = pa.array(np.concatenate(which)) if which else pa.array([], pa.int64())
+            columns = [batch.column(c).take(at) for c in plain] + [pa.array(np.array(sizes, np.int64)).take(at), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*plain, "n", "h"])
+
+    rows = stored(mapped(whole.select(*plain, "hashes"), prefixes, ", ".join(f"{c} long" for c in [*plain, "n", "h"])), "prefix")
     main = rows.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("several")).filter("several > 1")
     rest = rows.join(stored(main, "main"), "h").filter("c <> main").drop("main", "several")
     apart = F.lit(0)
