@@ -129,5 +129,71 @@ n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY u)
 SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM part LEFT JOIN n USING (vec_id)"""
 
 
+#: crc32 of an id's decimal text: eight halvings for each byte.
+_CRC = (
+    "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT), "
+    "lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: The trees grow from the leaves by a level at a time; a claim climbs with its leaf's siblings.
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('s' || source, '') AS k, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claim
+  FROM documents
+), rows AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS total FROM d
+), tree AS (
+  SELECT k, 0 AS level, i, total AS n, leaf AS h FROM rows
+  UNION ALL
+  SELECT k, level + 1, i // 3, ceil(any_value(n) / 3.0)::BIGINT, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY k, level, i // 3
+), subroots AS (
+  SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS level, i, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, ceil(any_value(n) / 3.0)::BIGINT, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3
+), runs AS (
+  SELECT k, level, i // 3 AS run, list(h ORDER BY i) AS hs FROM tree WHERE n > 1 GROUP BY ALL
+), top_runs AS (
+  SELECT level, i // 3 AS run, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY ALL
+), climb AS (
+  SELECT k, doc_id, leaf, i AS start, 0 AS level, i, claim AS h, '' AS proof FROM rows
+  UNION ALL
+  SELECT c.k, doc_id, leaf, start, c.level + 1, i // 3, sha256(array_to_string(hs[:i % 3], '') || c.h || array_to_string(hs[i % 3 + 2:], '')),
+    proof || array_to_string(hs[:i % 3], '') || array_to_string(hs[i % 3 + 2:], '')
+  FROM climb c JOIN runs r ON r.k = c.k AND r.level = c.level AND r.run = c.i // 3
+), risen AS (
+  SELECT k, doc_id, leaf, h, proof FROM climb QUALIFY row_number() OVER (PARTITION BY k, start ORDER BY level DESC) = 1
+), over AS (
+  SELECT risen.k, doc_id, leaf, s.h AS subroot, 0 AS level, s.i, risen.h, proof, row_number() OVER () AS rid FROM risen JOIN subroots s ON s.k = risen.k
+  UNION ALL
+  SELECT o.k, doc_id, leaf, subroot, o.level + 1, i // 3, sha256(array_to_string(hs[:i % 3], '') || o.h || array_to_string(hs[i % 3 + 2:], '')),
+    proof || array_to_string(hs[:i % 3], '') || array_to_string(hs[i % 3 + 2:], ''), rid
+  FROM over o JOIN top_runs r ON r.level = o.level AND r.run = o.i // 3
+), last AS (
+  SELECT * FROM over QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level DESC) = 1
+)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, last.h AS folded_root, last.h = top.h AS verified FROM last, top WHERE top.n = 1"""
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+size AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS words FROM d WHERE len(ts) > 0),
+items AS (SELECT q, item_id, unnest(list_distinct({_TERMS})) AS term FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark WHERE text IS NOT NULL) b),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) x GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) x, size),
+p AS (SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS impact FROM tf JOIN w USING (term), size),
+s AS (SELECT q, item_id, rid, doc_id, sum(impact)::BIGINT AS score FROM items JOIN p USING (term) GROUP BY q, item_id, rid, doc_id HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, rid) AS INTEGER) AS rank, doc_id, score FROM s QUALIFY rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op3_substring_dedup": OP3, "op9_embedding_near_dedup": OP9, "op5_quality_rules": _op5(), "op10_source_mixing": OP10}
+    return {"op2_line_dedup": OP2, "op3_substring_dedup": OP3, "op9_embedding_near_dedup": OP9, "op5_quality_rules": _op5(), "op10_source_mixing": OP10, "op12_merkle_manifest": OP12, "op13_lexical_search": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, itq, langid, line_dedup, mixing, quality, simhash, substring_index, suffix_tree
+from . import bpe, chat, impact_index, itq, langid, line_dedup, merkle, mixing, quality, simhash, substring_index, suffix_tree, toxicity
 from .common import documents, remainder
 
 
@@ -66,5 +66,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")))
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars", "text")
+    found = F.when(remainder(F.col("doc_id"), 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    rows = docs.select("doc_id", "source", merkle.digest(*values, F.col("text")).alias("leaf"), merkle.digest(*values, found).alias("claim"))
+    return merkle.manifest(rows).drop("source")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return impact_index.ranked(documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
