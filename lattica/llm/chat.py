@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, stored
 
 #: Control strings of the templates that a formatted text may meet. Only "<s>" and "</s>" are used here.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -71,7 +71,8 @@ def formatted(conversations: DataFrame, budget: int = 1024, history: int = 256)
     Null roles and texts are empty; a null conv_id is a conversation like any other, null turns come first. Repeated rows
     are turns of their own; turns equal in turn, role and text are interchangeable. A text of any length is one turn, never cut. Other
     columns take no part, whatever their names; an empty table has no windows. ``loss`` holds spans of ``formatted`` in characters. A window's turns meet in one
-    task; the budget bounds them. Prefix sums never meet in one: blocks of turns are summed first.
+    task; the budget bounds them. Prefix sums never meet in one: blocks of turns are summed first. Turns with their places, and where they are laid, are written once
+    and read from there.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS))
@@ -91,12 +92,14 @@ def formatted(conversations: DataFrame, budget: int = 1024, history: int = 256)
     placed = placed.join(ahead, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select(
         "conv_id", "role", "text", "tokens", "all_tokens", (F.col("turns_ahead") + F.col("nth")).alias("pos"), (F.col("tokens_ahead") + F.coalesce("own", F.lit(0))).alias("start")
     )
+    placed = stored(placed, "turns")
     system = placed.filter((F.col("pos") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("c"), F.col("tokens").alias("system_tokens"))
     laid = placed.select("conv_id", "pos", "start", "tokens", "all_tokens").join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
     laid = laid.withColumn("system_tokens", F.coalesce("system_tokens", F.lit(0)))
     left = F.lit(budget) - F.col("system_tokens")
     laid = laid.withColumn("room", F.greatest(left - history, F.floor(left / 2), F.lit(1)).cast("bigint"))
     laid = laid.withColumn("stretch", F.floor(F.col("start") / F.col("room"))).withColumn("last", F.floor((F.col("start") + F.col("tokens") - 1) / F.col("room")))
+    laid = stored(laid, "laid")
     across = laid.filter("last > stretch").withColumn("before", (F.col("stretch") + 1) * F.col("room") - F.col("start")).withColumn("beyond", F.col("start") + F.col("tokens") - F.col("last") * F.col("room"))
     earlier = across.select(F.col("conv_id").alias("c"), F.col("last").alias("t"), F.col("beyond").alias("beyond_earlier"))
     later = across.select(F.col("conv_id").alias("c"), (F.col("stretch") - 1).alias("t"), F.col("before").alias("before_later"), (F.col("tokens") <= F.col("room")).alias("fits_later"), F.col("beyond").alias("beyond_later"))
@@ -108,6 +111,7 @@ def formatted(conversations: DataFrame, budget: int = 1024, history: int = 256)
     side = F.when(F.col("tokens") > F.col("room"), 1).when(with_last, 0).when(~taken & (F.col("before") <= spare), 2).otherwise(1)
     columns = ["conv_id", "pos", "start", "tokens", "system_tokens", "room", "stretch"]
     laid = laid.filter("last = stretch").select(*columns, (F.col("stretch") * 2).alias("window")).unionByName(met.select(*columns, (F.col("stretch") * 2 + side).alias("window")))
+    laid = stored(laid, "windows")
     windows = laid.groupBy("conv_id", "window").agg(
         F.min("start").alias("first"), F.min("pos").alias("first_pos"), F.sum("tokens").alias("own"), F.max("system_tokens").alias("has_system"), F.max("room").alias("most")
     )
