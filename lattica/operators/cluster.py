@@ -1,4 +1,4 @@
-"""Communities by local moving of nodes, exact for each connected component."""
+"""Communities: local moving of nodes, by component or by rounds, and modularity by levels of contracted graphs."""
 
 from __future__ import annotations
 
@@ -110,6 +110,101 @@ def clusters_by_rounds(g: Graph, resolution: float = 1.0, rounds: int = 30) -> D
     return now.join(heads, "home").select("id", F.col("community").cast("int").alias("community"))
 
 
+def hops_of(g: Graph) -> DataFrame:
+    """(id, o, w): both directions of each edge between known nodes, parallel edges summed; a loop counts twice. A null weight is 1."""
+    known = g.nodes.select("id").distinct()
+    edges = g.edges.select("source", "target", F.coalesce("weight", F.lit(1.0)).alias("w"))
+    for end in ("source", "target"):
+        edges = edges.join(known.withColumnRenamed("id", end), end, "left_semi")
+    ways = F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("o"), "w"), F.struct(F.col("target").alias("id"), F.col("source").alias("o"), "w"))
+    return edges.select(F.explode(ways).alias("e")).select("e.*").groupBy("id", "o").agg(F.sum("w").alias("w"))
+
+
+def modularity(g: Graph, found: DataFrame, resolution: float = 1.0) -> float:
+    """Of communities (id, community): the share of weight inside them less ``resolution`` times what chance would put there; edges are taken both ways."""
+    hops = hops_of(g).join(found.select("id", F.col("community").alias("c")), "id").join(found.select(F.col("id").alias("o"), F.col("community").alias("d")), "o")
+    return _measure(hops.groupBy("c", "d").agg(F.sum("w").alias("w")).select(F.col("c").alias("id"), F.col("d").alias("o"), "w"), resolution)
+
+
+def _measure(hops: DataFrame, resolution: float) -> float:
+    """Modularity of a contracted graph (id, o, w) with a node for each community."""
+    own = hops.groupBy("id").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("id") == F.col("o"), F.col("w"))).alias("inside"))
+    row = own.agg(F.sum("k"), F.sum("inside"), F.sum(F.col("k") * F.col("k"))).first()
+    return (row[1] or 0.0) / row[0] - resolution * row[2] / row[0] ** 2 if row[0] else 0.0
+
+
+def multilevel(g: Graph, resolution: float = 1.0, rounds: int = 16, levels: int = 12, cycles: int = 3, least_gain: float = 1e-5) -> DataFrame:
+    """(id, community): communities of high modularity, by levels, without bringing a component together.
+
+    At each level nodes move by rounds: those of one half, drawn by a hash, each go to the neighbour community that raises modularity most, by the weight of
+    hops into it and its summed degree (two joins and one sum a round). Communities that moves have left in several pieces are split into these, so all are
+    connected. Then each community becomes a node of a smaller weighted graph, and the next level moves those; a level that does not raise modularity by ``least_gain``
+    is undone and ends the cycle. The next cycle moves single nodes again, from the communities found, and goes on from there, as long as that helps. Edges are taken both
+    ways, also in a directed graph. Communities are numbered by the first of their nodes. Nodes without edges are communities of their own; an empty graph gives no rows.
+    """
+    base = stored(hops_of(g), "hops")
+    total = float(base.agg(F.sum("w")).first()[0] or 0.0)
+    home = base.select("id", F.col("id").alias("home")).distinct()
+    best = _measure(base, resolution) if total else 0.0
+    for cycle in range(cycles if total else 0):
+        before, hops, own = best, base, home
+        for level in range(levels):
+            moved = _split(hops, _moved(hops, own, total, resolution, rounds, cycle * levels + level))
+            smaller = _contracted(hops, moved)
+            now = _measure(smaller, resolution)
+            if now < best + least_gain:
+                break
+            if level:
+                moved = stored(home.join(moved.select(F.col("id").alias("home"), F.col("home").alias("to")), "home").select("id", F.col("to").alias("home")), "homes")
+            home, hops, best, own = moved, smaller, now, None
+        if best < before + least_gain:
+            break
+    first = g.nodes.groupBy("id").agg(F.min("ord").alias("ord"))
+    rows = first.join(home, "id", "left").withColumn("home", F.coalesce("home", "id"))
+    heads = numbered(rows.groupBy("home").agg(F.min("ord").alias("first")), "community", "first", "home")
+    return rows.join(heads, "home").select("id", F.col("community").cast("int").alias("community"))
+
+
+def _contracted(hops: DataFrame, home: DataFrame) -> DataFrame:
+    """The graph with a node for each home."""
+    both = hops.join(home.select("id", F.col("home").alias("a")), "id").join(home.select(F.col("id").alias("o"), F.col("home").alias("b")), "o")
+    return stored(both.groupBy("a", "b").agg(F.sum("w").alias("w")).select(F.col("a").alias("id"), F.col("b").alias("o"), "w"), "hops")
+
+
+def _moved(hops: DataFrame, start: DataFrame | None, total: float, resolution: float, rounds: int, level: int) -> DataFrame:
+    """(id, home) of the nodes of ``hops`` after moves by rounds, from the homes of ``start`` (without it, each by itself)."""
+    now = hops.groupBy("id").agg(F.sum("w").alias("k"))
+    now = stored(now.withColumn("home", F.col("id")) if start is None else now.join(start, "id"), "homes")
+    others, still, nodes = hops.filter("id <> o"), 0, now.count()
+    for r in range(rounds):
+        sums = now.groupBy("home").agg(F.sum("k").alias("tot"), F.count("*").alias("members"))
+        drawn = now.filter(F.pmod(F.xxhash64("id", F.lit(level), F.lit(r // 2)), F.lit(2)) == r % 2)
+        at = now.select(F.col("id").alias("o"), F.col("home").alias("to"))
+        pull = others.join(at, "o").groupBy("id", "to").agg(F.sum("w").alias("w"))
+        pull = drawn.join(pull, "id").unionByName(drawn.withColumn("to", F.col("home")).withColumn("w", F.lit(0.0)))
+        pull = pull.groupBy("id", "k", "home", "to").agg(F.sum("w").alias("w")).join(sums.withColumnRenamed("home", "to"), "to")
+        stays = F.col("to") == F.col("home")
+        rest = F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)
+        pull = pull.withColumn("gain", F.col("w") - resolution * F.col("k") * rest / total)
+        best = pull.groupBy("id", "home").agg(F.max_by(F.struct("to", "gain", "members"), F.struct("gain", "to")).alias("best"), F.max(F.when(stays, F.col("gain"))).alias("here"), F.max(F.when(stays, F.col("members"))).alias("alone"))
+        swap = (F.col("alone") == 1) & (F.col("best.members") == 1) & (F.col("best.to") > F.col("home"))  # two single nodes would change places
+        goes = best.filter((F.col("best.gain") > F.col("here") + 1e-12) & ~swap).select("id", F.col("best.to").alias("new"))
+        after = stored(now.join(goes, "id", "left"), "homes")
+        gone = after.filter("new IS NOT NULL").count()
+        now = after.select("id", "k", F.coalesce("new", "home").alias("home"))
+        still = 0 if gone * 1000 > nodes else still + 1
+        if still == 2:
+            break
+    return now.select("id", "home")
+
+
+def _split(hops: DataFrame, moved: DataFrame) -> DataFrame:
+    """(id, home) with each community's connected pieces apart, named by their least node."""
+    inside = hops.filter("id < o").join(moved, "id").join(moved.select(F.col("id").alias("o"), F.col("home").alias("other")), "o").filter("home = other")
+    pieces = component_of(Graph(moved.select("id"), inside.select(F.col("id").alias("source"), F.col("o").alias("target"))))
+    return stored(pieces.select("id", F.col("component").alias("home")), "homes")
+
+
 def modularity_gain(g: Graph, node: str, community: int) -> DataFrame:
     """Gain of moving ``node`` into ``community``: (weight of edges with an end there - degree squared) / (4 (W / 2)^2); 0 if it is there."""
     inside = g.nodes.filter(F.col("community") == community).select("id")

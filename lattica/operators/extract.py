@@ -202,7 +202,7 @@ def answer_rows(answers: DataFrame) -> DataFrame:
     item = "id string, label string, type string, confidence string"
     schema = f"id string, nodes array<struct<{item.replace(' string', ':string')}>>, edges array<struct<source:string,target:string,label:string,confidence:string>>"
     out = answers.withColumn("doc", F.from_json("answer", schema))
-    rows = out.select("hash", F.col("doc.id").alias("doc"), F.col("doc.nodes").alias("nodes"), F.col("doc.edges").alias("edges"), (F.col("doc").isNull() | F.col("answer").isNull()).alias("odd"))
+    rows = out.select("hash", F.col("doc.id").alias("doc"), F.col("doc.nodes").alias("nodes"), F.col("doc.edges").alias("edges"), (F.col("doc").isNull() | F.get_json_object("answer", "$").isNull()).alias("odd"))
     blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
     bad_node = F.exists("nodes", lambda n: blank(n["id"]) | blank(n["type"]) | n["label"].isNull())
     bad_edge = F.exists("edges", lambda e: blank(e["source"]) | blank(e["target"]) | blank(e["label"]))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import class_tokens, next_version, occurrences, revised_prompt, substring_difference, tokens
 
+from .substrings import contained
+
 FAILS_BELOW = 0.6
 
 
@@ -98,23 +100,13 @@ def impact() -> Column:
     return F.lit(0.1) + F.when(F.col("tier") < 3, 0.15).otherwise(0.0) + F.when(~F.col("in_wiki"), 0.2).otherwise(0.0) + F.when(F.col("tokens") > 40000, 0.1).otherwise(0.0)
 
 
-def parts_of(longer: DataFrame, text: str, shorter: DataFrame, part: str) -> DataFrame:
-    """(text, part): values of ``longer`` and the values of ``shorter`` they hold, by an equi-join over the stretches of each text that have the
-    length of a part (as many lengths as there are)."""
-    lengths = F.array(*[F.lit(r[0]) for r in shorter.select(F.length(part)).filter(F.length(part) > 0).distinct().collect()] or [F.lit(1)])
-    spots = longer.select(text, F.explode(lengths).alias("_n")).filter(F.col("_n") <= F.length(text))
-    spots = spots.select(text, "_n", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)).alias("_i"))
-    found = spots.select(text, F.substr(F.col(text), F.col("_i"), F.col("_n")).alias("_part")).distinct()
-    return found.join(shorter.select(F.col(part).alias("_p")), F.col("_part") == F.col("_p")).select(text, F.col("_p").alias(part))
-
-
 def missing_elements(parsed: DataFrame, modelled: DataFrame) -> DataFrame:
     """Labels of ``parsed`` that no label of ``modelled`` equals or contains, or is contained in, without punctuation."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     b = modelled.select(plain(F.col("label")).alias("m")).filter("m <> ''").distinct()
     a = parsed.select("label", plain(F.col("label")).alias("p"))
     own = a.select("p").filter("p <> ''").distinct()
-    known = parts_of(own, "p", b, "m").select("p").union(parts_of(b, "m", own, "p").select("p")).distinct()
+    known = contained(own, "p", b, "m").select("p").union(contained(b, "m", own, "p").select("p")).distinct()
     blank = modelled.filter(plain(F.col("label")) != "").limit(1).select(F.lit("").alias("p"))
     return a.join(known.union(blank), "p", "left_anti").select("label")
 

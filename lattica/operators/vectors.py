@@ -46,18 +46,102 @@ def embedding_text() -> Column:
     return F.concat("label", F.lit(" ["), "type", F.lit("]"))
 
 
+#: Vectors of a block, pivots against which blocks are measured, and vectors from which the pivots are drawn.
+BLOCK, PIVOTS, DRAWN = 1024, 16, 2048
+
+
+def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): pairs of ``left`` and ``right`` (id, kind, x, ord) of one kind, the left one before the right one by ord, whose cosine is ``threshold`` or more.
+
+    An exact join by blocks. A few vectors are pivots; each vector goes to the cell of the pivot at the least angle, and cells are dealt into blocks of about BLOCK
+    vectors, however many a kind or cell has. A block knows the range of its vectors' angles to every pivot. By the triangle inequality two vectors whose angles to one pivot differ by
+    more than the threshold's angle are not similar, so two blocks meet only if their ranges come that near at all pivots; blocks that meet are multiplied as matrices,
+    a pair of blocks at a time. Pairs of blocks are few (a row each); a vector is sent as often as its block meets another. Vectors of other lengths than their
+    partner's are an error; zero vectors have a cosine of 0, null ones no partner.
+    """
+    import numpy as np
+
+    spark = left.sparkSession
+    rows = [stored(side.select("id", "kind", F.col("x").cast("array<double>").alias("x"), "ord").filter("x IS NOT NULL"), "vectors") for side in (left, right)]
+    sample = rows[1].select("x").orderBy(F.xxhash64("id")).limit(DRAWN).toPandas().x.tolist()  # DRAWN rows at most
+    size = max(map(len, sample), default=1)
+    pivots = spread(np.array([x for x in sample if len(x) == size], float).reshape(-1, size), PIVOTS)
+    near = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6 if threshold > 0 else np.pi
+    blocks = [_celled(side, pivots) for side in rows]
+    ranges = []
+    for cells, end in zip(blocks, ("l", "r"), strict=True):
+        angles = [F.struct(F.min(F.col("angles")[i]).alias("low"), F.max(F.col("angles")[i]).alias("high")) for i in range(len(pivots))]
+        ranges.append(cells.groupBy("kind", "cell", "salt").agg(F.array(*angles).alias(f"{end}_range"), F.min("ord").alias(f"{end}_first"), F.max("ord").alias(f"{end}_last")).withColumnsRenamed({"cell": f"{end}_cell", "salt": f"{end}_salt"}))
+    far = lambda p: (p["l_range"]["low"] > p["r_range"]["high"] + near) | (p["r_range"]["low"] > p["l_range"]["high"] + near)
+    apart = F.exists(F.arrays_zip("l_range", "r_range"), far) if len(pivots) else F.lit(False)
+    meet = ranges[0].join(ranges[1], "kind").filter((F.col("l_first") < F.col("r_last")) & ~apart)
+    meet = stored(meet.select("kind", "l_cell", "l_salt", "r_cell", "r_salt", F.monotonically_increasing_id().alias("task")), "meet")
+    sent = []
+    for cells, end in zip(blocks, ("l", "r"), strict=True):
+        to = meet.select("kind", F.col(f"{end}_cell").alias("cell"), F.col(f"{end}_salt").alias("salt"), "task")
+        sent.append(cells.join(to, ["kind", "cell", "salt"]).select("task", F.lit(end == "l").alias("side"), "id", "ord", "x"))
+    kind = left.schema["id"].dataType.simpleString()
+
+    def compared(pdf):
+        import pandas as pd
+
+        a, b = pdf[pdf.side], pdf[~pdf.side]
+        if pdf.x.map(len).nunique() > 1:
+            raise ValueError("vectors differ in length")
+        x, y = np.array(a.x.tolist(), float), np.array(b.x.tolist(), float)
+        norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+        cos = np.where(norm == 0, 0.0, x @ y.T / np.where(norm == 0, 1, norm))
+        i, j = np.nonzero((cos >= threshold) & (a.ord.to_numpy()[:, None] < b.ord.to_numpy()[None, :]))
+        return pd.DataFrame({"a": a.id.to_numpy()[i], "b": b.id.to_numpy()[j], "ao": a.ord.to_numpy()[i], "bo": b.ord.to_numpy()[j], "similarity": cos[i, j]})
+
+    return sent[0].unionByName(sent[1]).groupBy("task").applyInPandas(compared, f"a {kind}, b {kind}, ao long, bo long, similarity double")
+
+
+def spread(sample, count: int):
+    """``count`` of the vectors of ``sample``, each the one farthest by angle from those before it; zero vectors are none."""
+    import numpy as np
+
+    norm = np.linalg.norm(sample, axis=1)
+    unit = sample[norm > 0] / norm[norm > 0][:, None]
+    if not len(unit):
+        return unit
+    taken, most = [0], unit @ unit[0]
+    while len(taken) < min(count, len(unit)):
+        taken.append(int(most.argmin()))
+        most = np.maximum(most, unit @ unit[taken[-1]])
+    return unit[taken]
+
+
+def _celled(rows: DataFrame, pivots) -> DataFrame:
+    """``rows`` with the angles to all pivots, the cell (the nearest pivot) and salt, that deals each kind's cells into blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    def measure(batches):
+        for batch in batches:
+            x = batch.column("x").to_pylist()
+            angles = np.full((len(x), len(pivots)), np.pi / 2)
+            for i, v in enumerate(x):
+                n = np.linalg.norm(v)
+                if len(pivots) and len(v) == pivots.shape[1] and n > 0:
+                    angles[i] = np.arccos(np.clip(pivots @ np.array(v) / n, -1, 1))
+            cell = angles.argmin(axis=1) if len(pivots) else np.zeros(len(x), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(angles), pa.list_(pa.float64())), pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "angles", "cell"])
+
+    out = stored(rows.mapInArrow(measure, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("angles array<double>, cell int").fields])), "cells")
+    sizes = out.groupBy("kind", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return stored(out.join(sizes, ["kind", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"), "blocks")
+
+
 def candidates(nodes: DataFrame, threshold: float = 0.85, most: int = 50, compatible: list[tuple[str, str]] = ()) -> DataFrame:
     """(a, b, similarity, ao, nth): pairs of nodes (id, type, embedding, ord) of equal or compatible type and a cosine of
     ``threshold`` or more that are among the best ``most`` of either node (ties by order). ``ao`` and ``nth`` say where the pair is first met: the
-    order of the node and the pair's rank there. The join is on the type, so it is dealt out by it; each pair is measured once."""
+    order of the node and the pair's rank there. Pairs come from ``similar``, each measured once."""
     spark = nodes.sparkSession
-    kinds = spark.createDataFrame([p for a, b in compatible for p in ((a, b), (b, a))], "type string, kind string")
-    keyed = nodes.select("id", "embedding", "ord", F.col("type").alias("kind"))
-    wide = nodes.select("id", "embedding", "ord", "type").withColumn("kind", F.col("type"))
-    wide = wide.unionByName(nodes.select("id", "embedding", "ord", "type").join(F.broadcast(kinds), "type"))
-    left = wide.select(F.col("id").alias("a"), F.col("embedding").alias("x"), F.col("ord").alias("ao"), "kind")
-    right = keyed.select(F.col("id").alias("b"), F.col("embedding").alias("y"), F.col("ord").alias("bo"), "kind")
-    pairs = left.join(right, "kind").filter("ao < bo").withColumn("similarity", cosine(F.col("x"), F.col("y"))).filter(F.col("similarity") >= threshold).select("a", "b", "ao", "bo", "similarity")
+    kinds = stored(spark.createDataFrame([p for a, b in compatible for p in ((a, b), (b, a))], "type string, kind string"), "kinds")
+    keyed = nodes.select("id", F.col("embedding").alias("x"), "ord", F.col("type").alias("kind"))
+    wide = keyed.unionByName(nodes.join(kinds, "type").select("id", F.col("embedding").alias("x"), "ord", "kind")) if compatible else keyed
+    pairs = stored(similar(wide, keyed, threshold).distinct() if compatible else similar(wide, keyed, threshold), "similar")
     ways = F.array(F.struct("a", "b", "ao", "bo", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("bo").alias("ao"), F.col("ao").alias("bo"), "similarity"))
     ways = pairs.select(F.explode(ways).alias("w")).select("w.*")
     best = ways.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "bo"))).filter(F.col("nth") <= most)
@@ -78,32 +162,62 @@ def boosted(pairs: DataFrame, edges: DataFrame, above: float = 0.3) -> DataFrame
     return out.withColumn("boosted", F.when(F.col("overlap") > above, lifted).otherwise(F.col("similarity"))).drop("na", "nb")
 
 
-def merges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+#: Pairs of a component of undecided pairs up to which one task settles it.
+SETTLED = 100_000
+
+
+def merges(pairs: DataFrame, nodes: DataFrame, settled: int = SETTLED) -> DataFrame:
     """(merged_id, absorbed_id, similarity): pairs taken in candidate order, skipping nodes that were absorbed; the survivor has as
-    many or more provenances, the smaller id on a tie. What is skipped depends on pairs connected to it only, so each
-    connected component of the pairs is settled on its own."""
+    many or more provenances, the smaller id on a tie.
+
+    In rounds, all at once: a pair that is the first undecided one at both its ends is taken, as it would be in order, since all that stands before it at either
+    end is decided; then the pairs at absorbed nodes are out. What is still undecided after two rounds falls into components that do not bear on each other; those
+    of up to ``settled`` pairs are settled in order, each in one task, and larger ones go on by rounds. No larger component is ever brought together.
+    """
     from .cluster import component_of
 
-    pairs = stored(pairs, "pairs")
     n = nodes.select("id", F.coalesce(F.size("provenance"), F.lit(0)).alias("n"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    part = component_of(Graph(ends, pairs.select(F.col("a").alias("source"), F.col("b").alias("target"))))
     rows = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    rows = rows.join(part.select(F.col("id").alias("a"), "component"), "a")
-
-    def greedy(pdf):
-        import pandas as pd
-
-        gone, out = set(), []
-        for r in pdf.sort_values(["ao", "nth", "a", "b"]).itertuples():
-            if r.a in gone or r.b in gone:
-                continue
-            keep, drop = (r.a, r.b) if r.na >= r.nb else (r.b, r.a)
-            gone.add(drop)
-            out.append((keep, drop, r.similarity))
-        return pd.DataFrame(out, columns=["merged_id", "absorbed_id", "similarity"])
-
-    return rows.groupBy("component").applyInPandas(greedy, "merged_id string, absorbed_id string, similarity double")
+    left = stored(rows.select("a", "b", "similarity", F.struct("ao", "nth", "a", "b").alias("place"), (F.col("na") >= F.col("nb")).alias("keeps")), "undecided")
+    taken = []
+    while left.head(1):
+        for _ in range(2):
+            firsts = stored(left.select(F.explode(F.array("a", "b")).alias("id"), "place").groupBy("id").agg(F.min("place").alias("first")), "firsts")
+            at = lambda end, f=firsts: f.select(F.col("id").alias(end), F.col("first").alias(f"{end}_first"))
+            marked = left.join(at("a"), "a").join(at("b"), "b").withColumn("taken", (F.col("place") == F.col("a_first")) & (F.col("place") == F.col("b_first")))
+            marked = stored(marked.drop("a_first", "b_first"), "marked")
+            taken.append(marked.filter("taken").select("a", "b", "similarity", "keeps"))
+            gone = stored(marked.filter("taken").select(F.when(F.col("keeps"), F.col("b")).otherwise(F.col("a")).alias("id")), "absorbed")
+            left = marked.filter("NOT taken").drop("taken")
+            for end in ("a", "b"):
+                left = left.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+            left = stored(left, "undecided")
+        if not left.head(1):
+            break
+        ends = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        part = component_of(Graph(ends, left.select(F.col("a").alias("source"), F.col("b").alias("target"))))
+        parted = left.join(part.select(F.col("id").alias("a"), "component"), "a")
+        sizes = parted.groupBy("component").agg((F.count("*") <= settled).alias("small"))
+        parted = stored(parted.join(sizes, "component"), "parted")
+        taken.append(parted.filter("small").groupBy("component").applyInPandas(_in_order, "a string, b string, similarity double, keeps boolean"))
+        left = parted.filter("NOT small").drop("component", "small")
+    out = nodes.sparkSession.createDataFrame([], "a string, b string, similarity double, keeps boolean")
+    for t in taken:
+        out = out.unionByName(t)
+    keep, drop = F.when(F.col("keeps"), F.col("a")).otherwise(F.col("b")), F.when(F.col("keeps"), F.col("b")).otherwise(F.col("a"))
+    return out.select(keep.alias("merged_id"), drop.alias("absorbed_id"), "similarity")
+
+
+def _in_order(pdf):
+    """The pairs of one component that are taken, in order."""
+    gone, out = set(), []
+    order = sorted(range(len(pdf)), key=lambda i: tuple(pdf.place.iloc[i].values()))
+    a, b, keeps = pdf.a.tolist(), pdf.b.tolist(), pdf.keeps.tolist()
+    for i in order:
+        if a[i] not in gone and b[i] not in gone:
+            gone.add(b[i] if keeps[i] else a[i])
+            out.append(i)
+    return pdf.iloc[out][["a", "b", "similarity", "keeps"]]
 
 
 def redirects(merged: DataFrame, edges: DataFrame) -> DataFrame:

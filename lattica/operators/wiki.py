@@ -9,7 +9,7 @@ from lattica.functions.text import section_header
 from lattica.model import Graph, numbered
 
 from . import stats
-from .refine import parts_of
+from .substrings import contained
 
 
 def _joined(order: str, text: Column, by: str = "\n") -> Column:
@@ -187,7 +187,7 @@ def undocumented(exports: DataFrame, spec: DataFrame) -> DataFrame:
     names = F.regexp_extract_all("text", F.lit(r"export\s+(?:async\s+)?(?:function|class|const|interface|type)\s+(\w+)"), F.lit(1))
     found = exports.select("file", F.explode(names).alias("name")).distinct()
     words = spec.select(F.explode(F.split("text", r"\W+")).alias("word")).filter("word <> ''").distinct()
-    said = parts_of(words, "word", found.select("name").distinct(), "name").select("name").distinct()
+    said = contained(words, "word", found.select("name").distinct(), "name").select("name").distinct()
     return found.join(said, "name", "left_anti").select("file", "name")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("trade", "graph", "walks", "texts", "more", "pages", "fixtures")
+FAMILIES = ("trade", "graph", "walks", "texts", "more", "pages", "scale", "derived")
 
 
 def load() -> None:

@@ -19,18 +19,22 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tf.html_title(F.col("html")).alias("title"))
 
 
-def _html_sql() -> str:
-    out = "html"
-    for pattern, by in tf.HTML_STEPS:
-        out = f"regexp_replace({out}, '{pattern.replace(chr(92) + 's', '[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'f' + chr(92) + 'v]')}', '{by}', 'g')"
-    return f"SELECT page_id, sha256(trim({out})) AS text_hash FROM pages"
+#: The text of a page in SQL, written from the rule by itself.
+PAGE_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+'<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<noscript[^>]*>.*?</noscript>', '', 'gis'), '<!--.*?-->', '', 'gs'), '<[^>]+>', ' ', 'g'),
+'&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\r\f\v]+', ' ', 'g'))"""
 
 
-@query("html_text", _html_sql())
+@query("html_text", f"SELECT page_id, sha256({PAGE_TEXT}) AS text_hash FROM pages")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(tf.html_text(F.col("html")), 256).alias("text_hash"))
 
 
+@query("page_description", f"SELECT page_id, sha256(substr({PAGE_TEXT}, 1, 500)) AS description FROM pages")
+def page_description(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(tf.description(tf.html_text(F.col("html"))), 256).alias("description"))
+
+
 @query("page_links", """SELECT url AS source, link AS target, count(*) AS n FROM (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) x GROUP BY url, link""")
 def page_links(spark, sf_dir):
     found = table(spark, sf_dir, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))

@@ -1,11 +1,10 @@
-"""Queries over small literal inputs, each with the rows it must give: operators whose input is none of the tables."""
+"""Operators over small literal inputs, each with the rows it must give, stated in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.catalog import query
 from lattica.functions import files as ff
 from lattica.functions import text as tf
 from lattica.model import Graph, scratch
@@ -14,6 +13,21 @@ from lattica.service import Engine
 from lattica.sources import readers
 from lattica.streaming import events as ev
 
+CASES: dict = {}
+
+
+def query(name: str, sql: str):
+    """A case: a function of a session that gives the rows which ``sql`` states."""
+
+    def put(f):
+        if name in CASES:
+            raise ValueError(f"two cases are named {name}")
+        CASES[name] = f, sql
+        return f
+
+    return put
+
+
 SQL_TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -401,11 +415,6 @@ def page_meta(spark, sf_dir):
     return rows.select(tf.html_title(F.col("html")).alias("title"), tf.og(F.col("html"), "og:description").alias("description"), tf.og(F.col("html"), "author").alias("author"), tf.tweet_id(F.col("url")).alias("tweet"))
 
 
-@query("page_description", r"SELECT page_id, sha256(substr(t, 1, 500)) AS description FROM (SELECT page_id, x AS t FROM (SELECT page_id, HTML AS x FROM pages) y) z")
-def page_description(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.sha2(tf.description(F.col("html")), 256).alias("description"))
-
-
 @query("import_names", must_be("t string, names string", [("import os, sys", "os,sys"), ("import { A, B } from './x/y'", "A,B,y"), ('use "net/http";', "http")]))
 def import_names(spark, sf_dir):
     return one(spark, "t string", ("import os, sys",), ("import { A, B } from './x/y'",), ('use "net/http";',)).select("t", F.array_join(extract.import_names(F.col("t")), ",").alias("names"))
