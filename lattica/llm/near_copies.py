@@ -1,8 +1,9 @@
 """Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Candidates are texts whose SimHashes differ in RADIUS bits or fewer; a covering of masks makes every such pair meet, and each candidate is
-verified by the exact similarity. The candidates' SimHash is one of two-word shingles: a changed word spoils two of them instead of five, so that
-texts at a similarity of 0.8 differ in 5 bits of 64 on average instead of 10, and RADIUS reaches them.
+verified by the exact similarity. The candidates' SimHash is one of two-word shingles: a changed word spoils two of them instead of five. Pairs of
+that similarity may still differ in more bits, most of all where a whole passage was added, removed or replaced. They are found exactly: two sets
+of a similarity of 0.8 share one of the first fifth of their shingles, in any order that is the same for all sets.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 from .common import chunks, dropped, mapped, stored
 from .components import components
 from .simhash import covering_masks, with_components
-from .substring_index import _mixed, word_hashes
+from .substring_index import _marked, _mixed, word_hashes
 
 #: Words of a shingle for the similarity and for the SimHash; bits within which pairs are sure to meet, and parts of the SimHash.
 WIDTH, SKETCH = 5, 2
-RADIUS, PARTS = 11, 2
+RADIUS, PARTS = 7, 2
 
 #: Rows of a bucket up to which its pairs are compared one by one at once, pairs for each of its rows up to which they are given, and rounds
 #: of heads for buckets beyond either.
@@ -168,7 +169,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 #: Bits of a shingle's hash by which it is counted.
-SLOT_BITS = 20
+SLOT_BITS = 18
 
 #: Longs of the bitmap of a shingle set. Two sets differ in as many shingles as their bitmaps do in bits, or in more.
 MAP_LONGS = 16
@@ -214,8 +215,8 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.filter(F.col("c") != F.col("d")).select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
 
 
-def _other(rows: DataFrame, key: str, more: list[str] = ()) -> DataFrame:
-    return rows.select(key, F.col("fp").alias("v"), F.col("sim").alias("s"), F.col("c").alias("d"), *[F.col(m).alias(f"o{m}") for m in more])
+def _other(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.col("fp").alias("v"), F.col("sim").alias("s"), F.col("c").alias("d"))
 
 
 def _near() -> Column:
@@ -223,42 +224,50 @@ def _near() -> Column:
 
 
 def linked(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(node, component) of the distinct ``fp`` that are similar to another one, among those within RADIUS bits.
+    """(node, component) of the distinct ``fp`` that are similar to another one.
 
-    All pairs of small buckets are compared. A large or dense bucket is one of a group of near copies, or of very many texts. There every row
-    is first compared with the row nearest to the bucket's majority of bits, which joins most of a group to what it was copied from; in
-    the next round, with the one among the rows outside the bucket's largest component. Of buckets that still hold several components, what is left
-    (``_prefix_pairs``) is found by shared rare shingles, which two sets of that similarity must have; nothing is left out, and no bucket is paired off.
+    All pairs of small buckets are compared. A large or dense bucket is one of a group of near copies, or of very many texts. There every text, in the
+    largest such bucket that it lies in, is compared with the text nearest to the bucket's majority of bits, which joins most of a group to
+    what it was copied from; in the next round, with the one among those outside the bucket's largest component. What is similar to a text of another component
+    then (``_prefix_pairs``) is found by shared rare shingles, which two sets of that similarity must have; nothing is left out, and no bucket is paired off.
     """
-    classes = prints.filter("n >= 4").groupBy("fp").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "mark")).alias("p"))
-    classes = stored(classes, "classes")
-    seen = stored(bucketed(keyed(classes)), "seen")
+    classes = stored(prints.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("p")), "classes")
+    seen = stored(bucketed(keyed(classes.filter("n >= 4"))), "seen")
     pairs = stored(seen.filter("key IS NULL").select("u", "v").distinct(), "pairs")
     large = seen.filter("key IS NOT NULL").select("key", "fp", "sim")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("f")).unionByName(large.select(F.col("fp").alias("f")).distinct()).distinct()
-    places = stored(classes.join(wanted, F.col("fp") == F.col("f")).select("p.doc_id", "p.mark", "fp"), "places")
-    sets = stored(shingle_sets(docs, places), "sets")
+    sets = _sets_of(docs, classes, wanted)
     links = stored(similar(pairs, sets), "similar")
     found = components(links)
-    if large.head(1):
-        for k in range(ROUNDS + 1):
-            found = stored(found, "found")
-            part = large.join(found.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-            part = stored(part, "part")
-            sizes = part.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("several")).filter("several > 1")
-            open_ = stored(part.join(stored(sizes, "sizes"), "key"), "open")
-            if k < ROUNDS:
-                rest = open_.filter("c <> main") if k else open_
-                tried = _pairs(open_.join(_other(_foremost(rest), "key"), "key").filter(_near()))
-            else:
-                tried = _prefix_pairs(open_.select("fp", "sim", "c").distinct(), sets)
-            links = links.unionByName(stored(similar(stored(tried, "tried"), sets), "similar"))
-            found = components(links)
-    for t in (classes, seen, pairs, places):
+    for k in range(ROUNDS if large.head(1) else 0):
+        found = stored(found, "found")
+        part = stored(_with_component(large, found), "part")
+        sizes = part.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("size"), F.count("*").alias("several")).filter("several > 1")
+        open_ = stored(part.join(stored(sizes, "sizes"), "key"), "open")
+        widest = open_.groupBy("fp").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
+        open_ = stored(open_.join(widest, ["fp", "key"]), "open")
+        rest = open_.filter("c <> main") if k else open_
+        tried = _pairs(open_.join(_other(_foremost(rest), "key"), "key").filter(_near()))
+        links = links.unionByName(stored(similar(stored(tried, "tried"), sets), "similar"))
+        found = components(links)
+    last = _prefix_pairs(docs, prints, classes, stored(found, "found"))
+    if last is not None:
+        found = components(links.unionByName(last))
+    for t in (classes, seen, pairs):
         dropped(t)
     return found
 
 
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The shingle sets of the classes in ``wanted`` (f)."""
+    places = stored(classes.join(wanted, F.col("fp") == F.col("f")).select("p.doc_id", "p.mark", "fp"), "places")
+    return stored(shingle_sets(docs, places), "sets")
+
+
 def _foremost(rows: DataFrame) -> DataFrame:
     """Of each bucket the row (key, fp, sim, c) nearest to the bucket's majority of bits."""
     bit = lambda i: F.shiftrightunsigned("sim", i).bitwiseAND(F.lit(1))
@@ -271,48 +280,75 @@ def _foremost(rows: DataFrame) -> DataFrame:
     return rows.join(codes, "key").groupBy("key").agg(F.min(F.struct(away.alias("away"), "fp", "sim", "c")).alias("h")).select("key", "h.fp", "h.sim", "h.c")
 
 
-def _prefix_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of rows (fp, sim, c) of different components that may be similar: they share one of the rarest shingles of either.
+def _prefix_pairs(docs: DataFrame, prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame | None:
+    """All similar pairs (u, v) of texts that no chain of ``found`` links yet, or pairs that link them so; None where no two may be similar.
 
-    Of the shingles of a set of n, in order of how rare their slots (SLOT_BITS bits of the hash, so that the counts are of a bounded size) are among all, the first n - 0.8 n + 1 are looked at: two sets whose similarity is 0.8 or more
-    share at least 0.8 n of them, so a shared one is among these of both. Only rows outside the largest component that holds the shingle meet all others, and
-    only those are pairs whose bitmaps differ in no more bits than their sets may in shingles, a ninth of their sizes together.
+    The shingles of a set are put in order of how often their slots (SLOT_BITS bits of the hash, so that the counts are of a bounded size) occur
+    among all. Of a set of n the first n - 0.8 n + 1 are looked at: two sets whose similarity is 0.8 or more share at least 0.8 n of them, so the first
+    that they share is among these of both. Only shingles seen in two components matter, only rows outside the largest component
+    that holds the shingle meet all others, and only those are pairs whose bitmaps differ in no more bits than their sets may in shingles, a ninth
+    of their sizes together. Exact copies are left out first.
     """
-    whole = stored(crowd.join(sets, "fp"), "crowd")
+    copies = prints.join(classes.select("fp", "p"), "fp").filter(~(F.col("doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("mark") == F.col("p.mark")))).select("doc_id", "mark").distinct()
+    copies, source = stored(copies, "copies"), _text(docs)
+    own = source.join(copies, _same(source, copies), "left_anti").select("_text")
 
-    def count(batches):
+    def sets(batches):
         for batch in batches:
-            hashes = batch.column("hashes").flatten().to_numpy().view(np.uint64)
-            slots, n = np.unique(hashes >> np.uint64(64 - SLOT_BITS), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+            texts = batch.column("_text")
+            for a, b in chunks(texts):
+                yield [shingles(_words(x.as_py()), WIDTH) for x in texts.slice(a, b - a)]
 
-    often = mapped(whole.select("hashes"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    def count(batches):
+        table = np.zeros(1 << SLOT_BITS, np.int64)
+        for some in sets(batches):
+            for x in some:
+                np.add.at(table, (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(table)
+        for k in range(0, len(at), 1 << 16):
+            slots = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(table[slots])], names=["slot", "n"])
+
+    often = mapped(own, count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << SLOT_BITS, np.int64)
     table[often.column("slot").to_numpy()] = often.column("n").to_numpy()
-    shared = crowd.sparkSession.sparkContext.broadcast(table)
-    plain = ["fp", "sim", "c", *_MAPS]
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def prefixes(batches):
         counts = shared.value
-        for batch in batches:
-            which, firsts, sizes = [], [], []
-            for i, own in enumerate(batch.column("hashes")):
-                own = own.values.to_numpy()
-                often = counts[(own.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                first = np.lexsort((own, often))[: len(own) + 1 - -(-4 * len(own) // 5)]
-                first = first[often[first] > 1]
-                which.append(np.full(len(first), i)), firsts.append(own[first]), sizes.append(len(own))
-            at = pa.array(np.concatenate(which)) if which else pa.array([], pa.int64())
-            columns = [batch.column(c).take(at) for c in plain] + [pa.array(np.array(sizes, np.int64)).take(at), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*plain, "n", "h"])
-
-    rows = stored(mapped(whole.select(*plain, "hashes"), prefixes, ", ".join(f"{c} long" for c in [*plain, "n", "h"])), "prefix")
-    main = rows.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("several")).filter("several > 1")
-    rest = rows.join(stored(main, "main"), "h").filter("c <> main").drop("main", "several")
+        for some in sets(batches):
+            some = [x for x in some if len(x) >= 4]  # smaller sets are equal or not similar
+            firsts = []
+            for x in some:
+                order = np.lexsort((x, counts[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+                firsts.append(x[order[: len(x) + 1 - -(-4 * len(x) // 5)]])
+            sizes = np.array([len(x) for x in firsts], np.int64)
+            fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in some], np.uint64).view(np.int64)
+            columns = [np.repeat(fps, sizes), np.repeat(np.array([len(x) for x in some], np.int64), sizes), np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "n", "h"])
+
+    rows = stored(mapped(own, prefixes, "fp long, n long, h long"), "prefix")
+    several = rows.groupBy("h").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("h")
+    few = _marked(rows.withColumnRenamed("h", "mark"), stored(several.withColumnRenamed("h", "m"), "several")).filter("_in")
+    few = stored(_with_component(few.select("fp", "n", F.col("mark").alias("h")), found), "shared")
+    dropped(rows)
+    mixed = few.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("h")
+    open_ = stored(few.join(mixed, "h").select("h", "fp", "n", "c").distinct(), "mixed")
+    dropped(few)
+    wanted = stored(open_.select(F.col("fp").alias("f")).distinct(), "wanted")
+    if not wanted.head(1):
+        return None
+    whole = _sets_of(docs, classes, wanted)
+    main = open_.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("main"))
+    full = stored(open_.join(whole.select("fp", *_MAPS), "fp"), "full")
+    rest = full.join(stored(main, "main"), "h").filter("c <> main").drop("main")
+    other = full.select("h", F.col("fp").alias("v"), F.col("c").alias("d"), F.col("n").alias("on"), *[F.col(m).alias(f"o{m}") for m in _MAPS])
     apart = F.lit(0)
     for m in _MAPS:
         apart = apart + F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m}")))
-    return _pairs(rest.join(_other(rows, "h", ["n", *_MAPS]), "h").filter(_near() & (9 * apart <= F.col("n") + F.col("on"))))
+    sizes = 5 * F.least("n", "on") >= 4 * F.greatest("n", "on")
+    met = rest.join(other, "h").filter((F.col("c") != F.col("d")) & sizes & (9 * apart <= F.col("n") + F.col("on")))
+    return stored(similar(stored(_pairs(met), "tried"), whole), "similar")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

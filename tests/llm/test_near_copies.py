@@ -58,6 +58,41 @@ def test_stage_drops_planted_near_copies(spark, docs, paired, monkeypatch):
     assert len(got) < len(rows) / 3
 
 
+EDITS = ("added", "removed", "replaced", "scattered")
+
+
+def edited(rnd, base, edit, at):
+    """``base`` with one passage or some words changed, so that its similarity to the original is near ``at``."""
+    new = lambda n: [f"x{rnd.randrange(10**6)}" for _ in range(n)]
+    n, copy = len(base) - 4, list(base)
+    if edit == "added":
+        k = max(1, round((n - 4) / at - n - 4))
+        i = rnd.randrange(5, len(base) - 5)
+        return copy[:i] + new(k) + copy[i:]
+    if edit == "scattered":
+        for i in rnd.sample(range(len(copy)), max(1, round(n * (1 - at) / (1 + at) / 5))):
+            copy[i] = new(1)[0]
+        return copy
+    k = max(1, round(n * (1 - at)) - 8) if edit == "removed" else max(1, round(n * (1 - at) / (1 + at)) - 4)
+    i = rnd.randrange(5, len(base) - k - 5)
+    return copy[:i] + (new(k) if edit == "replaced" else []) + copy[i + k :]
+
+
+def test_no_kind_of_edit_escapes(spark, docs):
+    """Passages added, removed or replaced, and scattered words, at similarities from 0.8 up: each pair of 0.8 or more is found, and no other."""
+    rnd, rows, close = random.Random(3), [], {}
+    for edit in EDITS:
+        for at in (0.79, 0.805, 0.81, 0.83, 0.86, 0.92, 0.97):
+            for _ in range(12):
+                base = [f"w{rnd.randrange(9000)}" for _ in range(rnd.randint(60, 500))]
+                k, copy = len(rows), edited(rnd, base, edit, at)
+                rows += [(k, " ".join(base)), (k + 1, " ".join(copy))]
+                close[k + 1] = jaccard(shingle_set(rows[k][1]), shingle_set(rows[k + 1][1]))
+    assert sum(0.8 <= x < 0.85 for x in close.values()) > 60
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(rows), "").select("doc_id").collect()}
+    assert kept == {k for k, _ in rows if close.get(k, 0) < 0.8}
+
+
 def test_odd_rows(spark, docs, odd):
     out = corpus_pipeline.drop_near_copies(spark, docs(odd), "").collect()
     kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out)
