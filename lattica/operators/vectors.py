@@ -62,12 +62,13 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     import numpy as np
 
     spark = left.sparkSession
-    rows = [stored(side.select("id", "kind", F.col("x").cast("array<double>").alias("x"), "ord").filter("x IS NOT NULL"), "vectors") for side in (left, right)]
-    sample = rows[1].select("x").orderBy(F.xxhash64("id")).limit(DRAWN).toPandas().x.tolist()  # DRAWN rows at most
+    sides = [left] if right is left else [left, right]  # one table joined with itself is measured once
+    rows = [stored(side.select("id", "kind", F.col("x").cast("array<double>").alias("x"), "ord").filter("x IS NOT NULL"), "vectors") for side in sides]
+    sample = rows[-1].select("x").orderBy(F.xxhash64("id")).limit(DRAWN).toPandas().x.tolist()  # DRAWN rows at most
     size = max(map(len, sample), default=1)
     pivots = spread(np.array([x for x in sample if len(x) == size], float).reshape(-1, size), PIVOTS)
     near = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6 if threshold > 0 else np.pi
-    blocks = [_celled(side, pivots) for side in rows]
+    blocks = ([_celled(side, pivots) for side in rows] * 2)[:2]
     ranges = []
     for cells, end in zip(blocks, ("l", "r"), strict=True):
         angles = [F.struct(F.min(F.col("angles")[i]).alias("low"), F.max(F.col("angles")[i]).alias("high")) for i in range(len(pivots))]
@@ -129,8 +130,10 @@ def _celled(rows: DataFrame, pivots) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(angles), pa.list_(pa.float64())), pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "angles", "cell"])
 
     out = stored(rows.mapInArrow(measure, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("angles array<double>, cell int").fields])), "cells")
+    kinds = out.groupBy("kind").agg((F.count("*") <= BLOCK).alias("small"))  # a small kind is one block
+    out = out.join(kinds, "kind").withColumn("cell", F.when(F.col("small"), 0).otherwise(F.col("cell"))).drop("small")
     sizes = out.groupBy("kind", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    return stored(out.join(sizes, ["kind", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"), "blocks")
+    return out.join(sizes, ["kind", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
 
 
 def candidates(nodes: DataFrame, threshold: float = 0.85, most: int = 50, compatible: list[tuple[str, str]] = ()) -> DataFrame:
