@@ -22,10 +22,13 @@ BIAS = 1 << BITS
 SAMPLE_ROWS = 40_000
 
 #: Rows of the sample that learn in a row (parts of about so many learn side by side), and how often their states are brought together.
-SHARD_ROWS, ROUNDS = 5_000, 4
+SHARD_ROWS, ROUNDS = 5_000, 6
+
+#: Texts of the sample that must hold a feature for it to be learned: what a text or two hold passes no L1 bound.
+LEAST = 3
 
 #: A text is read in pieces of about so many characters, cut where a word ends.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Distances between the two words of a pair: neighbours, and skip-grams over one and two words.
 GAPS = (1, 2, 3)
@@ -69,25 +72,25 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Ftrl:
-    """State of FTRL-proximal: ``z`` and ``n`` for each slot, the bias last. The learning rate of a coordinate is alpha / (beta + sqrt(n)), and
+    """State of FTRL-proximal: ``z`` and ``n`` for each feature, the bias last. The learning rate of a coordinate is alpha / (beta + sqrt(n)), and
     so its L1 bound grows as l1 * (beta + sqrt(n)): a weight is not zero only where its gradients lean one way by more than chance."""
 
     z: np.ndarray
     n: np.ndarray
-    alpha: float = 5.0
+    alpha: float = 8.0
     beta: float = 1.0
     l1: float = 2.0
     l2: float = 0.01
 
     def weights(self, at) -> np.ndarray:
-        """Weights of slots; those whose ``z`` has not passed the bound are zero. The bias has none."""
+        """Weights of features; those whose ``z`` has not passed the bound are zero. The bias has none."""
         z, n = self.z[at], self.n[at]
-        bound = np.where(at == BIAS, 0.0, self.l1 * (self.beta + np.sqrt(n)))
+        bound = np.where(at == len(self.z) - 1, 0.0, self.l1 * (self.beta + np.sqrt(n)))
         return np.where(np.abs(z) <= bound, 0.0, -(z - np.sign(z) * bound) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def learn(self, at: np.ndarray, label: float) -> None:
-        """One step with a row whose features are the slots ``at``."""
-        at = np.append(at, BIAS)
+        """One step with a row whose features are ``at``."""
+        at = np.append(at, len(self.z) - 1)
         w = self.weights(at)
         g = probability(w.sum()) - label
         n = self.n[at]
@@ -134,59 +137,98 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     """Learn from ``labelled`` rows; equal texts of one label teach once.
 
     The sample is dealt to shards of about SHARD_ROWS by a hash of the text. In each round every shard starts from the common state and passes its rows in an order that
-    the hash gives; what it adds to z and n is then averaged by coordinate. The same rows give the same model. Without a row to learn from
+    a seed draws; what it adds to z and n is then averaged by coordinate. The same rows give the same model. Without a row to learn from
     every score is 0.5.
     """
-    taught = labelled(docs, labels, label, sample_rows).withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])
-
-    def read(batches):
-        for batch in batches:
-            for a, b in chunks(batch.column("text")):
-                part = batch.slice(a, b - a)
-                found = [features(t.as_py().decode("utf-8", "replace")) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["h", "y", "slots"])
-
-    rows = stored(mapped(taught.select("h", "y", F.col("text").cast("binary").alias("text")), read, "h long, y int, slots array<int>"), "toxic")
-    shards = -(-rows.count() // SHARD_ROWS)
-    rows = rows.withColumn("shard", F.pmod("h", F.lit(max(1, shards))).cast("int"))
-    state = Ftrl(np.zeros(BIAS + 1), np.zeros(BIAS + 1))
+    taught = labelled(docs, labels, label, sample_rows).select(F.xxhash64("text").alias("h"), "y", F.col("text").cast("binary").alias("text"))
+    taught = stored(taught, "taught")
+    shards = -(-taught.count() // SHARD_ROWS)
+    often = np.zeros(BIAS, np.int64)
+    for data in mapped(taught.select("text").coalesce(max(1, shards)), _counted, "data binary").toArrow().column("data"):  # as many as shards
+        often += np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=2 * BIAS, codec="zstd"), np.uint16)
+    often = np.where(often < LEAST, 0, often)
+    known = np.flatnonzero(often)
+    kept = docs.sparkSession.sparkContext.broadcast(np.packbits(often > 0))
+    rows = mapped(taught, lambda batches: _read(batches, kept), "h long, y int, slots array<int>").withColumn("shard", F.pmod("h", F.lit(max(1, shards))).cast("int"))
+    rows = stored(mapped(rows.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "h", "y"), _packed, "shard int, y binary, ends binary, slots binary"), "shards")
+    state = Ftrl(np.zeros(len(known) + 1), np.zeros(len(known) + 1))
     for k in range(rounds if shards else 0):
-        shared = docs.sparkSession.sparkContext.broadcast((state.z, state.n))
-        deal = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("h", F.lit(k)), "y")
-        steps = mapped(deal, lambda batches, s=shared: _passed(batches, s), "slot int, dz double, dn double")
-        found = steps.groupBy("slot").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn"), F.count("*").alias("k")).toArrow()
-        shared.unpersist()
-        at, many = found.column("slot").to_numpy(), found.column("k").to_numpy()
+        shared = docs.sparkSession.sparkContext.broadcast((state.z, state.n, k))
+        steps = mapped(rows, lambda batches, s=shared: _passed(batches, s), "feature int, dz double, dn double")
+        found = steps.groupBy("feature").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn"), F.count("*").alias("k")).toArrow()
+        shared.destroy()
+        at, many = found.column("feature").to_numpy(), found.column("k").to_numpy()
         state.z[at] += found.column("dz").to_numpy() / many
         state.n[at] += found.column("dn").to_numpy() / many
-    dropped(rows)
-    weights = state.weights(np.arange(BIAS + 1))
-    at = np.flatnonzero(weights[:BIAS])
-    return Model(at, weights[at], float(weights[BIAS]))
+    dropped(taught), dropped(rows)
+    kept.destroy()
+    weights = state.weights(np.arange(len(known) + 1))
+    at = np.flatnonzero(weights[:-1])
+    return Model(known[at], weights[at], float(weights[-1]))
+
+
+def _texts(batches):
+    """The batches in parts of a bounded size, each with the features of its texts."""
+    for batch in batches:
+        for a, b in chunks(batch.column("text")):
+            part = batch.slice(a, b - a)
+            yield part, [features(t.as_py().decode("utf-8", "replace")) for t in part.column("text")]
+
+
+def _counted(batches):
+    """How many texts hold each slot, in 16 bits, handed on once a task."""
+    table = np.zeros(BIAS, np.int64)
+    for _, found in _texts(batches):
+        for x in found:
+            table[x] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([pa.compress(np.minimum(table, 65_535).astype(np.uint16).tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["data"])
+
+
+def _read(batches, kept):
+    """Rows with those of their features that are frequent enough, numbered among these."""
+    often = np.unpackbits(kept.value)[:BIAS].astype(bool)
+    number = (np.cumsum(often) - 1).astype(np.int32)
+    for part, found in _texts(batches):
+        yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), pa.array([number[x[often[x]]] for x in found], pa.list_(pa.int32()))], names=["h", "y", "slots"])
+
+
+def _packed(batches):
+    """The rows of each shard as one row: labels, where each row's slots end, and the slots. Of equal texts of one label only the first counts."""
+    held, of, last = [], None, None
+
+    def one():
+        y, sizes, slots_ = (np.concatenate(x) for x in zip(*held, strict=True))
+        values = [y.astype(np.int8).tobytes(), np.cumsum(sizes).astype(np.int64).tobytes(), slots_.astype(np.int32).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names=["shard", "y", "ends", "slots"])
+
+    for batch in batches:
+        for i, (shard, *row) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("shard", "h", "y")], strict=True)):
+            if row == last:
+                continue
+            if held and shard != of:
+                yield one()
+                held = []
+            last = row
+            of, own = shard, batch.column("slots")[i].values.to_numpy()
+            held.append((np.array([batch.column("y")[i].as_py()]), np.array([len(own)]), own))
+    if held:
+        yield one()
 
 
 def _passed(batches, shared):
-    """What the rows of each shard add to the common state, a row for each coordinate that they touch."""
-    own, of = None, None
+    """What the rows of each shard add to the common state, a row for each coordinate that they touch; the order of the rows is drawn anew in each round."""
     for batch in batches:
-        ends = batch.column("slots").offsets.to_numpy()
-        flat = batch.column("slots").values.to_numpy()
-        for i, (shard, y) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-            if shard != of:
-                if own:
-                    yield from _added(own, shared.value)
-                own, of = Ftrl(*map(np.copy, shared.value)), shard
-            own.learn(flat[ends[i] : ends[i + 1]], y)
-    if own:
-        yield from _added(own, shared.value)
-
-
-def _added(own: Ftrl, start: tuple[np.ndarray, np.ndarray]):
-    z, n = own.z - start[0], own.n - start[1]
-    at = np.flatnonzero(n)
-    for k in range(0, len(at), 100_000):
-        some = at[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(z[some]), pa.array(n[some])], names=["slot", "dz", "dn"])
+        for i, shard in enumerate(batch.column("shard").to_pylist()):
+            y, ends, flat = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in (("y", np.int8), ("ends", np.int64), ("slots", np.int32)))
+            z, n, k = shared.value
+            own, starts = Ftrl(z.copy(), n.copy()), np.concatenate([[0], ends])
+            for j in np.random.default_rng((k, shard)).permutation(len(y)):
+                own.learn(flat[starts[j] : starts[j + 1]], float(y[j]))
+            dz, dn = own.z - z, own.n - n
+            at = np.flatnonzero(dn)
+            for a in range(0, len(at), 100_000):
+                some = at[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(dz[some]), pa.array(dn[some])], names=["feature", "dz", "dn"])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
