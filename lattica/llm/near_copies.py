@@ -286,8 +286,8 @@ def _prefix_pairs(docs: DataFrame, prints: DataFrame, classes: DataFrame, found:
     The shingles of a set are put in order of how often their slots (SLOT_BITS bits of the hash, so that the counts are of a bounded size) occur
     among all. Of a set of n the first n - 0.8 n + 1 are looked at: two sets whose similarity is 0.8 or more share at least 0.8 n of them, so the first
     that they share is among these of both. Only shingles seen in two components matter, only rows outside the largest component
-    that holds the shingle meet all others, and only those are pairs whose bitmaps differ in no more bits than their sets may in shingles, a ninth
-    of their sizes together. Exact copies are left out first.
+    that holds the shingle meet all others, and only those are pairs that still can share enough if this is the first that they share, and whose bitmaps differ in no more bits than their sets may in
+    shingles, a ninth of their sizes together. Exact copies are left out first.
     """
     copies = prints.join(classes.select("fp", "p"), "fp").filter(~(F.col("doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("mark") == F.col("p.mark")))).select("doc_id", "mark").distinct()
     copies, source = stored(copies, "copies"), _text(docs)
@@ -325,15 +325,16 @@ def _prefix_pairs(docs: DataFrame, prints: DataFrame, classes: DataFrame, found:
             sizes = np.array([len(x) for x in firsts], np.int64)
             fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in some], np.uint64).view(np.int64)
             columns = [np.repeat(fps, sizes), np.repeat(np.array([len(x) for x in some], np.int64), sizes), np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "n", "h"])
+            columns.append(np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in sizes]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "n", "h", "at"])
 
-    rows = stored(mapped(own, prefixes, "fp long, n long, h long"), "prefix")
-    several = rows.groupBy("h").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("h")
+    rows = stored(mapped(own, prefixes, "fp long, n long, h long, at int"), "prefix")
+    several = rows.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
     few = _marked(rows.withColumnRenamed("h", "mark"), stored(several.withColumnRenamed("h", "m"), "several")).filter("_in")
-    few = stored(_with_component(few.select("fp", "n", F.col("mark").alias("h")), found), "shared")
+    few = stored(_with_component(few.select("fp", "n", "at", F.col("mark").alias("h")), found), "shared")
     dropped(rows)
     mixed = few.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("h")
-    open_ = stored(few.join(mixed, "h").select("h", "fp", "n", "c").distinct(), "mixed")
+    open_ = stored(few.join(mixed, "h").select("h", "fp", "n", "at", "c").distinct(), "mixed")
     dropped(few)
     wanted = stored(open_.select(F.col("fp").alias("f")).distinct(), "wanted")
     if not wanted.head(1):
@@ -342,12 +343,13 @@ def _prefix_pairs(docs: DataFrame, prints: DataFrame, classes: DataFrame, found:
     main = open_.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("main"))
     full = stored(open_.join(whole.select("fp", *_MAPS), "fp"), "full")
     rest = full.join(stored(main, "main"), "h").filter("c <> main").drop("main")
-    other = full.select("h", F.col("fp").alias("v"), F.col("c").alias("d"), F.col("n").alias("on"), *[F.col(m).alias(f"o{m}") for m in _MAPS])
+    other = full.select("h", F.col("fp").alias("v"), F.col("c").alias("d"), F.col("n").alias("on"), F.col("at").alias("oat"), *[F.col(m).alias(f"o{m}") for m in _MAPS])
     apart = F.lit(0)
     for m in _MAPS:
         apart = apart + F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m}")))
     sizes = 5 * F.least("n", "on") >= 4 * F.greatest("n", "on")
-    met = rest.join(other, "h").filter((F.col("c") != F.col("d")) & sizes & (9 * apart <= F.col("n") + F.col("on")))
+    reach = 9 * F.least(F.col("n") - F.col("at"), F.col("on") - F.col("oat")) >= 4 * (F.col("n") + F.col("on"))  # if this is the first that they share
+    met = rest.join(other, "h").filter((F.col("c") != F.col("d")) & sizes & reach & (9 * apart <= F.col("n") + F.col("on")))
     return stored(similar(stored(_pairs(met), "tried"), whole), "similar")
 
 
