@@ -154,12 +154,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     state = Ftrl(np.zeros(len(known) + 1), np.zeros(len(known) + 1))
     for k in range(rounds if shards else 0):
         shared = docs.sparkSession.sparkContext.broadcast((state.z, state.n, k))
-        steps = mapped(rows, lambda batches, s=shared: _passed(batches, s), "feature int, dz double, dn double")
-        found = steps.groupBy("feature").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn"), F.count("*").alias("k")).toArrow()
+        found = mapped(rows, lambda batches, s=shared: _passed(batches, s), "shard int, data binary").toArrow().sort_by("shard")
         shared.destroy()
-        at, many = found.column("feature").to_numpy(), found.column("k").to_numpy()
-        state.z[at] += found.column("dz").to_numpy() / many
-        state.n[at] += found.column("dn").to_numpy() / many
+        dz, dn, many = np.zeros(len(state.z)), np.zeros(len(state.z)), np.zeros(len(state.z))
+        for data in found.column("data"):  # a row for each shard, of which the sample's bound allows few
+            own = np.frombuffer(data.as_buffer(), np.float32).reshape(2, -1)
+            dz, dn, many = dz + own[0], dn + own[1], many + (own[1] > 0)
+        state.z += dz / np.maximum(many, 1)
+        state.n += dn / np.maximum(many, 1)
     dropped(taught), dropped(rows)
     kept.destroy()
     weights = state.weights(np.arange(len(known) + 1))
@@ -216,7 +218,7 @@ def _packed(batches):
 
 
 def _passed(batches, shared):
-    """What the rows of each shard add to the common state, a row for each coordinate that they touch; the order of the rows is drawn anew in each round."""
+    """What the rows of each shard add to the common state, z and then n; the order of the rows is drawn anew in each round."""
     for batch in batches:
         for i, shard in enumerate(batch.column("shard").to_pylist()):
             y, ends, flat = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in (("y", np.int8), ("ends", np.int64), ("slots", np.int32)))
@@ -224,11 +226,8 @@ def _passed(batches, shared):
             own, starts = Ftrl(z.copy(), n.copy()), np.concatenate([[0], ends])
             for j in np.random.default_rng((k, shard)).permutation(len(y)):
                 own.learn(flat[starts[j] : starts[j + 1]], float(y[j]))
-            dz, dn = own.z - z, own.n - n
-            at = np.flatnonzero(dn)
-            for a in range(0, len(at), 100_000):
-                some = at[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(dz[some]), pa.array(dn[some])], names=["feature", "dz", "dn"])
+            data = np.stack((own.z - z, own.n - n)).astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], names=["shard", "data"])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
