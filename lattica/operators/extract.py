@@ -13,6 +13,8 @@ from lattica.functions.text import path_slug
 from lattica.model import Graph
 
 MAX_BYTES = 1 << 20
+#: Rows that a task hands on at once.
+CHUNK = 20_000
 OUT = "file string, kind string, id string, label string, type string, source string, target string, relation string, weight double, content string, ord long"
 
 #: Declarations of languages without a parser here: (type, pattern with the name as its group).
@@ -118,19 +120,25 @@ def parsed_code(path: str, text: str, lang: str | None) -> list[tuple]:
     return [module(text[:200]), *rows]
 
 
-def code(files: DataFrame) -> DataFrame:
-    """Rows (OUT) of files (file, text) that have a language here; files over 1 MiB are left out."""
-    rows = files.filter((F.octet_length("text") <= MAX_BYTES) & (extractor(F.col("file")) == "ast")).select("file", "text", language(F.col("file")).alias("lang"))
+def code(files: DataFrame, most: int | None = MAX_BYTES) -> DataFrame:
+    """Rows (OUT) of files (file, text) that have a language here; files over ``most`` bytes (None: no limit) are left out."""
+    fits = F.lit(True) if most is None else F.octet_length("text") <= most
+    rows = files.filter(fits & (extractor(F.col("file")) == "ast")).select("file", "text", language(F.col("file")).alias("lang"))
 
     def run(batches):
         import pandas as pd
 
         names = ["kind", "id", "label", "type", "source", "target", "relation", "weight", "content"]
+        table = lambda out: pd.DataFrame(out, columns=["file", *names, "ord"]).astype({"weight": "float64"})
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                out += [(r.file, *row, i) for i, row in enumerate(parsed_code(r.file, r.text or "", r.lang))]
-            yield pd.DataFrame(out, columns=["file", *names, "ord"]).astype({"weight": "float64"})
+                for i, row in enumerate(parsed_code(r.file, r.text or "", r.lang)):
+                    out.append((r.file, *row, i))
+                    if len(out) == CHUNK:
+                        yield table(out)
+                        out = []
+            yield table(out)
 
     return rows.mapInPandas(run, OUT)
 
@@ -184,9 +192,9 @@ def markdown(files: DataFrame) -> DataFrame:
     return node.unionByName(head_nodes).unionByName(edges(heads, F.col("own"), "defines", 1.0)).unionByName(edges(wiki, aim, "references", 0.8)).unionByName(edges(local, path_slug(F.col("t")), "references", 0.6))
 
 
-def corpus_graph(files: DataFrame) -> Graph:
-    """The graph of a corpus (file, text): code and markdown, every row with the file it comes from; the first of an id wins."""
-    parts = code(files).withColumns({"properties": F.when(F.col("content").isNotNull(), F.create_map(F.lit("content"), F.col("content"))), "provenance": F.array("file")})
+def corpus_graph(files: DataFrame, most: int | None = MAX_BYTES) -> Graph:
+    """The graph of a corpus (file, text): code (files of up to ``most`` bytes) and markdown, every row with the file it comes from; the first of an id wins."""
+    parts = code(files, most).withColumns({"properties": F.when(F.col("content").isNotNull(), F.create_map(F.lit("content"), F.col("content"))), "provenance": F.array("file")})
     rows = parts.unionByName(markdown(files.filter(extractor(F.col("file")) == "frontmatter")).withColumn("ord", F.lit(0).cast("bigint")), allowMissingColumns=True)
     order = F.struct("file", "ord", "id")
     one = lambda kind, *columns: rows.filter(F.col("kind") == kind).groupBy("id").agg(F.min_by(F.struct(*columns), order).alias("r")).select("id", "r.*")

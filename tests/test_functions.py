@@ -105,3 +105,14 @@ def test_streams_match_batches(spark, tmp_path):
     seen = []
     events.apply_changes(spark, stream, lambda b, i: seen.append(b.count()), str(tmp_path / "cp")).awaitTermination(120)
     assert sum(seen) == 40
+
+
+def test_code_over_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(extract, "CHUNK", 1000)
+    n = 30_000
+    files = spark.createDataFrame([("m.py", "class A(B):\n" + "".join(f"    def part{i}(self):\n        return 1\n" for i in range(n)))], "file string, text string")
+    assert files.select(F.octet_length("text")).first()[0] > extract.MAX_BYTES
+    assert extract.code(files).count() == 0
+    rows = extract.code(files, most=None).filter("type = 'function'").select("id", "label").collect()
+    assert {(r.id, r.label) for r in rows} == {(f"m_py-n{i + 2}", f"part{i}") for i in range(n)}
+    assert extract.corpus_graph(files, most=None).nodes.count() == n + 2
