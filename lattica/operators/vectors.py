@@ -89,15 +89,31 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
         a, b = pdf[pdf.side], pdf[~pdf.side]
         if pdf.x.map(len).nunique() > 1:
             raise ValueError("vectors differ in length")
-        x, y = np.array(a.x.tolist(), float), np.array(b.x.tolist(), float)
+        x, y, ao, bo = np.array(a.x.tolist(), float), np.array(b.x.tolist(), float), a.ord.to_numpy(), b.ord.to_numpy()
         norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
-        cos = np.where(norm == 0, 0.0, x @ y.T / np.where(norm == 0, 1, norm))
-        i, j = np.nonzero((cos >= threshold) & (a.ord.to_numpy()[:, None] < b.ord.to_numpy()[None, :]))
-        return pd.DataFrame({"a": a.id.to_numpy()[i], "b": b.id.to_numpy()[j], "ao": a.ord.to_numpy()[i], "bo": b.ord.to_numpy()[j], "similarity": cos[i, j]})
+        i, j = np.nonzero((x @ y.T >= (threshold - 1e-9) * norm) & (ao[:, None] < bo[None, :]))
+        cos = paired(x, y, i, j)
+        i, j, cos = i[cos >= threshold], j[cos >= threshold], cos[cos >= threshold]
+        return pd.DataFrame({"a": a.id.to_numpy()[i], "b": b.id.to_numpy()[j], "ao": ao[i], "bo": bo[j], "similarity": cos})
 
     return sent[0].unionByName(sent[1]).groupBy("task").applyInPandas(compared, f"a {kind}, b {kind}, ao long, bo long, similarity double")
 
 
+def paired(x, y, i, j):
+    """Cosines of the rows ``i`` of x with the rows ``j`` of y, 0 with a zero row. Sums run from the first component to the last, so equal vectors have equal cosines wherever they
+    lie; a product of matrices may differ in the last digit, and ties would be broken by that."""
+    import numpy as np
+
+    one = lambda v: sum((v[:, d] * v[:, d] for d in range(v.shape[1])), np.zeros(len(v)))
+    out, xx, yy = np.empty(len(i)), one(x), one(y)
+    for at in range(0, len(i), 1 << 16):
+        p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        dot = sum((x[p, d] * y[q, d] for d in range(x.shape[1])), np.zeros(len(p)))
+        norm = np.sqrt(xx[p] * yy[q])
+        out[at : at + (1 << 16)] = np.clip(np.where(norm == 0, 0.0, dot / np.where(norm == 0, 1, norm)), -1, 1)
+    return out
+
+
 def spread(sample, count: int):
     """``count`` of the vectors of ``sample``, each the one farthest by angle from those before it; zero vectors are none."""
     import numpy as np
@@ -165,7 +181,7 @@ def boosted(pairs: DataFrame, edges: DataFrame, above: float = 0.3) -> DataFrame
     return out.withColumn("boosted", F.when(F.col("overlap") > above, lifted).otherwise(F.col("similarity"))).drop("na", "nb")
 
 
-#: Pairs of a component of undecided pairs up to which one task settles it.
+#: Undecided pairs up to which one task settles them.
 SETTLED = 100_000
 
 
@@ -173,54 +189,60 @@ def merges(pairs: DataFrame, nodes: DataFrame, settled: int = SETTLED) -> DataFr
     """(merged_id, absorbed_id, similarity): pairs taken in candidate order, skipping nodes that were absorbed; the survivor has as
     many or more provenances, the smaller id on a tie.
 
-    In rounds, all at once: a pair that is the first undecided one at both its ends is taken, as it would be in order, since all that stands before it at either
-    end is decided; then the pairs at absorbed nodes are out. What is still undecided after two rounds falls into components that do not bear on each other; those
-    of up to ``settled`` pairs are settled in order, each in one task, and larger ones go on by rounds. No larger component is ever brought together.
+    In order, a pair absorbs its lesser node unless one of the two has been absorbed before, so a node is absorbed by the first of its pairs whose survivor is still there.
+    In rounds, all at once: a pair is sure if nothing that could absorb its survivor stands before it, and out if something sure does, or if a sure pair absorbs its lesser node before it.
+    One node thus absorbs all that it can in a round. Up to ``settled`` undecided pairs are then settled in order in one task. Where more are left and rounds
+    decide less than half of them, components of undecided pairs of up to ``settled`` are settled, each in one task, and larger ones go on by rounds; no larger one is brought together.
     """
     from .cluster import component_of
 
     n = nodes.select("id", F.coalesce(F.size("provenance"), F.lit(0)).alias("n"))
     rows = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    left = stored(rows.select("a", "b", "similarity", F.struct("ao", "nth", "a", "b").alias("place"), (F.col("na") >= F.col("nb")).alias("keeps")), "undecided")
-    taken = []
-    while left.head(1):
-        for _ in range(2):
-            firsts = stored(left.select(F.explode(F.array("a", "b")).alias("id"), "place").groupBy("id").agg(F.min("place").alias("first")), "firsts")
-            at = lambda end, f=firsts: f.select(F.col("id").alias(end), F.col("first").alias(f"{end}_first"))
-            marked = left.join(at("a"), "a").join(at("b"), "b").withColumn("taken", (F.col("place") == F.col("a_first")) & (F.col("place") == F.col("b_first")))
-            marked = stored(marked.drop("a_first", "b_first"), "marked")
-            taken.append(marked.filter("taken").select("a", "b", "similarity", "keeps"))
-            gone = stored(marked.filter("taken").select(F.when(F.col("keeps"), F.col("b")).otherwise(F.col("a")).alias("id")), "absorbed")
-            left = marked.filter("NOT taken").drop("taken")
-            for end in ("a", "b"):
-                left = left.join(gone.select(F.col("id").alias(end)), end, "left_anti")
-            left = stored(left, "undecided")
-        if not left.head(1):
+    keeps = F.col("na") >= F.col("nb")
+    keep, drop = F.when(keeps, F.col("a")).otherwise(F.col("b")), F.when(keeps, F.col("b")).otherwise(F.col("a"))
+    left = stored(rows.select(keep.alias("keep"), drop.alias("drop"), "similarity", F.struct("ao", "nth", "a", "b").alias("place"), F.lit(False).alias("sure")), "undecided")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields)
+    before, patience, stalled = None, 1, 0
+    while True:
+        first = stored(left.groupBy(F.col("drop").alias("id")).agg(F.min("place").alias("low"), F.min(F.when(F.col("sure"), F.col("place"))).alias("high")), "firsts")
+        marked = left.join(first.select(F.col("id").alias("drop"), F.col("high").alias("end")), "drop").join(first.withColumnRenamed("id", "keep"), "keep", "left")
+        out = (F.col("end") < F.col("place")) | (~F.col("sure") & (F.col("high") < F.col("place")))
+        sure = F.col("sure") | F.col("low").isNull() | (F.col("place") < F.col("low"))
+        left = stored(marked.filter(~F.coalesce(out, F.lit(False))).select("keep", "drop", "similarity", "place", sure.alias("sure")), "undecided")
+        undecided = left.filter("NOT sure").count()
+        if not undecided:
+            break
+        stalled = 0 if before is None or undecided * 2 <= before else stalled + 1
+        before = undecided
+        if undecided > settled and stalled < patience:
+            continue
+        open_ = left.filter("NOT sure")
+        at = open_.select(F.explode(F.array("keep", "drop")).alias("id")).distinct()
+        if undecided <= settled:
+            part = at.withColumn("component", F.lit("")).withColumn("small", F.lit(True))
+        else:
+            part = component_of(Graph(at, open_.select(F.col("keep").alias("source"), F.col("drop").alias("target"))))
+            sizes = open_.join(part.select(F.col("id").alias("drop"), "component"), "drop").groupBy("component").agg((F.count("*") <= settled).alias("small"))
+            part = part.join(sizes, "component")
+        parted = stored(left.join(part.withColumnRenamed("id", "drop"), "drop", "left"), "parted")
+        done = parted.filter("small").groupBy("component").applyInPandas(_in_order, kind)
+        left = stored(parted.filter("small IS NULL OR NOT small").select("keep", "drop", "similarity", "place", "sure").unionByName(done), "undecided")
+        if undecided <= settled:
             break
-        ends = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        part = component_of(Graph(ends, left.select(F.col("a").alias("source"), F.col("b").alias("target"))))
-        parted = left.join(part.select(F.col("id").alias("a"), "component"), "a")
-        sizes = parted.groupBy("component").agg((F.count("*") <= settled).alias("small"))
-        parted = stored(parted.join(sizes, "component"), "parted")
-        taken.append(parted.filter("small").groupBy("component").applyInPandas(_in_order, "a string, b string, similarity double, keeps boolean"))
-        left = parted.filter("NOT small").drop("component", "small")
-    out = nodes.sparkSession.createDataFrame([], "a string, b string, similarity double, keeps boolean")
-    for t in taken:
-        out = out.unionByName(t)
-    keep, drop = F.when(F.col("keeps"), F.col("a")).otherwise(F.col("b")), F.when(F.col("keeps"), F.col("b")).otherwise(F.col("a"))
-    return out.select(keep.alias("merged_id"), drop.alias("absorbed_id"), "similarity")
+        before, patience, stalled = None, patience * 2, 0
+    return left.groupBy("drop").agg(F.min_by(F.struct("keep", "similarity"), "place").alias("by")).select(F.col("by.keep").alias("merged_id"), F.col("drop").alias("absorbed_id"), "by.similarity")
 
 
 def _in_order(pdf):
-    """The pairs of one component that are taken, in order."""
+    """The pairs of one component that are taken, in order; sure ones that absorb a node are among them, whatever their survivor."""
     gone, out = set(), []
-    order = sorted(range(len(pdf)), key=lambda i: tuple(pdf.place.iloc[i].values()))
-    a, b, keeps = pdf.a.tolist(), pdf.b.tolist(), pdf.keeps.tolist()
-    for i in order:
-        if a[i] not in gone and b[i] not in gone:
-            gone.add(b[i] if keeps[i] else a[i])
+    keep, drop, sure = pdf.keep.tolist(), pdf["drop"].tolist(), pdf.sure.tolist()
+    place = [tuple(p.values()) for p in pdf.place]
+    for i in sorted(range(len(pdf)), key=place.__getitem__):
+        if drop[i] not in gone and (sure[i] or keep[i] not in gone):
+            gone.add(drop[i])
             out.append(i)
-    return pdf.iloc[out][["a", "b", "similarity", "keeps"]]
+    return pdf.iloc[out][["keep", "drop", "similarity", "place", "sure"]].assign(sure=True)
 
 
 def redirects(merged: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import catalog
 from lattica.model import Graph
 from lattica.operators import cluster, substrings, traverse, trigrams, vectors, versions
 
@@ -52,6 +53,14 @@ def test_index_of_a_text_in_pieces(monkeypatch):
 # Similar vectors and merges
 
 
+def test_similarity_pairs_of_large_groups(spark, tmp_path):
+    """More than 50 copies of a vector: every pair is given."""
+    rows = [(i, [1.0, 0.5], 1) for i in range(60)] + [(60, [0.9, 0.6], 1), (61, [-1.0, 0.0], 1), (62, [1.0, 0.5], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = [(r.a, r.b) for r in catalog.queries()["similarity_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(out) == sorted(tuple(sorted((str(i), str(j)))) for i, j in combinations(range(61), 2))
+
+
 def some_vectors(spark, rows):
     return spark.createDataFrame([(f"v{i:04}", k, x, i) for i, (k, x) in enumerate(rows)], "id string, kind string, x array<double>, ord long")
 
@@ -134,6 +143,28 @@ def test_a_chain_of_many_pairs(spark):
     assert merged(spark, [], {}) == []
 
 
+def test_one_node_absorbs_many_in_few_rounds(spark, monkeypatch):
+    """Groups of copies, each of which one node absorbs pair by pair."""
+    pairs = [(f"g{g:02}-{i:03}", f"g{g:02}-{j:03}", 1.0, g * 100 + i, j) for g in range(4) for i in range(40) for j in range(i + 1, 40)]
+    steps, stored = [], vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda df, what="": steps.append(what) or stored(df, what))
+    assert merged(spark, pairs, {}, settled=0) == greedy(pairs, {})
+    assert steps.count("firsts") <= 3
+
+
+def test_equal_vectors_have_equal_cosines(spark):
+    x, others = np.random.default_rng(7).normal(size=64).tolist(), np.random.default_rng(8).normal(size=(37, 64)).tolist()
+    rows = [("a", v) for o in others for v in (o, x)]
+    df = some_vectors(spark, rows)
+    found = vectors.similar(df, df, -1.0).collect()
+    by_other = {}
+    for r in found:
+        i, j = int(r.a[1:]), int(r.b[1:])
+        if i % 2 != j % 2:
+            by_other.setdefault(i if j % 2 else j, set()).add(r.similarity)
+    assert len(by_other) == 37 and all(len(v) == 1 for v in by_other.values())
+
+
 # Communities
 
 
