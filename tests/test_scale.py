@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -342,3 +343,13 @@ def test_a_search_opens_the_folders_of_its_grams_only(spark):
     index.add(spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "id long, text string"), "b")
     plan = index.candidates("numb")._jdf.queryExecution().toString()
     assert "PartitionFilters: [part" in plan and "gram" in plan.split("PushedFilters: [")[1].split("]")[0]
+
+
+def test_long_texts_are_indexed_in_linear_time(spark):
+    rnd = random.Random(13)
+    docs = [(i, "".join(rnd.choices("abcdefg", k=600_000))) for i in range(2)] + [(i, "abcdefg") for i in range(2, 500)]
+    index, start = trigrams.TextIndex(spark, parts=4), time.perf_counter()
+    index.add(spark.createDataFrame(docs, "id long, text string"), "b")
+    assert time.perf_counter() - start < 60
+    assert index.postings().count() < 5_000  # a row for each gram of a batch of texts, not for each of a text
+    assert [r.id for r in index.search(docs[1][1][1000:1020]).collect()] == [1]
