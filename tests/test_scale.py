@@ -353,3 +353,27 @@ def test_long_texts_are_indexed_in_linear_time(spark):
     assert time.perf_counter() - start < 60
     assert index.postings().count() < 5_000  # a row for each gram of a batch of texts, not for each of a text
     assert [r.id for r in index.search(docs[1][1][1000:1020]).collect()] == [1]
+
+
+def test_starts_of_one_region_share_their_rows(spark, monkeypatch):
+    """Forty regions of ten starts whose names alternate: a node is reached from one part, not from a word of each few starts."""
+    pairs = [(f"s{i:02}-{r:02}", f"c{r:02}-{j}") for r in range(40) for i in range(10) for j in range(3)]
+    g = graph(spark, pairs)
+    tables, stored = [], traverse.stored
+    monkeypatch.setattr(traverse, "stored", lambda df, what="": tables.append((what, out := stored(df, what))) or out)
+    monkeypatch.setattr(traverse, "WORDS", 2, raising=False)
+    out = {(r.start, r.id): r.depth for r in traverse.depths(g, g.nodes.filter("id LIKE 's%'").select("id"), 3).collect()}
+    starts = sorted({a for a, _ in pairs})
+    assert out == {(s, i): d for s in starts for i, d in near(pairs, s, 3, False).items()}
+    assert sum(t.count() for what, t in tables if what == "front") <= 400 + 2 * (120 + 400)
+
+
+def test_layers_write_only_what_a_level_meets(spark, monkeypatch):
+    pairs = [("a", f"m{i}") for i in range(5)] + [(f"m{i}", "z") for i in range(5)] + [("z", f"y{i}") for i in range(300)] + [("q", "a"), ("q", "q2"), ("q2", "a"), ("u", "v"), ("v", "u"), ("v", "w"), ("q", "w")]
+    tables, stored = [], traverse.stored
+    monkeypatch.setattr(traverse, "stored", lambda df, what="": tables.append((what, out := stored(df, what))) or out)
+    g = graph(spark, pairs, True)
+    out = {r.id: r.layer for r in traverse.layers(Graph(g.nodes.filter("id <> 'y7'"), g.edges, True)).collect()}
+    want = {"q": 0, "q2": 1, "a": 2, "z": 4, "u": None, "v": None, "w": None} | {f"m{i}": 3 for i in range(5)} | {f"y{i}": 5 for i in range(300) if i != 7}
+    assert out == want
+    assert sum(t.count() for what, t in tables if what not in ("nodes", "hops", "need")) < 350
