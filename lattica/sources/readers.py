@@ -26,15 +26,21 @@ def config(spark: SparkSession, path: str, defaults: dict[str, dict]) -> dict[st
     return {part: own | (given.get(part) or {}) for part, own in defaults.items()}
 
 
-def files(spark: SparkSession, root: str, patterns: list[str] = SKIPPED, most: int = 1 << 20, raw: str | None = None) -> DataFrame:
+def files(spark: SparkSession, root: str, patterns: list[str] = SKIPPED, most: int = 1 << 20, raw: str | None = None, parts: bool = False) -> DataFrame:
     """(file, size, modified, text) of files below ``root`` of up to ``most`` bytes that match no ignore pattern. ``raw`` is a second folder whose
-    files come in below ``raw/``, whatever the patterns."""
+    files come in below ``raw/``, whatever the patterns. ``parts``: a folder's ``part-*`` files are one file of the folder's name, in the order of their names."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = lambda base: F.regexp_replace("path", r"^.*?" + re.escape(re.sub("^[a-z]+:/*", "/", base).rstrip("/")) + "/", "")
     out = found.withColumn("file", below(root)).filter(~ignored(F.col("file"), list(patterns)))
     if raw is not None:
         more = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(raw)
         out = out.unionByName(more.withColumn("file", F.concat(F.lit("raw/"), below(raw))))
+    if parts:
+        out = out.withColumn("file", F.regexp_replace("file", "/part-[^/]*$", ""))
+        whole = out.groupBy("file").agg(F.sum("length").alias("size"), F.max("modificationTime").alias("modified")).filter(F.col("size") <= most)
+        texts = out.filter(F.col("length") <= most).join(whole.select("file"), "file", "left_semi").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("parts"))
+        text = F.decode(F.aggregate("parts", F.expr("X''"), lambda a, x: F.concat(a, x["content"])), "UTF-8")
+        return whole.join(texts.select("file", text.alias("text")), "file", "left")
     return out.filter(F.col("length") <= most).select("file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
 
 

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions import files, text
 from lattica.operators import extract, refine, search
+from lattica.plans import derived
+from lattica.sources import readers
 from lattica.streaming import events
 
 
@@ -116,3 +118,19 @@ def test_code_over_the_limit(spark, monkeypatch):
     rows = extract.code(files, most=None).filter("type = 'function'").select("id", "label").collect()
     assert {(r.id, r.label) for r in rows} == {(f"m_py-n{i + 2}", f"part{i}") for i in range(n)}
     assert extract.corpus_graph(files, most=None).nodes.count() == n + 2
+
+
+def test_a_file_written_in_parts(spark, tmp_path, monkeypatch):
+    """Sources of about 300, 40 and 6 kB in parts of 10 kB: a part within the limit does not make a file of a source above it."""
+    rows = [(i, "x" * 99, "abc"[i % 3] if i < 180 else "a" if i < 3000 else "b") for i in range(3300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(derived, "PART", 10_000, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        base = derived._written(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["length"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("length").collect()]
+    assert sum(sizes) == 2 * 330_000 and max(sizes) < 200_000
+    found = {r.file: (r.size, len(r.text)) for r in readers.files(spark, base, ["folder=dist/"], most=50_000, parts=True).collect()}
+    assert found == {"folder=src/source=from_b": (36_000, 36_000), "folder=src/source=from_c": (6_000, 6_000)}
