@@ -215,6 +215,32 @@ def test_communities_of_nothing(spark):
     assert sorted(r.community for r in cluster.multilevel(g).collect()) == [0, 1] and cluster.multilevel(graph(spark, [])).collect() == []
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks have written for shuffles."""
+    time.sleep(1)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_a_round_hands_on_homes_not_hops(spark):
+    rnd = random.Random(9)
+    pairs = [(f"a{a:03}", f"b{b:02}", 1) for a in range(400) for b in range(80) if rnd.random() < 0.6]
+    g = graph(spark, pairs)
+    for df in (g.nodes, g.edges):
+        df.count()
+    start = shuffled(spark)
+    home = {r.id: r.community for r in cluster.multilevel(g, rounds=8, levels=1, cycles=1).collect()}
+    assert len(home) == 480 and shuffled(spark) - start < 80 * len(pairs)
+
+
+def test_odd_edges_count_as_stated(spark, monkeypatch):
+    pairs = [("a", "b", 2.0), ("b", "a", 1.0), ("c", "d"), ("c", "c", 1.0), ("d", "gone", 9.0), ("b", "c", 0.25)]
+    g = graph(spark, pairs, more=["x"])
+    g = type(g)(g.nodes.filter("id <> 'gone'"), g.edges)
+    monkeypatch.setattr(cluster, "BLOCK_HOPS", 1)
+    home = {r.id: r.community for r in cluster.multilevel(g, cycles=1).collect()}
+    assert sorted(home) == ["a", "b", "c", "d", "x"] and home["a"] == home["b"] != home["c"] == home["d"] and len(set(home.values())) == 3
+
+
 # Walks
 
 
