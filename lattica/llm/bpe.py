@@ -29,9 +29,11 @@ YOUNG = (
     r"\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
 )
 
-#: Pieces of a generation of a worker's memory (it keeps two), and pairs it knows the compatibility of.
+#: Pieces of a generation of a worker's memory (it keeps two), pairs it knows the compatibility of, and the bytes of a piece whose
+#: longest tokens are looked up from end to end instead of found by the automaton.
 CACHE_PIECES = 100_000
 CACHE_PAIRS = 200_000
+SHORT = 32
 
 NEVER = 1 << 60
 
@@ -49,7 +51,7 @@ class Encoder:
     A sequence of tokens is what merging gives if and only if each adjacent pair is compatible: no merge
     across the pair's border could come before the merges that formed its two sides. So the encoder
     takes the longest token at a position (found for all positions in one pass of an Aho-Corasick automaton
-    over the reversed text), falls back to shorter ones while the pair with the token before is not
+    over the reversed text; a short piece's are looked up where they are needed), falls back to shorter ones while the pair with the token before is not
     compatible, and steps back where none is left; a position it stepped back from never ends a token again.
     """
 
@@ -80,6 +82,8 @@ class Encoder:
         by_bytes = {self.pieces[i]: i for i in sound}
         self.whole = by_bytes
         self.shorter = {i: next((by_bytes[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in by_bytes), None) for p, i in by_bytes.items()}
+        self.sizes, self.most = [len(p) for p in self.pieces], max(map(len, by_bytes))
+        self.short = SHORT if all(bytes([b]) in by_bytes for b in range(256)) else 0
         self.automaton = ahocorasick.Automaton()
         for p, i in by_bytes.items():
             self.automaton.add_word(p[::-1].decode("latin-1"), i)
@@ -128,6 +132,8 @@ class Encoder:
         if (one := self.whole.get(piece)) is not None:
             return [one]
         n = len(piece)
+        if n <= self.short:
+            return self._short(piece, n)
         longest = [0] * n
         width = [0] * n
         for end, token in self.automaton.iter(piece[::-1].decode("latin-1")):
@@ -152,6 +158,34 @@ class Encoder:
                 token = longest[at] if at < n else None
         return out
 
+    def _short(self, piece: bytes, n: int) -> list[int]:
+        whole, sizes, table, most = self.whole, self.sizes, self.table, self.most
+        out, at, dead, before = [], 0, set(), -1
+        while at < n:
+            end = min(n, at + most)
+            while (token := whole.get(piece[at:end])) is None:
+                end -= 1
+            while token is not None:
+                end = at + sizes[token]
+                if end not in dead:
+                    if before < 0:
+                        break
+                    known = table.get((before, token))
+                    if self.compatible(before, token) if known is None else known:
+                        break
+                token = self.shorter[token]
+            while token is None:
+                dead.add(at)
+                last = out.pop()
+                at -= sizes[last]
+                before = out[-1] if out else -1
+                token = self.shorter[last]
+                while token is not None and ((end := at + sizes[token]) in dead or (before >= 0 and not self.compatible(before, token))):
+                    token = self.shorter[token]
+            out.append(token)
+            before, at = token, end
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         out = []

@@ -31,6 +31,17 @@ def test_same_ids_as_the_library_and_round_trip(enc):
         assert enc.decode(ids).decode() == text
 
 
+def test_short_pieces_need_no_automaton(enc, monkeypatch):
+    rnd = random.Random(6)
+    pieces = [bytes(rnd.choice(b"aeetnorisl-'_=<") for _ in range(rnd.randint(1, bpe.SHORT))) for _ in range(4000)]
+    pieces += [bytes(rnd.randrange(256) for _ in range(rnd.randint(1, bpe.SHORT))) for _ in range(2000)]
+    monkeypatch.setattr(enc, "short", 0)
+    want = [enc.merged(p) for p in pieces]
+    monkeypatch.setattr(enc, "short", bpe.SHORT)
+    monkeypatch.setattr(enc, "automaton", None)
+    assert [enc.merged(p) for p in pieces] == want
+
+
 def test_query_over_odd_rows(spark, docs, odd):
     rows = bpe.encoded(docs(odd), PATH).collect()
     assert len(rows) == len(odd)
