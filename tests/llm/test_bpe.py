@@ -42,6 +42,41 @@ def test_short_pieces_need_no_automaton(enc, monkeypatch):
     assert [enc.merged(p) for p in pieces] == want
 
 
+def test_pieces_of_a_group_are_encoded_once_and_together(enc, monkeypatch):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("aeetnorisl'-_=<é中") for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    group = [" ".join(rnd.choices(words, k=rnd.randint(0, 60))) for _ in range(2000)] + texts()
+    apart = [enc.encode(t) for t in group[::7]]
+    called = []
+    monkeypatch.setattr(enc, "merged", lambda p, f=enc.merged: called.append(p) or f(p))
+    together = list(enc.encode_all(group))
+    assert together[::7] == apart and [enc.decode(i).decode() for i in together] == group
+    assert called and len(called) == len(set(called)) and min(map(len, called)) > bpe.SHORT
+    monkeypatch.setattr(bpe, "GROUP_PIECES", 5)
+    monkeypatch.setattr(bpe, "GROUP_DISTINCT", 3)
+    monkeypatch.setattr(bpe, "BLOCK", 2)
+    assert list(enc.encode_all(group[::20])) == together[::20]
+
+
+def test_arrays_find_pairs_compatible_as_the_chains_of_merges_do(enc):
+    rnd = random.Random(8)
+    tokens = [t for t in enc.shorter if len(enc.pieces[t]) <= 8]
+    merged = list(enc.merges[0])
+    pairs = [rnd.choice(merged) for _ in range(3000)] + [(t, t) for t in tokens[:5000]] + [(rnd.choice(tokens), rnd.choice(tokens)) for _ in range(20000)]
+    a, b = np.array(pairs, np.int32).T
+    want = [not enc._crossed(x, y) for x, y in pairs]
+    assert 0 < sum(want) < len(want)
+    assert enc._compatible(a, b).tolist() == want
+    assert enc._compatible(a, b).tolist() == want
+
+
+def test_every_character_of_the_basic_plane_is_split_as_the_library_does(enc):
+    lib = Tokenizer.from_file(PATH)
+    rows = [f"a{c}1 {c}.\n{c} 's{c}{c}" for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)])]
+    for text, ids, want in zip(rows, enc.encode_all(rows), lib.encode_batch(rows, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+
+
 def test_query_over_odd_rows(spark, docs, odd):
     rows = bpe.encoded(docs(odd), PATH).collect()
     assert len(rows) == len(odd)
