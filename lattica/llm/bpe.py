@@ -37,7 +37,7 @@ YOUNG = (
 #: compatibility of, and places of the table of those of short pieces; the bytes of a piece that is encoded together with others instead of
 #: by the automaton (62 at most: a bit for each place).
 GROUP_PIECES = 1 << 21
-GROUP_DISTINCT = 100_000
+GROUP_DISTINCT = 50_000
 BLOCK = 1 << 14
 CACHE_PAIRS = 200_000
 PAIR_SLOTS = 1 << 19
