@@ -394,6 +394,50 @@ def test_starts_of_one_region_share_their_rows(spark, monkeypatch):
     assert sum(t.count() for what, t in tables if what == "front") <= 400 + 2 * (120 + 400)
 
 
+def shuffled_rows(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark._jvm.scala.Array.emptyDoubleArray(), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_depths_shuffle_fewer_rows_than_there_are_hops(spark):
+    """Neither the hops of a level nor the rows that come out are dealt out one by one, also where no table is small enough for a broadcast."""
+    pairs = [(f"c{j:03}", f"s{i:03}") for i in range(150) for j in range(300)]
+    g = graph(spark, pairs)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        rows = traverse.depths(g, g.nodes.filter("id LIKE 's%'").select("id"), 3).groupBy("depth").count().collect()
+        moved = shuffled_rows(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["depth"]: r["count"] for r in rows} == {0: 150, 1: 45_000, 2: 150 * 149}
+    assert moved < 45_000
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_depths_over_many_blocks_and_parts(spark, monkeypatch, directed):
+    """Blocks of seven hops cut nodes' hops apart, parts hold 64 starts, known bits are summed up again and again; ends are unknown, null or repeated."""
+    for name, value in {"BLOCK_HOPS": 7, "PARTS": 1, "PAST": 2, "WORDS": 1}.items():
+        monkeypatch.setattr(traverse, name, value, raising=False)
+    rnd = random.Random(7)
+    names = [f"n{i:03}" for i in range(130)]
+    pairs = [tuple(rnd.choices(names, k=2)) for _ in range(120)] + [("n000", n) for n in names[:30]] + [("n000", "n001")] * 3
+    g = graph(spark, pairs, directed, names)
+    more = spark.createDataFrame([("n002", None), (None, "n003"), ("n004", "loose"), ("n005", "loose")], "source string, target string")
+    g = Graph(g.nodes, g.edges.unionByName(more, allowMissingColumns=True), directed)
+    out = [((r.start, r.id), r.depth) for r in traverse.depths(g, g.nodes.select("id"), 5).collect()]
+    hops = pairs + [("n004", "loose"), ("n005", "loose")]
+    want = {}
+    for s in names:
+        # an unknown end is reached, and leads no further
+        inner = near(pairs, s, 5, directed)
+        want |= {(s, i): d for i, d in inner.items()}
+        loose = [inner[a] + 1 for a, b in hops if b == "loose" and inner.get(a, 5) < 5]
+        if loose:
+            want[s, "loose"] = min(loose)
+    assert len(out) == len(want) and dict(out) == want
+
+
 def test_layers_write_only_what_a_level_meets(spark, monkeypatch):
     pairs = [("a", f"m{i}") for i in range(5)] + [(f"m{i}", "z") for i in range(5)] + [("z", f"y{i}") for i in range(300)] + [("q", "a"), ("q", "q2"), ("q2", "a"), ("u", "v"), ("v", "u"), ("v", "w"), ("q", "w")]
     tables, stored = [], traverse.stored
